@@ -22,3 +22,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int, limit: int = BROADCAST_ROW_L
     if 0 <= max_rows <= limit:
         return F.broadcast(df)
     return df
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast a dimension after checking its size; otherwise leave the join
+    to the planner (sort-merge, AQE skew split, runtime broadcast).
+
+    The check is one bounded job on the dimension itself (``limit`` stops the
+    count at ``max_rows + 1``), run on the driver before the fact side is
+    planned; the fact side is never counted.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pulseboard.functions.ids import org_external_ids, org_external_ids_weighted
 from pulseboard.functions.predicates import keep_external, not_excluded
 from pulseboard.functions.time import between_bounds, day_of, format_utc, ts_lit
+from pulseboard.operators.broadcast import checked_broadcast
 from pulseboard.operators.calendar import Series, attach_daily, attach_detail, day_spine
 from pulseboard.operators.multiplicity import multiplicity
 from pulseboard.operators.period import pair_with_previous
@@ -106,7 +107,9 @@ def error_rows(
     ext = org_external_ids(d.organization, d.billing_profile, d.crm_profile).withColumnRenamed(
         "organization_id", "org_id"
     )
-    rows = rows.join(ext, rows.organization_id == ext.org_id, "left")
+    # detail rows are the big side: ship the organisation dimension to them
+    # (size-checked) instead of shuffling every error row by organisation
+    rows = rows.join(checked_broadcast(ext), rows.organization_id == ext.org_id, "left")
     return rows.select(
         day_of("created").alias("day"),
         F.col("usr_user_id").alias("user_id"),
@@ -143,14 +146,16 @@ def error_detail(
     )
     spine = day_spine(d.spark, series)
     out = attach_detail(spine, rows, series).withColumn("activity", F.coalesce("activity", F.lit("")))
-    return out.select(*DETAIL_COLUMNS).orderBy("day")
+    # a sort on the day alone would range-partition on ~2N keys (one task per
+    # day); the time and ids split a heavy day across partitions
+    return out.select(*DETAIL_COLUMNS).orderBy("day", "date", "org_id", "user_id", "activity")
 
 
 def _org_row_mult(d: Domain) -> DataFrame:
     """Rows of organisation x profiles per organisation (the fan-out of the
     detail's left joins)."""
     ext = org_external_ids(d.organization, d.billing_profile, d.crm_profile)
-    return multiplicity(ext, ["organization_id"], "ext_mult")
+    return checked_broadcast(multiplicity(ext, ["organization_id"], "ext_mult"))
 
 
 def _weighted_error_counts(
@@ -198,7 +203,9 @@ def error_events(
     """R10. Drill-down: current-period detail rows of one error type."""
     listed = [a for a in error_activities if a == error_type]
     rows = error_rows(d, start, end, listed, excluded_orgs, internal=internal, meta_key=meta_key)
-    return rows.filter(F.col("interval_var") == 1).select(*DETAIL_COLUMNS).orderBy("day", "date")
+    return rows.filter(F.col("interval_var") == 1).select(*DETAIL_COLUMNS).orderBy(
+        "day", "date", "org_id", "user_id"
+    )
 
 
 def error_daily_vs_previous(
