@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseboard.schemas import DOMAIN_SCHEMAS, TEST_SCHEMAS
 from pulseboard.sources.tables import read_table
 
 DOMAIN_TABLES = (
@@ -56,7 +57,9 @@ class Domain:
 def domain_from_parquet(spark: SparkSession, root: str) -> Domain:
     """Domain tables stored as ``root/<table>`` Parquet datasets (the activity
     fact ideally partitioned by event day)."""
-    return Domain(**{name: read_table(spark, root, name) for name in DOMAIN_TABLES})
+    return Domain(
+        **{name: read_table(spark, root, name, DOMAIN_SCHEMAS[name]) for name in DOMAIN_TABLES}
+    )
 
 
 def domain_from_catalog(spark: SparkSession, database: str) -> Domain:
@@ -89,12 +92,15 @@ def _prefix_by_event_id(event_id: str) -> F.Column:
 
 
 def domain_from_testdata(spark: SparkSession, sf_dir: str) -> Domain:
-    events = read_table(spark, sf_dir, "events")
-    customer = read_table(spark, sf_dir, "customer")
-    nation = read_table(spark, sf_dir, "nation")
-    orders = read_table(spark, sf_dir, "orders")
-    lineitem = read_table(spark, sf_dir, "lineitem")
-    supplier = read_table(spark, sf_dir, "supplier")
+    def read(name: str) -> DataFrame:
+        return read_table(spark, sf_dir, name, TEST_SCHEMAS[name])
+
+    events = read("events")
+    customer = read("customer")
+    nation = read("nation")
+    orders = read("orders")
+    lineitem = read("lineitem")
+    supplier = read("supplier")
 
     cust_org = customer.select(
         F.col("c_custkey"), F.col("c_nationkey").cast("bigint").alias("cust_org")

@@ -24,5 +24,7 @@ def table_path(root: str, name: str) -> str:
     return os.path.join(root, name)
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(root, name))
+def read_table(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
+    """Lazy Parquet read; a declared ``schema`` (DDL) skips footer inference."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(table_path(root, name))
