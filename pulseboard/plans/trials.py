@@ -79,14 +79,13 @@ def _trial_day_rows(
     return joined.withColumn("day_nr", F.datediff("day", "trial_day"))
 
 
-def _trial_days_dense(key: str, value: DataFrame, trial: TrialSpec, bound: int) -> DataFrame:
-    """Keep day numbers below ``trial.days`` (negative ones included when
-    listing the categories), shift to 1-based, densify to ``1..trial.days``."""
-    early = value.filter(F.col("day_nr") < trial.days)
-    shown = early.select((F.col("day_nr") + 1).alias("day_nr"), key, "act_count").filter(F.col("day_nr") >= 1)
-    return densify_days(early.select(key), shown, key, "day_nr", "act_count", trial.days, bound).orderBy(
-        "day_nr", key
+def _trial_days_dense(key: str, value: DataFrame, trial: TrialSpec) -> DataFrame:
+    """Keep day numbers below ``trial.days`` (negative ones too: they list
+    their category), shift to 1-based, densify to ``1..trial.days``."""
+    early = value.filter(F.col("day_nr") < trial.days).select(
+        (F.col("day_nr") + 1).alias("day_nr"), key, "act_count"
     )
+    return densify_days(early, key, "day_nr", "act_count", trial.days).orderBy("day_nr", key)
 
 
 def trial_product_by_day(
@@ -106,7 +105,7 @@ def trial_product_by_day(
         F.count(F.lit(1)).alias("n"), internal, trial,
     )
     value = rows.groupBy("day_nr", "product_name").agg(F.count_distinct("user_id").alias("act_count"))
-    return _trial_days_dense("product_name", value, trial, len(relevant))
+    return _trial_days_dense("product_name", value, trial)
 
 
 def trial_activity_by_day(
@@ -127,7 +126,7 @@ def trial_activity_by_day(
     value = rows.groupBy("day_nr", "activity").agg(
         F.sum(F.col("n") * F.col("m")).cast("bigint").alias("act_count")
     )
-    return _trial_days_dense("activity", value, trial, len(relevant))
+    return _trial_days_dense("activity", value, trial)
 
 
 # ---------------------------------------------------------- R14, R15, R16
