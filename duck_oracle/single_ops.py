@@ -1,5 +1,185 @@
 """DuckDB twins of the single-operator runs."""
 
+from __future__ import annotations
+
+from duck_oracle.bindings import with_bindings
+from duck_oracle.reports import not_exists, strs, ts
+from pulseboard.params import PeriodPair
+from pulseboard.plans.catalog import EVENT_TYPES, P
+from pulseboard.plans.single_ops import (
+    EXCLUDED_ORGS,
+    HEAVY_MIN_EVENTS,
+    PAIR_PERIOD,
+    SHARE_BANDS,
+    SPINE_DAYS,
+)
+
+
+def calendar_spine_events() -> str:
+    s, e = SPINE_DAYS
+    body = f"""
+    SELECT CAST(days.day AS DATE) AS day, o.n_events
+    FROM generate_series({ts(s)}, {ts(e)}, INTERVAL 1 DAY) AS days(day)
+    LEFT JOIN (SELECT date_trunc('day', created) AS d, count(*) AS n_events
+               FROM user_activity GROUP BY 1) AS o ON o.d = days.day"""
+    return with_bindings(body)
+
+
+def exclusion_list_counts() -> str:
+    excl = ", ".join(str(x) for x in EXCLUDED_ORGS)
+    return with_bindings(
+        f"SELECT organization_id, count(*) AS n_events FROM user_activity "
+        f"WHERE organization_id NOT IN ({excl}) GROUP BY organization_id"
+    )
+
+
+def exclusion_empty_list_counts() -> str:
+    return with_bindings(
+        "SELECT organization_id, count(*) AS n_events FROM user_activity GROUP BY organization_id"
+    )
+
+
+def not_exists_activity_counts() -> str:
+    return with_bindings(
+        f"SELECT act.activity, count(*) AS n_events FROM user_activity AS act "
+        f"WHERE {not_exists(P.excluded_activities)} GROUP BY act.activity"
+    )
+
+
+def json_text_values() -> str:
+    return with_bindings(
+        "SELECT payload ->> 'k' AS meta, count(*) AS n_events FROM user_activity GROUP BY 1"
+    )
+
+
+def external_ids() -> str:
+    return with_bindings("""
+    SELECT org.organization_id, org.name AS org_name,
+           coalesce(bw.id, substring(hs.billing_customer_id, 1, 24)) AS bw_org_id,
+           coalesce(json_extract_string(bw.customfields, '$.HubSpotID'), hs.id) AS hs_org_id
+    FROM organization AS org
+        LEFT JOIN billing_profile AS bw ON org.billing_id = bw.id
+        LEFT JOIN crm_profile AS hs ON org.crm_id = hs.id""")
+
+
+def heavy_users_having() -> str:
+    return with_bindings(f"""
+    SELECT user_id, organization_id, count(*) AS n_events, max(created) AS last_at
+    FROM user_activity GROUP BY user_id, organization_id HAVING count(*) > {HEAVY_MIN_EVENTS}""")
+
+
+def daily_conditional_distinct() -> str:
+    return with_bindings("""
+    SELECT CAST(created AS DATE) AS day,
+           count(DISTINCT organization_id) AS orgs,
+           count(DISTINCT organization_id) FILTER (WHERE activity LIKE '%\\_ERROR' ESCAPE '\\') AS orgs_error,
+           count(DISTINCT organization_id) FILTER (WHERE activity LIKE '%\\_PURCHASE' ESCAPE '\\') AS orgs_purchase
+    FROM user_activity GROUP BY 1""")
+
+
+def org_filtered_counts() -> str:
+    parts = [
+        f"count(*) FILTER (WHERE suffix(activity, '_{t}')) AS n_{t.lower()}" for t in EVENT_TYPES
+    ]
+    total = " + ".join(f"count(*) FILTER (WHERE suffix(activity, '_{t}'))" for t in EVENT_TYPES)
+    return with_bindings(
+        f"SELECT organization_id, {', '.join(parts)}, CAST({total} AS BIGINT) AS n_typed "
+        f"FROM user_activity GROUP BY organization_id"
+    )
+
+
+def top_org_per_activity() -> str:
+    return with_bindings("""
+    SELECT activity, organization_id, n_events FROM (
+        SELECT activity, organization_id, count(*) AS n_events,
+               row_number() OVER (PARTITION BY activity ORDER BY count(*) DESC, organization_id ASC) AS rk
+        FROM user_activity GROUP BY activity, organization_id) AS t
+    WHERE rk = 1""")
+
+
+def daily_pairing() -> str:
+    pair = PeriodPair.of(*PAIR_PERIOD)
+    n = pair.n_days
+    body = f"""
+    SELECT CAST(cur.day AS DATE) AS day, cur.n_events, CAST(prev.day AS DATE) AS prev_day,
+           prev.n_events AS prev_n_events
+    FROM numbered AS cur JOIN numbered AS prev ON prev.rn = cur.rn - {n}
+    WHERE cur.rn >= {n}"""
+    counts = f"""
+        SELECT days.day, count(a.created) AS n_events
+        FROM generate_series({ts(pair.series_start)}, {ts(pair.last_day)}, INTERVAL 1 DAY) AS days(day)
+        LEFT JOIN user_activity AS a ON date_trunc('day', a.created) = days.day
+        GROUP BY days.day"""
+    numbered = "SELECT day, n_events, row_number() OVER (ORDER BY day) - 1 AS rn FROM counts"
+    return with_bindings(body, counts=counts, numbered=numbered)
+
+
+def product_fold_other() -> str:
+    listed = strs(P.products.products)
+    return with_bindings(f"""
+    SELECT CASE WHEN split_part(activity, '_', 1) IN {listed} THEN split_part(activity, '_', 1)
+                ELSE '{P.products.other}' END AS product,
+           count(*) AS n_events
+    FROM user_activity GROUP BY 1""")
+
+
+def org_error_share_band() -> str:
+    high, medium = SHARE_BANDS
+    return with_bindings(f"""
+    SELECT organization_id, error_share,
+           CASE WHEN error_share >= {high} THEN 'high' WHEN error_share >= {medium} THEN 'medium'
+                WHEN error_share < {medium} THEN 'low' END AS severity
+    FROM (SELECT organization_id,
+                 CAST(count(*) FILTER (WHERE suffix(activity, '_ERROR')) AS DOUBLE) / count(*) * 100 AS error_share
+          FROM user_activity GROUP BY organization_id) AS t""")
+
+
+def days_since_first_event() -> str:
+    return with_bindings("""
+    SELECT CAST(date_diff('day', f.first_day, CAST(a.created AS DATE)) AS INTEGER) AS day_nr, count(*) AS n_events
+    FROM user_activity AS a
+        JOIN (SELECT user_id, min(CAST(created AS DATE)) AS first_day FROM user_activity GROUP BY user_id) AS f
+          ON a.user_id = f.user_id
+    GROUP BY 1""")
+
+
+def licence_family_counts() -> str:
+    def cond(f):
+        terms = [f"sst.name LIKE '{p}%'" for p in f.prefixes] + [f"sst.name = '{n}'" for n in f.names]
+        return " OR ".join(terms)
+
+    fams = ", ".join(f"count(sst.name) FILTER (WHERE {cond(f)}) AS {col}" for col, f in P.families.items())
+    return with_bindings(f"""
+    SELECT count(sst.name) AS count_all, {fams}
+    FROM user_license AS sul
+        LEFT JOIN org_subscription AS ost ON sul.org_subscription_id = ost.org_subscription_id
+        JOIN subscription_type AS sst ON ost.subscription_type_id = sst.subscription_type_id""")
+
+
+def plan_flags() -> str:
+    return with_bindings("""
+    SELECT (pv.touchless IS TRUE) AS touchless_true, (pv.enterprise IS FALSE) AS enterprise_false,
+           count(*) AS n_orgs
+    FROM organization AS o JOIN plan_variant AS pv ON o.billing_id = pv.customer_id
+    GROUP BY 1, 2""")
+
 
 def build() -> dict[str, str]:
-    return {}
+    return {
+        "calendar_spine_events": calendar_spine_events(),
+        "exclusion_list_counts": exclusion_list_counts(),
+        "exclusion_empty_list_counts": exclusion_empty_list_counts(),
+        "not_exists_activity_counts": not_exists_activity_counts(),
+        "json_text_values": json_text_values(),
+        "external_ids": external_ids(),
+        "heavy_users_having": heavy_users_having(),
+        "daily_conditional_distinct": daily_conditional_distinct(),
+        "org_filtered_counts": org_filtered_counts(),
+        "top_org_per_activity": top_org_per_activity(),
+        "daily_pairing": daily_pairing(),
+        "product_fold_other": product_fold_other(),
+        "org_error_share_band": org_error_share_band(),
+        "days_since_first_event": days_since_first_event(),
+        "licence_family_counts": licence_family_counts(),
+        "plan_flags": plan_flags(),
+    }

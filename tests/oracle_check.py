@@ -34,7 +34,7 @@ def duck_connect(sf_dir: str):
 
 def _norm(v):
     if isinstance(v, float):
-        return repr(round(v, 9))
+        return repr(v)
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     return repr(v)
