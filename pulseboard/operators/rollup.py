@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from pulseboard.functions.predicates import keep_external
 from pulseboard.params import InternalRule

@@ -6,15 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseboard.functions.ids import org_external_ids, org_external_ids_weighted
 from pulseboard.functions.predicates import keep_external, not_excluded
-from pulseboard.functions.time import between_bounds, day_of, format_utc, ts_lit
-from pulseboard.operators.broadcast import checked_broadcast
+from pulseboard.functions.time import day_of, format_utc, ts_lit
 from pulseboard.operators.calendar import Series, attach_daily, attach_detail, day_spine
-from pulseboard.operators.multiplicity import multiplicity
 from pulseboard.operators.period import pair_with_previous
 from pulseboard.operators.rollup import rollup_activity, with_user_rule
 from pulseboard.operators.topk import top1_per_group
@@ -41,10 +38,8 @@ def top_org_per_error(
     """R7. For each error activity the organisation with the most events
     (``act_count``; ties: smaller org id, then ids), its last event time."""
     start, end = as_datetime(start), as_datetime(end)
-    act = d.user_activity.filter(
-        between_bounds("created", start, end)
-        & F.col("activity").isin(list(error_activities))
-        & not_excluded("organization_id", excluded_orgs)
+    act = d.activity(start, end).filter(
+        F.col("activity").isin(list(error_activities)) & not_excluded("organization_id", excluded_orgs)
     )
     rolled = rollup_activity(
         act, ["activity"], [F.count("activity").alias("n"), F.max("created").alias("last_act")]
@@ -53,7 +48,7 @@ def top_org_per_error(
     per_org = kept.groupBy("activity", "organization_id").agg(
         F.sum("n").alias("n"), F.max("last_act").alias("last_act")
     )
-    ext = org_external_ids_weighted(org_external_ids(d.organization, d.billing_profile, d.crm_profile))
+    ext = d.org_ext_weighted
     ranked = per_org.join(ext, "organization_id").select(
         "activity",
         F.col("organization_id").alias("org_id"),
@@ -77,11 +72,10 @@ def top_org_per_error(
 
 
 # ------------------------------------------------------------- R8 .. R10
-def _error_filter(pair: PeriodPair, error_activities, excluded_orgs) -> Column:
-    return (
-        F.col("activity").isin(list(error_activities))
-        & F.col("created").between(ts_lit(pair.series_start), ts_lit(pair.end))
-        & not_excluded("organization_id", excluded_orgs)
+def _error_activity(d: Domain, pair: PeriodPair, error_activities, excluded_orgs) -> DataFrame:
+    """Error events of both periods (``series_start <= created <= end``)."""
+    return d.activity(pair.series_start, pair.end).filter(
+        F.col("activity").isin(list(error_activities)) & not_excluded("organization_id", excluded_orgs)
     )
 
 
@@ -99,17 +93,15 @@ def error_rows(
     organisation, JSON ``meta``, period flag ``interval_var`` (1 after
     ``start``, 0 up to it) and a formatted time. No calendar rows."""
     pair = PeriodPair.of(start, end)
-    act = d.user_activity.filter(_error_filter(pair, error_activities, excluded_orgs))
+    act = _error_activity(d, pair, error_activities, excluded_orgs)
     users = d.user.select(F.col("user_id").alias("usr_user_id"), "username")
     rows = act.join(users, act.user_id == users.usr_user_id, "left").filter(
         keep_external("organization_id", "username", internal)
     )
-    ext = org_external_ids(d.organization, d.billing_profile, d.crm_profile).withColumnRenamed(
-        "organization_id", "org_id"
-    )
     # detail rows are the big side: ship the organisation dimension to them
     # (size-checked) instead of shuffling every error row by organisation
-    rows = rows.join(checked_broadcast(ext), rows.organization_id == ext.org_id, "left")
+    ext = d.org_ext_for_facts.withColumnRenamed("organization_id", "org_id")
+    rows = rows.join(ext, rows.organization_id == ext.org_id, "left")
     return rows.select(
         day_of("created").alias("day"),
         F.col("usr_user_id").alias("user_id"),
@@ -151,20 +143,14 @@ def error_detail(
     return out.select(*DETAIL_COLUMNS).orderBy("day", "date", "org_id", "user_id", "activity")
 
 
-def _org_row_mult(d: Domain) -> DataFrame:
-    """Rows of organisation x profiles per organisation (the fan-out of the
-    detail's left joins)."""
-    ext = org_external_ids(d.organization, d.billing_profile, d.crm_profile)
-    return checked_broadcast(multiplicity(ext, ["organization_id"], "ext_mult"))
-
-
 def _weighted_error_counts(
     d: Domain, act: DataFrame, keys: list, internal: InternalRule
 ) -> DataFrame:
     """Rolled-up error counts with the detail's user rule and fan-out."""
     rolled = rollup_activity(act, keys, [F.count(F.lit(1)).alias("n")])
     kept = with_user_rule(rolled, d.user, internal, how="left")
-    weighted = kept.join(_org_row_mult(d), "organization_id", "left")
+    # fan-out of the detail's organisation/profile left joins per organisation
+    weighted = kept.join(d.org_row_mult, "organization_id", "left")
     return weighted.withColumn("w", (F.col("n") * F.coalesce("ext_mult", F.lit(1))).cast("bigint"))
 
 
@@ -181,8 +167,8 @@ def error_counts(
     name). Same numbers as counting R8's rows with ``interval_var = 1``,
     but the fact is rolled up per user before any join."""
     pair = PeriodPair.of(start, end)
-    act = d.user_activity.filter(
-        _error_filter(pair, error_activities, excluded_orgs) & (F.col("created") > ts_lit(pair.start))
+    act = _error_activity(d, pair, error_activities, excluded_orgs).filter(
+        F.col("created") > ts_lit(pair.start)
     )
     counts = _weighted_error_counts(d, act, ["activity"], internal)
     out = counts.groupBy("activity").agg(F.sum("w").cast("bigint").alias("error_count"))
@@ -225,9 +211,8 @@ def error_daily_vs_previous(
     pair = PeriodPair.of(start, end)
     series = Series.days(pair.series_start, pair.last_day)
     listed = [a for a in error_activities if a == error_type]
-    act = d.user_activity.filter(
-        _error_filter(pair, listed, excluded_orgs)
-        & ~((F.col("created") <= ts_lit(pair.start)) & (day_of("created") >= F.lit(pair.start.date())))
+    act = _error_activity(d, pair, listed, excluded_orgs).filter(
+        ~((F.col("created") <= ts_lit(pair.start)) & (day_of("created") >= F.lit(pair.start.date())))
     )
     counts = _weighted_error_counts(d, act, [day_of("created").alias("day")], internal)
     per_day = counts.groupBy("day").agg(F.sum("w").cast("bigint").alias("error_count"))

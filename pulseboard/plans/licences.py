@@ -8,9 +8,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseboard.functions.ids import org_external_ids
 from pulseboard.functions.predicates import matches_family, not_excluded
-from pulseboard.functions.time import between_bounds, day_of, within_days
+from pulseboard.functions.time import day_of, within_days
 from pulseboard.operators.calendar import Series, attach_daily, day_spine
 from pulseboard.operators.counts import weighted_count_where
 from pulseboard.operators.rollup import with_user_rule
@@ -39,10 +38,8 @@ def concurrent_license_exceeded(
     (user, organisation, day) and (user, organisation, cap) - no row fan-out.
     """
     start, end = as_datetime(start), as_datetime(end)
-    act = d.user_activity.filter(
-        between_bounds("created", start, end)
-        & F.col("activity").isin(list(activities))
-        & not_excluded("organization_id", excluded_orgs)
+    act = d.activity(start, end).filter(
+        F.col("activity").isin(list(activities)) & not_excluded("organization_id", excluded_orgs)
     ).select("user_id", "organization_id", day_of("created").alias("created_date"))
     user_days = with_user_rule(act.distinct(), d.user, internal)
 
@@ -58,10 +55,7 @@ def concurrent_license_exceeded(
         .agg(F.count_distinct("user_id").alias("distinct_users"))
         .filter(F.col("distinct_users") > F.col("max_users"))
     )
-    ext = org_external_ids(d.organization, d.billing_profile, d.crm_profile).dropDuplicates(
-        ["organization_id", "org_name", "bw_org_id", "hs_org_id"]
-    )
-    out = per_day.join(ext, "organization_id").select(
+    out = per_day.join(d.org_ext_distinct, "organization_id").select(
         F.col("organization_id").alias("org_id"),
         "org_name",
         "max_users",

@@ -9,7 +9,6 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseboard.functions.ids import org_external_ids
 from pulseboard.functions.predicates import not_excluded
 from pulseboard.functions.text import band
 from pulseboard.functions.time import ts_lit
@@ -33,10 +32,8 @@ def slipping_cohort(
     as_of = as_datetime(as_of)
     since = as_of - timedelta(days=cohort.lookback_days)
     silent_from = as_of - timedelta(days=cohort.silent_days)
-    act = d.user_activity.filter(
-        (F.col("created") > ts_lit(since))
-        & F.col("activity").isin(list(group_activities))
-        & not_excluded("organization_id", excluded_orgs)
+    act = d.activity(since, None, lo_strict=True).filter(
+        F.col("activity").isin(list(group_activities)) & not_excluded("organization_id", excluded_orgs)
     )
     per_user = rollup_activity(act, [], [F.max("created").alias("last_at"), F.count(F.lit(1)).alias("n")])
     per_user = per_user.filter(
@@ -69,10 +66,7 @@ def slipping_away_orgs(
     )
     cohort_size = members.groupBy("organization_id").agg(F.count_distinct("user_id").alias("user_count"))
     totals = d.user.groupBy("organization_id").agg(F.count_distinct("user_id").alias("total_user_count"))
-    ext = org_external_ids(d.organization, d.billing_profile, d.crm_profile).dropDuplicates(
-        ["organization_id", "org_name", "bw_org_id", "hs_org_id"]
-    )
-    joined = ext.join(cohort_size, "organization_id").join(totals, "organization_id")
+    joined = d.org_ext_distinct.join(cohort_size, "organization_id").join(totals, "organization_id")
     out = joined.select(
         F.col("organization_id").alias("org_id"),
         "org_name",

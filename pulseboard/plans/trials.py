@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulseboard.functions.predicates import not_excluded, not_in_list_keep_null
 from pulseboard.functions.text import fold_other, product_of
-from pulseboard.functions.time import between_bounds, day_of, ts_lit
+from pulseboard.functions.time import day_of, ts_lit
 from pulseboard.operators.calendar import Series, attach_daily, day_spine
 from pulseboard.operators.densify import densify_days
 from pulseboard.operators.multiplicity import multiplicity
@@ -70,9 +70,7 @@ def _trial_day_rows(
     d: Domain, start, end, relevant: Iterable[str], key, agg, internal: InternalRule, trial: TrialSpec
 ) -> DataFrame:
     start, end = as_datetime(start), as_datetime(end)
-    act = d.user_activity.filter(
-        between_bounds("created", start, end) & F.col("activity").isin(list(relevant))
-    )
+    act = d.activity(start, end).filter(F.col("activity").isin(list(relevant)))
     rolled = rollup_activity(act, [day_of("created").alias("day"), key], [agg])
     kept = with_user_rule(rolled, d.user, internal)
     joined = kept.join(_trial_licences(d, start, end, trial), "user_id")
@@ -147,9 +145,7 @@ def _trial_activity(
     d: Domain, start, end, excluded_activities: Iterable[str], keys, aggs, internal: InternalRule
 ) -> DataFrame:
     start, end = as_datetime(start), as_datetime(end)
-    act = d.user_activity.filter(
-        between_bounds("created", start, end) & not_in_list_keep_null("activity", excluded_activities)
-    )
+    act = d.activity(start, end).filter(not_in_list_keep_null("activity", excluded_activities))
     rolled = rollup_activity(act, keys, aggs)
     return with_user_rule(rolled, d.user, internal)
 

@@ -8,9 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseboard.functions.ids import org_external_ids, org_external_ids_weighted
 from pulseboard.functions.predicates import is_false, is_true, not_excluded
-from pulseboard.functions.time import between_bounds, day_of
+from pulseboard.functions.time import day_of
 from pulseboard.operators.calendar import Series, attach_daily, day_spine
 from pulseboard.operators.counts import count_where, distinct_count_by
 from pulseboard.operators.multiplicity import multiplicity
@@ -37,10 +36,8 @@ def daily_active_orgs(
     """
     start, end = as_datetime(start), as_datetime(end)
     codes = targets.codes
-    act = d.user_activity.filter(
-        between_bounds("created", start, end)
-        & F.col("activity").isin(list(codes.values()))
-        & not_excluded("organization_id", excluded_orgs)
+    act = d.activity(start, end).filter(
+        F.col("activity").isin(list(codes.values())) & not_excluded("organization_id", excluded_orgs)
     )
     flag_cols = {stem: F.max(F.col("activity") == code).alias(f"has_{stem}") for stem, code in codes.items()}
     per_user_day = rollup_activity(act, [day_of("created").alias("day")], list(flag_cols.values()))
@@ -72,9 +69,7 @@ def most_active_touchless_orgs(
     """
     start, end = as_datetime(start), as_datetime(end)
     codes = targets.codes
-    act = d.user_activity.filter(
-        between_bounds("created", start, end) & not_excluded("organization_id", excluded_orgs)
-    )
+    act = d.activity(start, end).filter(not_excluded("organization_id", excluded_orgs))
     per_user = rollup_activity(
         act,
         [],
@@ -93,7 +88,7 @@ def most_active_touchless_orgs(
     org_plan = d.organization.select("organization_id", "billing_id").join(
         plans, F.col("billing_id") == F.col("customer_id")
     )
-    ext = org_external_ids_weighted(org_external_ids(d.organization, d.billing_profile, d.crm_profile))
+    ext = d.org_ext_weighted
     org_dim = org_plan.join(ext, "organization_id").select(
         "organization_id", "org_name", "bw_org_id", "hs_org_id",
         (F.col("plan_mult") * F.col("ext_mult")).alias("mult"),

@@ -14,6 +14,7 @@ All frames are lazy; nothing is read until a report runs an action.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,18 +49,83 @@ class Domain:
     plan_variant: DataFrame
     billing_profile: DataFrame
     crm_profile: DataFrame
+    # DATE column the activity fact is partitioned by (None: not partitioned)
+    activity_day_col: str | None = None
+
+    def activity(self, lo=None, hi=None, lo_strict: bool = False) -> DataFrame:
+        """The activity fact restricted to ``lo <= created <= hi`` (``>`` when
+        ``lo_strict``; either bound optional). On a day-partitioned fact the
+        same bounds are added on the partition column, so only the days in
+        range are listed and read (partition pruning)."""
+        from pulseboard.functions.time import date_lit, ts_lit
+
+        created = F.col("created")
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & ((created > ts_lit(lo)) if lo_strict else (created >= ts_lit(lo)))
+        if hi is not None:
+            cond = cond & (created <= ts_lit(hi))
+        if self.activity_day_col:
+            day = F.col(self.activity_day_col)
+            if lo is not None:
+                cond = cond & (day >= date_lit(lo))
+            if hi is not None:
+                cond = cond & (day <= date_lit(hi))
+        return self.user_activity.filter(cond)
 
     @property
     def spark(self) -> SparkSession:
         return self.user_activity.sparkSession
 
-
-def domain_from_parquet(spark: SparkSession, root: str) -> Domain:
-    """Domain tables stored as ``root/<table>`` Parquet datasets (the activity
-    fact ideally partitioned by event day)."""
-    return Domain(
-        **{name: read_table(spark, root, name, DOMAIN_SCHEMAS[name]) for name in DOMAIN_TABLES}
-    )
+    # Derived dimension frames, defined once per domain (lazy plans, no data).
+    @cached_property
+    def org_ext(self) -> DataFrame:
+        """Organisation x matching billing/CRM profile rows with resolved ids."""
+        from pulseboard.functions.ids import org_external_ids
+
+        return org_external_ids(self.organization, self.billing_profile, self.crm_profile)
+
+    @cached_property
+    def org_ext_weighted(self) -> DataFrame:
+        """Distinct (organisation, ids) with the profile rows behind each."""
+        from pulseboard.functions.ids import org_external_ids_weighted
+
+        return org_external_ids_weighted(self.org_ext)
+
+    @cached_property
+    def org_ext_distinct(self) -> DataFrame:
+        """Distinct (organisation, name, ids): the group keys of the reports."""
+        return self.org_ext.distinct()
+
+    @cached_property
+    def org_ext_for_facts(self) -> DataFrame:
+        """:attr:`org_ext` prepared for joins against fact rows: broadcast when
+        its size check passes (checked once per domain handle)."""
+        from pulseboard.operators.broadcast import checked_broadcast
+
+        return checked_broadcast(self.org_ext)
+
+    @cached_property
+    def org_row_mult(self) -> DataFrame:
+        """(organization_id, ext_mult): profile-join fan-out per organisation,
+        size-checked for broadcast like :attr:`org_ext_for_facts`."""
+        from pulseboard.operators.broadcast import checked_broadcast
+        from pulseboard.operators.multiplicity import multiplicity
+
+        return checked_broadcast(multiplicity(self.org_ext, ["organization_id"], "ext_mult"))
+
+
+def domain_from_parquet(spark: SparkSession, root: str, activity_day_col: str | None = "event_date") -> Domain:
+    """Domain tables stored as ``root/<table>`` Parquet datasets, as written
+    by :func:`pulseboard.sources.warehouse.write_domain` (activity fact
+    partitioned by ``activity_day_col``; pass None for an unpartitioned one)."""
+    frames = {}
+    for name in DOMAIN_TABLES:
+        schema = DOMAIN_SCHEMAS[name]
+        if name == "user_activity" and activity_day_col:
+            schema = f"{schema}, {activity_day_col} DATE"
+        frames[name] = read_table(spark, root, name, schema)
+    return Domain(**frames, activity_day_col=activity_day_col)
 
 
 def domain_from_catalog(spark: SparkSession, database: str) -> Domain:
