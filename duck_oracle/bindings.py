@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from pulseboard.params import CRM_ID_JSON_KEY
+
 # name -> SQL body. Order matters: later CTEs may read earlier ones.
 BINDINGS: dict[str, str] = {
     "user_activity": """
@@ -53,7 +55,7 @@ BINDINGS: dict[str, str] = {
         FROM nation""",
     "billing_profile": """
         SELECT 'bw-' || CAST(s_suppkey AS VARCHAR) AS id,
-               '{"HubSpotID": "h' || CAST(s_suppkey AS VARCHAR) || '"}' AS customfields
+               '{"' || '%(key)s' || '": "h' || CAST(s_suppkey AS VARCHAR) || '"}' AS customfields
         FROM supplier WHERE s_suppkey % 2 = 0""",
     "crm_profile": """
         SELECT 'hs-' || CAST(c_custkey AS VARCHAR) AS id,
@@ -64,6 +66,7 @@ BINDINGS: dict[str, str] = {
 
 def with_bindings(body: str, **extra: str) -> str:
     """Prefix ``body`` (a SELECT) with every binding, then ``extra``, as CTEs."""
-    parts = {**BINDINGS, **extra}
+    bindings = {k: v.replace("%(key)s", CRM_ID_JSON_KEY) for k, v in BINDINGS.items()}
+    parts = {**bindings, **extra}
     ctes = ",\n".join(f"{name} AS ({sql}\n)" for name, sql in parts.items())
     return f"WITH {ctes}\n{body}"

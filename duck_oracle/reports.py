@@ -11,7 +11,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from duck_oracle.bindings import with_bindings
-from pulseboard.params import InternalRule, PeriodPair, as_datetime
+from pulseboard.params import BILLING_ID_LENGTH, CRM_ID_JSON_KEY, InternalRule, PeriodPair, as_datetime
 from pulseboard.plans.catalog import P
 
 
@@ -47,8 +47,8 @@ def not_exists(values, col: str = "act.activity") -> str:
     )
 
 
-EXT_IDS = """coalesce(bw.id, substring(hs.billing_customer_id, 1, 24)) AS bw_org_id,
-             coalesce(json_extract_string(bw.customfields, '$.HubSpotID'), hs.id) AS hs_org_id"""
+EXT_IDS = f"""coalesce(bw.id, substring(hs.billing_customer_id, 1, {BILLING_ID_LENGTH})) AS bw_org_id,
+             coalesce(json_extract_string(bw.customfields, '$.{CRM_ID_JSON_KEY}'), hs.id) AS hs_org_id"""
 EXT_JOINS = """LEFT JOIN billing_profile AS bw ON org.billing_id = bw.id
                LEFT JOIN crm_profile AS hs ON org.crm_id = hs.id"""
 
@@ -110,8 +110,7 @@ def r3() -> str:
     SELECT o.organization_id AS org_id, o.name AS org_name, ost.max_users,
            count(DISTINCT usl.user_id) AS distinct_users,
            CAST(date_trunc('day', act.created) AS DATE) AS created_date,
-           coalesce(bw.id, substring(hs.billing_customer_id, 1, 24)) AS bw_org_id,
-           coalesce(json_extract_string(bw.customfields, '$.HubSpotID'), hs.id) AS hs_org_id
+           {EXT_IDS}
     FROM org_subscription AS ost
         JOIN organization AS o ON ost.organization_id = o.organization_id
         JOIN user_license AS usl ON ost.org_subscription_id = usl.org_subscription_id
@@ -145,8 +144,7 @@ def r4() -> str:
              + count(*) FILTER (WHERE act.activity = '{t['dq']}') AS all_activities_count,
            count(DISTINCT act.user_id) AS overall_uniq_users,
            max(act.created) AS last_activity,
-           coalesce(json_extract_string(bw.customfields, '$.HubSpotID'), hs.id) AS hs_org_id,
-           coalesce(bw.id, substring(hs.billing_customer_id, 1, 24)) AS bw_org_id
+           {EXT_IDS}
     FROM user_activity AS act
         JOIN organization AS o ON act.organization_id = o.organization_id
         JOIN users AS usr ON act.user_id = usr.user_id

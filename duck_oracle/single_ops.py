@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from duck_oracle.bindings import with_bindings
-from duck_oracle.reports import not_exists, strs, ts
+from duck_oracle.reports import EXT_IDS, not_exists, strs, ts
 from pulseboard.params import PeriodPair
 from pulseboard.plans.catalog import EVENT_TYPES, P
 from pulseboard.plans.single_ops import (
@@ -53,10 +53,9 @@ def json_text_values() -> str:
 
 
 def external_ids() -> str:
-    return with_bindings("""
+    return with_bindings(f"""
     SELECT org.organization_id, org.name AS org_name,
-           coalesce(bw.id, substring(hs.billing_customer_id, 1, 24)) AS bw_org_id,
-           coalesce(json_extract_string(bw.customfields, '$.HubSpotID'), hs.id) AS hs_org_id
+           {EXT_IDS}
     FROM organization AS org
         LEFT JOIN billing_profile AS bw ON org.billing_id = bw.id
         LEFT JOIN crm_profile AS hs ON org.crm_id = hs.id""")

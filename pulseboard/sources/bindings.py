@@ -19,6 +19,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseboard.params import CRM_ID_JSON_KEY
 from pulseboard.schemas import DOMAIN_SCHEMAS, TEST_SCHEMAS
 from pulseboard.sources.tables import read_table
 
@@ -230,7 +231,7 @@ def domain_from_testdata(spark: SparkSession, sf_dir: str) -> Domain:
     billing_profile = supplier.filter(F.col("s_suppkey") % 2 == 0).select(
         F.concat(F.lit("bw-"), F.col("s_suppkey").cast("string")).alias("id"),
         F.concat(
-            F.lit('{"HubSpotID": "h'), F.col("s_suppkey").cast("string"), F.lit('"}')
+            F.lit('{"' + CRM_ID_JSON_KEY + '": "h'), F.col("s_suppkey").cast("string"), F.lit('"}')
         ).alias("customfields"),
     )
 

@@ -1,0 +1,10 @@
+"""Streaming form of the daily active organisations report."""
+
+from pulseboard.streaming.daily_active import (
+    daily_active_from_state,
+    end_of_day,
+    rollup_batch,
+    start_daily_active_stream,
+)
+
+__all__ = ["daily_active_from_state", "end_of_day", "rollup_batch", "start_daily_active_stream"]

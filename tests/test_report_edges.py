@@ -8,6 +8,7 @@ from datetime import date
 import pytest
 
 from pulseboard.functions.ids import org_external_ids
+from pulseboard.params import CRM_ID_JSON_KEY as KEY
 from pulseboard.params import Bands, Cohort, InternalRule, TrialSpec
 from pulseboard.plans import (
     concurrent_license_exceeded,
@@ -294,11 +295,11 @@ def test_external_ids_all_combinations(dom):
             (7, "json numeric", "bw-7", None),
         ],
         billing_profile=[
-            ("bw-1", '{"HubSpotID": "h1"}'),
-            ("bw-3", '{"HubSpotID": "h3"}'),
+            ("bw-1", f'{{"{KEY}": "h1"}}'),
+            ("bw-3", f'{{"{KEY}": "h3"}}'),
             ("bw-5", "{}"),
-            ("bw-6", '{"HubSpotID": null}'),
-            ("bw-7", '{"HubSpotID": 77}'),
+            ("bw-6", f'{{"{KEY}": null}}'),
+            ("bw-7", f'{{"{KEY}": 77}}'),
         ],
         crm_profile=[
             ("hs-2", "a-very-long-billing-reference-xyz"),

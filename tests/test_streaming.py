@@ -1,0 +1,37 @@
+"""Streamed daily state gives the batch report's numbers."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+from datetime import date
+
+from pulseboard.plans.catalog import P, _domain
+from pulseboard.plans.usage import daily_active_orgs
+from pulseboard.sources.warehouse import write_domain
+from pulseboard.streaming import daily_active_from_state, end_of_day, start_daily_active_stream
+from tests.conftest import SF001, rows
+
+
+def test_stream_matches_batch_over_whole_days(spark):
+    root = tempfile.mkdtemp(prefix="pulseboard-stream-")
+    d = _domain(spark, SF001)
+    write_domain(d, os.path.join(root, "wh"))
+    q = start_daily_active_stream(
+        spark,
+        os.path.join(root, "wh", "user_activity"),
+        d.user,
+        os.path.join(root, "state"),
+        os.path.join(root, "ckpt"),
+        internal=P.internal,
+        targets=P.targets,
+        available_now=True,
+        max_files_per_trigger=7,
+    )
+    q.awaitTermination(300)
+    assert q.exception() is None
+    first, last = date(2024, 1, 20), date(2024, 2, 3)
+    got = daily_active_from_state(spark, os.path.join(root, "state"), first, last, targets=P.targets)
+    want = daily_active_orgs(d, first, end_of_day(last), internal=P.internal, targets=P.targets)
+    assert rows(got) == rows(want)
+    assert sum(1 for r in rows(got) if r[1] is not None) > 5
