@@ -49,10 +49,12 @@ def concurrent_license_exceeded(
     lic = d.user_license.filter(F.col("unassigned_at").isNull()).select("user_id", "org_subscription_id")
     licensed = lic.join(subs, "org_subscription_id").select("user_id", "organization_id", "max_users").distinct()
 
+    # both sides are distinct, so each (day, org, cap, user) occurs once and a
+    # plain count is the distinct count (no second aggregation level)
     per_day = (
         user_days.join(licensed, ["user_id", "organization_id"])
         .groupBy("created_date", "organization_id", "max_users")
-        .agg(F.count_distinct("user_id").alias("distinct_users"))
+        .agg(F.count(F.lit(1)).alias("distinct_users"))
         .filter(F.col("distinct_users") > F.col("max_users"))
     )
     out = per_day.join(d.org_ext_distinct, "organization_id").select(

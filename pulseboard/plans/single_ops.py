@@ -21,7 +21,7 @@ from pulseboard.functions.predicates import (
     not_in_list_keep_null,
 )
 from pulseboard.functions.text import band, fold_other, product_of
-from pulseboard.functions.time import day_of
+from pulseboard.functions.time import day_of, within_days
 from pulseboard.operators.calendar import Series, attach_daily, day_spine
 from pulseboard.operators.counts import count_where, distinct_count_by
 from pulseboard.operators.period import pair_with_previous
@@ -44,7 +44,7 @@ def calendar_spine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _domain(spark, sf_dir)
     series = Series.days(*SPINE_DAYS)
     daily = (
-        d.user_activity.filter(day_of("created").between(F.lit(SPINE_DAYS[0]), F.lit(SPINE_DAYS[1])))
+        d.user_activity.filter(within_days("created", *SPINE_DAYS))
         .groupBy(day_of("created").alias("day"))
         .agg(F.count(F.lit(1)).alias("n_events"))
     )
@@ -139,9 +139,7 @@ def daily_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = PeriodPair.of(*PAIR_PERIOD)
     series = Series.days(pair.series_start, pair.last_day)
     per_day = (
-        d.user_activity.filter(
-            day_of("created").between(F.lit(pair.series_start), F.lit(pair.last_day))
-        )
+        d.user_activity.filter(within_days("created", pair.series_start, pair.last_day))
         .groupBy(day_of("created").alias("day"))
         .agg(F.count(F.lit(1)).alias("n_events"))
     )
@@ -177,11 +175,13 @@ def days_since_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     is an aggregate per user joined back (no window over a possibly huge
     user partition)."""
     d = _domain(spark, sf_dir)
-    act = d.user_activity.select("user_id", day_of("created").alias("day"))
-    first = act.groupBy("user_id").agg(F.min("day").alias("first_day"))
-    joined = act.join(first, "user_id")
+    per_day = d.user_activity.groupBy("user_id", day_of("created").alias("day")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    first = per_day.groupBy("user_id").agg(F.min("day").alias("first_day"))
+    joined = per_day.join(first, "user_id")
     return joined.groupBy(F.datediff("day", "first_day").alias("day_nr")).agg(
-        F.count(F.lit(1)).alias("n_events")
+        F.sum("n").alias("n_events")
     )
 
 
