@@ -65,13 +65,13 @@ class FixtureParams:
 P = FixtureParams()
 
 
-_DOMAINS: dict[tuple[int, str], Domain] = {}
+_DOMAINS: dict[tuple[str, int, str], Domain] = {}
 
 
 def _domain(spark: SparkSession, sf_dir: str) -> Domain:
     """Table handles per (session, folder), reused like catalog tables: the
     file listing is done once, the data is read by every query."""
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir)
     if key not in _DOMAINS:
         _DOMAINS[key] = domain_from_testdata(spark, sf_dir)
     return _DOMAINS[key]
