@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pulseboard.functions.predicates import not_excluded, not_in_list_keep_null
 from pulseboard.functions.text import fold_other, product_of
 from pulseboard.functions.time import day_of, ts_lit
+from pulseboard.operators.broadcast import checked_broadcast
 from pulseboard.operators.calendar import Series, attach_daily, day_spine
 from pulseboard.operators.densify import densify_days
 from pulseboard.operators.multiplicity import multiplicity
@@ -130,15 +131,25 @@ def trial_activity_by_day(
 # ---------------------------------------------------------- R14, R15, R16
 def _trial_orgs(d: Domain, trial: TrialSpec) -> DataFrame:
     """(organization_id, m): organisations that ever had a subscription of
-    the trial type name, ``m`` = rows of the organisation x trial join."""
-    types = d.subscription_type.filter(F.col("name") == trial.type_name).select("subscription_type_id")
-    trial_subs = d.org_subscription.select("organization_id", "subscription_type_id").join(
-        types, "subscription_type_id"
-    )
-    orgs = multiplicity(d.organization.select("organization_id"), ["organization_id"], "org_rows")
-    return multiplicity(trial_subs, ["organization_id"], "sub_rows").join(orgs, "organization_id").select(
-        "organization_id", (F.col("sub_rows") * F.col("org_rows")).alias("m")
-    )
+    the trial type name, ``m`` = rows of the organisation x trial join.
+
+    One row per organisation - a dimension. It meets rolled-up activity, so
+    it is broadcast after a size check (once per domain and trial type)
+    rather than shuffling the activity by organisation, where one busy
+    organisation would load a single reducer."""
+
+    def build() -> DataFrame:
+        types = d.subscription_type.filter(F.col("name") == trial.type_name).select("subscription_type_id")
+        trial_subs = d.org_subscription.select("organization_id", "subscription_type_id").join(
+            types, "subscription_type_id"
+        )
+        orgs = multiplicity(d.organization.select("organization_id"), ["organization_id"], "org_rows")
+        per_org = multiplicity(trial_subs, ["organization_id"], "sub_rows").join(orgs, "organization_id")
+        return checked_broadcast(
+            per_org.select("organization_id", (F.col("sub_rows") * F.col("org_rows")).alias("m"))
+        )
+
+    return d.memo(("trial_orgs", trial.type_name), build)
 
 
 def _trial_activity(

@@ -13,7 +13,8 @@ All frames are lazy; nothing is read until a report runs an action.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Hashable
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,14 @@ class Domain:
     crm_profile: DataFrame
     # DATE column the activity fact is partitioned by (None: not partitioned)
     activity_day_col: str | None = None
+    _memo: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def memo(self, key: Hashable, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived frame built once per domain handle and key (for frames
+        that depend on report parameters, e.g. a size-checked dimension)."""
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
     def activity(self, lo=None, hi=None, lo_strict: bool = False) -> DataFrame:
         """The activity fact restricted to ``lo <= created <= hi`` (``>`` when
