@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,25 +65,26 @@ def attach_daily(spine: DataFrame, daily: DataFrame, series: Series, on: str = "
     return spine.join(bounded_broadcast(daily, series.n_points), on, "left")
 
 
-def attach_detail(spine: DataFrame, detail: DataFrame, series: Series, on: str = "day") -> DataFrame:
+def attach_detail(
+    spine: DataFrame,
+    detail: DataFrame,
+    series: Series,
+    on: str = "day",
+    present: DataFrame | None = None,
+) -> DataFrame:
     """Every detail row plus one blank row per spine day that has none.
 
     Equal to ``spine LEFT JOIN detail ON day`` when every detail day lies on the
     spine (the caller's range filter guarantees it), but the detail side is
     never shuffled by day: a calendar join would send each day's rows to one
     task, so a hot day would sit on a single core. Blank days come from an
-    anti join against the distinct detail days (at most ``n_points`` rows).
+    anti join against the days present (at most ``n_points`` rows); callers
+    can pass ``present`` computed more cheaply than from the detail rows.
     """
     if not series.aligned:
         blank = spine
         detail = detail.filter(F.lit(False))
     else:
-        present = detail.select(on).distinct()
-        blank = spine.join(bounded_broadcast(present, series.n_points), on, "left_anti")
+        days = (present if present is not None else detail).select(on).distinct()
+        blank = spine.join(bounded_broadcast(days, series.n_points), on, "left_anti")
     return detail.unionByName(blank, allowMissingColumns=True)
-
-
-def calendar_days(start: datetime, end: datetime) -> list[date]:
-    """Driver-side list of the days of a (small) series, for tests and labels."""
-    s = Series.between(start, end)
-    return [s.first_day + timedelta(days=i) for i in range(s.n_points)]

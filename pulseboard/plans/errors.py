@@ -136,8 +136,15 @@ def error_detail(
     rows = error_rows(
         d, start, end, error_activities, excluded_orgs, internal=internal, meta_key=meta_key
     )
+    # days that have rows, from a roll-up per (user, organisation, day): the
+    # same rule and filters as the detail, without moving every error row
+    act = _error_activity(d, pair, error_activities, excluded_orgs)
+    rolled = rollup_activity(act, [day_of("created").alias("day")], [F.count(F.lit(1)).alias("n")])
+    present = with_user_rule(rolled, d.user, internal, how="left").select("day")
     spine = day_spine(d.spark, series)
-    out = attach_detail(spine, rows, series).withColumn("activity", F.coalesce("activity", F.lit("")))
+    out = attach_detail(spine, rows, series, present=present).withColumn(
+        "activity", F.coalesce("activity", F.lit(""))
+    )
     # a sort on the day alone would range-partition on ~2N keys (one task per
     # day); the time and ids split a heavy day across partitions
     return out.select(*DETAIL_COLUMNS).orderBy("day", "date", "org_id", "user_id", "activity")
