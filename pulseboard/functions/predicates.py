@@ -14,8 +14,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def keep_external(org: str | Column, username: str | Column, rule: InternalRule) -> Column:
-    """``org = exempt OR username NOT LIKE pattern`` with SQL null semantics."""
+def keep_external(org: str | Column, username: str | Column, rule: InternalRule | None) -> Column:
+    """``org = exempt OR username NOT LIKE pattern`` with SQL null semantics
+    (no rule: every row is kept)."""
+    if rule is None:
+        return F.lit(True)
     not_internal = ~_col(username).like(rule.pattern)
     if rule.exempt_org is None:
         return not_internal
