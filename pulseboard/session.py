@@ -32,10 +32,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting names a shared folder and is left alone. Only a
     bare local session (tests) gets a fresh folder under the system temp dir.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        # core setting, fixed at start-up: only the context's folder is set
         current = tempfile.mkdtemp(prefix="pulseboard-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
 
