@@ -158,3 +158,23 @@ class PeriodPair:
     @classmethod
     def of(cls, start, end) -> "PeriodPair":
         return cls(as_datetime(start), as_datetime(end))
+
+
+@dataclass(frozen=True)
+class ActivityGroups:
+    """Named activity groups (group name -> activity codes).
+
+    ``codes(*names)`` concatenates groups in the order given, without
+    repeating a code - the list a report takes as its activity parameter.
+    """
+
+    groups: dict[str, tuple[str, ...]]
+
+    def codes(self, *names: str) -> list[str]:
+        out: list[str] = []
+        for name in names:
+            for code in self.groups[name]:
+                if code not in out:
+                    out.append(code)
+        return out
+

@@ -4,6 +4,7 @@ from pulseboard.sources.bindings import (
     DOMAIN_TABLES,
     Domain,
     domain_from_catalog,
+    domain_from_jdbc,
     domain_from_parquet,
     domain_from_testdata,
 )
@@ -13,6 +14,7 @@ __all__ = [
     "DOMAIN_TABLES",
     "Domain",
     "domain_from_catalog",
+    "domain_from_jdbc",
     "domain_from_parquet",
     "domain_from_testdata",
     "read_table",

@@ -79,3 +79,11 @@ def test_top1_and_multiplicity(spark):
     out = top1_per_group(df, ["a"], [F.col("n").desc(), F.col("o").asc()])
     assert sorted(rows(out)) == [("e", 1, 5), ("f", 9, 1)]
     assert sorted(rows(multiplicity(df, ["a"]))) == [("e", 3), ("f", 1)]
+
+
+def test_activity_groups_concatenate_in_order():
+    from pulseboard.params import ActivityGroups
+
+    g = ActivityGroups({"a": ("X_1", "X_2"), "b": ("Y_1", "X_2"), "c": ()})
+    assert g.codes("a", "b", "c") == ["X_1", "X_2", "Y_1"]
+    assert g.codes("b") == ["Y_1", "X_2"]
