@@ -58,8 +58,9 @@ def _days(start, end) -> str:
 
 
 # --------------------------------------------------------------------- R1
-def r1(excluded=()) -> str:
+def r1(excluded=(), end=None) -> str:
     s, e = P.r1
+    e = end or e
     t = P.targets.codes
     body = f"""
     SELECT CAST(days.day AS DATE) AS day, o.total_orga_count, o.cs_orga_count, o.vr_orga_count, o.dq_orga_count

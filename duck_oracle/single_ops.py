@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from duck_oracle.bindings import with_bindings
-from duck_oracle.reports import EXT_IDS, not_exists, strs, ts
+from datetime import datetime, time
+
+from duck_oracle.reports import EXT_IDS, not_exists, r1, strs, ts
 from pulseboard.params import PeriodPair
 from pulseboard.plans.catalog import EVENT_TYPES, P
 from pulseboard.plans.single_ops import (
@@ -181,4 +183,6 @@ def build() -> dict[str, str]:
         "days_since_first_event": days_since_first_event(),
         "licence_family_counts": licence_family_counts(),
         "plan_flags": plan_flags(),
+        # the streamed state covers whole days: R1 up to the last instant of its last day
+        "daily_active_orgs_streamed": r1((), datetime.combine(P.r1[1], time.max)),
     }

@@ -201,6 +201,22 @@ def _prefix_by_event_id(event_id: str) -> F.Column:
     return expr
 
 
+def activity_from_events(events: DataFrame, customer: DataFrame) -> DataFrame:
+    """The activity fact from the test ``events`` (batch or streaming frame)
+    and ``customer`` (static): organisation = the customer's nation."""
+    cust_org = customer.select(
+        F.col("c_custkey"), F.col("c_nationkey").cast("bigint").alias("cust_org")
+    )
+    return events.join(cust_org, events.user_id == cust_org.c_custkey).select(
+        F.col("event_id"),
+        F.col("user_id"),
+        F.col("cust_org").alias("organization_id"),
+        F.concat(_prefix_by_event_id("event_id"), F.lit("_"), F.upper("event_type")).alias("activity"),
+        F.col("ts").alias("created"),
+        F.col("props").alias("payload"),
+    )
+
+
 def domain_from_testdata(spark: SparkSession, sf_dir: str) -> Domain:
     def read(name: str) -> DataFrame:
         return read_table(spark, sf_dir, name, TEST_SCHEMAS[name])
@@ -215,15 +231,7 @@ def domain_from_testdata(spark: SparkSession, sf_dir: str) -> Domain:
     cust_org = customer.select(
         F.col("c_custkey"), F.col("c_nationkey").cast("bigint").alias("cust_org")
     )
-
-    user_activity = events.join(cust_org, events.user_id == cust_org.c_custkey).select(
-        F.col("event_id"),
-        F.col("user_id"),
-        F.col("cust_org").alias("organization_id"),
-        F.concat(_prefix_by_event_id("event_id"), F.lit("_"), F.upper("event_type")).alias("activity"),
-        F.col("ts").alias("created"),
-        F.col("props").alias("payload"),
-    )
+    user_activity = activity_from_events(events, customer)
 
     user = customer.select(
         F.col("c_custkey").alias("user_id"),

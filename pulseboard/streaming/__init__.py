@@ -3,8 +3,15 @@
 from pulseboard.streaming.daily_active import (
     daily_active_from_state,
     end_of_day,
+    read_activity_stream,
     rollup_batch,
     start_daily_active_stream,
 )
 
-__all__ = ["daily_active_from_state", "end_of_day", "rollup_batch", "start_daily_active_stream"]
+__all__ = [
+    "daily_active_from_state",
+    "end_of_day",
+    "read_activity_stream",
+    "rollup_batch",
+    "start_daily_active_stream",
+]

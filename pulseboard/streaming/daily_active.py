@@ -61,9 +61,16 @@ def rollup_batch(
     )
 
 
+def read_activity_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """New activity Parquet files under ``path`` (domain schema) as a stream."""
+    reader = spark.readStream.schema(DOMAIN_SCHEMAS["user_activity"]).option("recursiveFileLookup", "true")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return reader.parquet(path)
+
+
 def start_daily_active_stream(
-    spark: SparkSession,
-    activity_path: str,
+    activity: DataFrame,
     users: DataFrame,
     state_path: str,
     checkpoint_path: str,
@@ -73,41 +80,43 @@ def start_daily_active_stream(
     excluded_orgs: Iterable[int] = (),
     available_now: bool = False,
     processing_time: str = "1 minute",
-    max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Start the stream: activity Parquet files under ``activity_path``
-    (domain schema) -> rolled-up daily state appended under ``state_path``.
+    """Start the stream: activity rows of the streaming frame ``activity``
+    (domain columns) -> rolled-up daily state appended under ``state_path``.
 
-    ``checkpoint_path`` must be on shared storage on a cluster.
+    ``checkpoint_path`` and ``state_path`` must be on shared storage on a
+    cluster.
     """
-    reader = spark.readStream.schema(DOMAIN_SCHEMAS["user_activity"])
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.option("recursiveFileLookup", "true").parquet(activity_path)
     excluded = list(excluded_orgs)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         part = rollup_batch(batch, users, internal=internal, targets=targets, excluded_orgs=excluded)
         part.write.mode("append").partitionBy(STATE_DAY_COL).parquet(state_path)
 
-    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+    writer = activity.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start()
 
 
+def empty_state(spark: SparkSession, targets: Targets = Targets()) -> DataFrame:
+    """A state table with no rows (nothing streamed yet)."""
+    return spark.createDataFrame([], _flags_schema(targets))
+
+
 def daily_active_from_state(
     spark: SparkSession,
-    state_path: str,
+    state: str | DataFrame,
     first_day: date,
     last_day: date,
     *,
     targets: Targets = Targets(),
 ) -> DataFrame:
-    """R1 over whole days ``first_day .. last_day`` from the streamed state:
-    the same columns as :func:`pulseboard.plans.usage.daily_active_orgs`."""
-    state = spark.read.schema(_flags_schema(targets)).parquet(state_path).filter(
-        F.col(STATE_DAY_COL).between(F.lit(first_day), F.lit(last_day))
-    )
+    """R1 over whole days ``first_day .. last_day`` from the streamed state
+    (its path, or a frame): the same columns as
+    :func:`pulseboard.plans.usage.daily_active_orgs`."""
+    if isinstance(state, str):
+        state = spark.read.schema(_flags_schema(targets)).parquet(state)
+    state = state.filter(F.col(STATE_DAY_COL).between(F.lit(first_day), F.lit(last_day)))
     conditions = {"total_orga_count": None}
     conditions.update({f"{stem}_orga_count": F.col(f"has_{stem}") for stem in targets.codes})
     daily = distinct_count_by(state, [STATE_DAY_COL], "organization_id", conditions)

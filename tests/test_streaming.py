@@ -9,7 +9,12 @@ from datetime import date
 from pulseboard.plans.catalog import P, _domain
 from pulseboard.plans.usage import daily_active_orgs
 from pulseboard.sources.warehouse import write_domain
-from pulseboard.streaming import daily_active_from_state, end_of_day, start_daily_active_stream
+from pulseboard.streaming import (
+    daily_active_from_state,
+    end_of_day,
+    read_activity_stream,
+    start_daily_active_stream,
+)
 from tests.conftest import SF001, rows
 
 
@@ -18,15 +23,13 @@ def test_stream_matches_batch_over_whole_days(spark):
     d = _domain(spark, SF001)
     write_domain(d, os.path.join(root, "wh"))
     q = start_daily_active_stream(
-        spark,
-        os.path.join(root, "wh", "user_activity"),
+        read_activity_stream(spark, os.path.join(root, "wh", "user_activity"), max_files_per_trigger=7),
         d.user,
         os.path.join(root, "state"),
         os.path.join(root, "ckpt"),
         internal=P.internal,
         targets=P.targets,
         available_now=True,
-        max_files_per_trigger=7,
     )
     q.awaitTermination(300)
     assert q.exception() is None
