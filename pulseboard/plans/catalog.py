@@ -65,13 +65,21 @@ class FixtureParams:
 P = FixtureParams()
 
 
-_DOMAINS: dict[tuple[str, int, str], Domain] = {}
+_DOMAINS: dict[tuple[tuple, str], Domain] = {}
+
+
+def _session_key(spark: SparkSession) -> tuple:
+    """Identity of a session (its application and JVM session when classic)."""
+    try:
+        return (spark.sparkContext.applicationId, id(spark._jsparkSession))
+    except Exception:  # Spark Connect: no context or JVM handle on the client
+        return ("connect", id(spark))
 
 
 def _domain(spark: SparkSession, sf_dir: str) -> Domain:
     """Table handles per (session, folder), reused like catalog tables: the
     file listing is done once, the data is read by every query."""
-    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir)
+    key = (_session_key(spark), sf_dir)
     if key not in _DOMAINS:
         _DOMAINS[key] = domain_from_testdata(spark, sf_dir)
     return _DOMAINS[key]

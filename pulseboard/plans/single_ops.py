@@ -226,14 +226,23 @@ def plan_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scratch_root(spark: SparkSession) -> str:
     """The cluster's shared ``spark.checkpoint.dir``; a local temp folder only
     when the session names none (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-        prefix="pulseboard-"
-    )
+    try:
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # Spark Connect
+        root = spark.conf.get("spark.checkpoint.dir", None)
+    return root or tempfile.mkdtemp(prefix="pulseboard-")
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    try:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    except Exception:  # no JVM handle: ask the reader
+        try:
+            spark.read.parquet(path).schema
+            return True
+        except Exception:
+            return False
 
 
 def daily_active_orgs_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
