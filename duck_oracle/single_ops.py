@@ -20,10 +20,10 @@ from pulseboard.plans.single_ops import (
 def calendar_spine_events() -> str:
     s, e = SPINE_DAYS
     body = f"""
-    SELECT CAST(days.day AS DATE) AS day, o.n_events
-    FROM generate_series({ts(s)}, {ts(e)}, INTERVAL 1 DAY) AS days(day)
+    SELECT CAST(cal.day AS DATE) AS day, q.n_events
+    FROM generate_series({ts(s)}, {ts(e)}, INTERVAL 1 DAY) AS cal(day)
     LEFT JOIN (SELECT date_trunc('day', created) AS d, count(*) AS n_events
-               FROM user_activity GROUP BY 1) AS o ON o.d = days.day"""
+               FROM user_activity GROUP BY 1) AS q ON q.d = cal.day"""
     return with_bindings(body)
 
 
@@ -43,8 +43,8 @@ def exclusion_empty_list_counts() -> str:
 
 def not_exists_activity_counts() -> str:
     return with_bindings(
-        f"SELECT act.activity, count(*) AS n_events FROM user_activity AS act "
-        f"WHERE {not_exists(P.excluded_activities)} GROUP BY act.activity"
+        f"SELECT ev.activity, count(*) AS n_events FROM user_activity AS ev "
+        f"WHERE {not_exists(P.excluded_activities)} GROUP BY ev.activity"
     )
 
 
@@ -56,11 +56,11 @@ def json_text_values() -> str:
 
 def external_ids() -> str:
     return with_bindings(f"""
-    SELECT org.organization_id, org.name AS org_name,
+    SELECT og.organization_id, og.name AS org_name,
            {EXT_IDS}
-    FROM organization AS org
-        LEFT JOIN billing_profile AS bw ON org.billing_id = bw.id
-        LEFT JOIN crm_profile AS hs ON org.crm_id = hs.id""")
+    FROM organization AS og
+        LEFT JOIN billing_profile AS bp ON og.billing_id = bp.id
+        LEFT JOIN crm_profile AS cp ON og.crm_id = cp.id""")
 
 
 def heavy_users_having() -> str:
@@ -107,10 +107,10 @@ def daily_pairing() -> str:
     FROM numbered AS cur JOIN numbered AS prev ON prev.rn = cur.rn - {n}
     WHERE cur.rn >= {n}"""
     counts = f"""
-        SELECT days.day, count(a.created) AS n_events
-        FROM generate_series({ts(pair.series_start)}, {ts(pair.last_day)}, INTERVAL 1 DAY) AS days(day)
-        LEFT JOIN user_activity AS a ON date_trunc('day', a.created) = days.day
-        GROUP BY days.day"""
+        SELECT cal.day, count(a.created) AS n_events
+        FROM generate_series({ts(pair.series_start)}, {ts(pair.last_day)}, INTERVAL 1 DAY) AS cal(day)
+        LEFT JOIN user_activity AS a ON date_trunc('day', a.created) = cal.day
+        GROUP BY cal.day"""
     numbered = "SELECT day, n_events, row_number() OVER (ORDER BY day) - 1 AS rn FROM counts"
     return with_bindings(body, counts=counts, numbered=numbered)
 
@@ -146,22 +146,22 @@ def days_since_first_event() -> str:
 
 def licence_family_counts() -> str:
     def cond(f):
-        terms = [f"sst.name LIKE '{p}%'" for p in f.prefixes] + [f"sst.name = '{n}'" for n in f.names]
+        terms = [f"ty.name LIKE '{p}%'" for p in f.prefixes] + [f"ty.name = '{n}'" for n in f.names]
         return " OR ".join(terms)
 
-    fams = ", ".join(f"count(sst.name) FILTER (WHERE {cond(f)}) AS {col}" for col, f in P.families.items())
+    fams = ", ".join(f"count(ty.name) FILTER (WHERE {cond(f)}) AS {col}" for col, f in P.families.items())
     return with_bindings(f"""
-    SELECT count(sst.name) AS count_all, {fams}
-    FROM user_license AS sul
-        LEFT JOIN org_subscription AS ost ON sul.org_subscription_id = ost.org_subscription_id
-        JOIN subscription_type AS sst ON ost.subscription_type_id = sst.subscription_type_id""")
+    SELECT count(ty.name) AS count_all, {fams}
+    FROM user_license AS lc
+        LEFT JOIN org_subscription AS sb ON lc.org_subscription_id = sb.org_subscription_id
+        JOIN subscription_type AS ty ON sb.subscription_type_id = ty.subscription_type_id""")
 
 
 def plan_flags() -> str:
     return with_bindings("""
     SELECT (pv.touchless IS TRUE) AS touchless_true, (pv.enterprise IS FALSE) AS enterprise_false,
            count(*) AS n_orgs
-    FROM organization AS o JOIN plan_variant AS pv ON o.billing_id = pv.customer_id
+    FROM organization AS g JOIN plan_variant AS pv ON g.billing_id = pv.customer_id
     GROUP BY 1, 2""")
 
 
