@@ -8,8 +8,10 @@ that state, merges flags with ``max`` and counts per day on the calendar.
 
 The state is exact for whole days. A micro-batch that is replayed after a
 failure appends the same rows again, which the ``max`` merge absorbs, so the
-result needs no transactional sink. Compaction is rewriting a day partition
-with the merged rows.
+result needs no transactional sink. Late events need no watermark: whenever
+they arrive they land in their own day's partition and are merged on read;
+no state is held in executors. Compaction is rewriting a day partition with
+the merged rows.
 """
 
 from __future__ import annotations
