@@ -172,9 +172,17 @@ def domain_from_jdbc(
     return Domain(**frames)
 
 
-def domain_from_catalog(spark: SparkSession, database: str) -> Domain:
-    """Domain tables registered in the session catalog under ``database``."""
-    return Domain(**{name: spark.table(f"{database}.{name}") for name in DOMAIN_TABLES})
+def domain_from_catalog(
+    spark: SparkSession, database: str, activity_day_col: str | None = "event_date"
+) -> Domain:
+    """Domain tables registered in the session catalog under ``database``
+    (e.g. by :func:`pulseboard.sources.warehouse.write_domain_catalog`; their
+    bucketing is kept). ``activity_day_col`` names the fact's day partition
+    column when it has one."""
+    frames = {name: spark.table(f"{database}.{name}") for name in DOMAIN_TABLES}
+    if activity_day_col and activity_day_col not in frames["user_activity"].columns:
+        activity_day_col = None
+    return Domain(**frames, activity_day_col=activity_day_col)
 
 
 # ---------------------------------------------------------------------------

@@ -25,3 +25,33 @@ def test_round_trip_and_partition_pruning(spark):
 
     got5 = slipping_away_orgs(wh, P.as_of, P.grabber_group, internal=P.internal, cohort=P.cohort)
     assert sorted(rows(got5)) == sorted(rows(REPORTS["slipping_away_orgs"](spark, SF001)))
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_bucketed_catalog_layout_needs_no_fact_shuffle(spark):
+    """Fact and users bucketed by user: the roll-up and the user join run
+    without any exchange below the join (only aggregates are shuffled)."""
+    from pulseboard.sources.bindings import domain_from_catalog
+    from pulseboard.sources.warehouse import write_domain_catalog
+
+    root = tempfile.mkdtemp(prefix="pulseboard-cat-")
+    write_domain_catalog(_domain(spark, SF001), "pulseboard_test", root, buckets=4)
+    cat = domain_from_catalog(spark, "pulseboard_test")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = daily_active_orgs(cat, *P.r1, internal=P.internal, targets=P.targets)
+        assert rows(got) == rows(REPORTS["daily_active_orgs"](spark, SF001))
+        plan = got._jdf.queryExecution().executedPlan()
+        plan = plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+        joins = [n for n in _nodes(plan) if n.nodeName() == "SortMergeJoin"]
+        assert joins, plan.toString()
+        below = [n.nodeName() for n in _nodes(joins[0])]
+        assert "Exchange" not in below, joins[0].toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
