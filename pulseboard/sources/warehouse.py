@@ -44,11 +44,14 @@ def write_domain_catalog(
     """Write the domain as catalog tables ``database.<table>`` stored under
     ``root/<table>``, with the activity fact partitioned by day and both the
     fact and the users bucketed (and sorted) by ``user_id`` into the same
-    number of buckets.
+    number of buckets; licences and subscriptions are bucketed by the
+    subscription key.
 
     The reports roll the fact up per (user, organisation, ...) and then join
     users on ``user_id``: on this layout the roll-up finds its input already
     clustered by user and the join is bucket to bucket, so neither shuffles.
+    Licence reports join licences to subscriptions on the subscription key,
+    again bucket to bucket.
     Read back with :func:`pulseboard.sources.bindings.domain_from_catalog`.
     """
     spark = domain.spark
@@ -63,5 +66,7 @@ def write_domain_catalog(
             writer = writer.partitionBy(day_col).bucketBy(buckets, "user_id").sortBy("user_id")
         elif name == "user":
             writer = writer.bucketBy(buckets, "user_id").sortBy("user_id")
+        elif name in ("user_license", "org_subscription"):
+            writer = writer.bucketBy(buckets, "org_subscription_id").sortBy("org_subscription_id")
         writer.saveAsTable(f"{database}.{name}")
 
