@@ -85,104 +85,104 @@ def _domain(spark: SparkSession, sf_dir: str) -> Domain:
     return _DOMAINS[key]
 
 
-def _r1(spark, sf_dir):
-    return usage.daily_active_orgs(_domain(spark, sf_dir), *P.r1, (), internal=P.internal, targets=P.targets)
+def _r1(d: Domain) -> DataFrame:
+    return usage.daily_active_orgs(d, *P.r1, (), internal=P.internal, targets=P.targets)
 
 
-def _r1_excl(spark, sf_dir):
+def _r1_excl(d: Domain) -> DataFrame:
     return usage.daily_active_orgs(
-        _domain(spark, sf_dir), *P.r1, P.r1_excluded, internal=P.internal, targets=P.targets
+        d, *P.r1, P.r1_excluded, internal=P.internal, targets=P.targets
     )
 
 
-def _r2(spark, sf_dir):
-    return trials.new_trials_vs_previous(_domain(spark, sf_dir), *P.period, (), trial=P.trial)
+def _r2(d: Domain) -> DataFrame:
+    return trials.new_trials_vs_previous(d, *P.period, (), trial=P.trial)
 
 
-def _r3(spark, sf_dir):
+def _r3(d: Domain) -> DataFrame:
     return licences.concurrent_license_exceeded(
-        _domain(spark, sf_dir), *P.window, (), internal=P.internal,
+        d, *P.window, (), internal=P.internal,
         capped_type_id=P.capped_type_id, activities=P.r3_activities,
     )
 
 
-def _r4(spark, sf_dir):
+def _r4(d: Domain) -> DataFrame:
     return usage.most_active_touchless_orgs(
-        _domain(spark, sf_dir), *P.window, (), internal=P.internal, targets=P.targets
+        d, *P.window, (), internal=P.internal, targets=P.targets
     )
 
 
-def _r5(spark, sf_dir):
+def _r5(d: Domain) -> DataFrame:
     return risk.slipping_away_orgs(
-        _domain(spark, sf_dir), P.as_of, P.grabber_group, (), internal=P.internal, cohort=P.cohort
+        d, P.as_of, P.grabber_group, (), internal=P.internal, cohort=P.cohort
     )
 
 
-def _r6(spark, sf_dir):
-    return licences.daily_assigned_licenses(_domain(spark, sf_dir), *P.licence_window, families=P.families)
+def _r6(d: Domain) -> DataFrame:
+    return licences.daily_assigned_licenses(d, *P.licence_window, families=P.families)
 
 
-def _r7(spark, sf_dir):
-    return errors.top_org_per_error(_domain(spark, sf_dir), *P.window, P.errors, (), internal=P.internal)
+def _r7(d: Domain) -> DataFrame:
+    return errors.top_org_per_error(d, *P.window, P.errors, (), internal=P.internal)
 
 
-def _r8(spark, sf_dir):
+def _r8(d: Domain) -> DataFrame:
     return errors.error_detail(
-        _domain(spark, sf_dir), *P.period, P.errors, (), internal=P.internal, meta_key="k"
+        d, *P.period, P.errors, (), internal=P.internal, meta_key="k"
     )
 
 
-def _r9(spark, sf_dir):
-    return errors.error_counts(_domain(spark, sf_dir), *P.period, P.errors, (), internal=P.internal)
+def _r9(d: Domain) -> DataFrame:
+    return errors.error_counts(d, *P.period, P.errors, (), internal=P.internal)
 
 
-def _r10(spark, sf_dir):
+def _r10(d: Domain) -> DataFrame:
     return errors.error_events(
-        _domain(spark, sf_dir), *P.period, P.errors, P.error_type, (), internal=P.internal, meta_key="k"
+        d, *P.period, P.errors, P.error_type, (), internal=P.internal, meta_key="k"
     )
 
 
-def _r11(spark, sf_dir):
+def _r11(d: Domain) -> DataFrame:
     return errors.error_daily_vs_previous(
-        _domain(spark, sf_dir), *P.period, P.errors, P.error_type, (), internal=P.internal
+        d, *P.period, P.errors, P.error_type, (), internal=P.internal
     )
 
 
-def _r12(spark, sf_dir):
+def _r12(d: Domain) -> DataFrame:
     return trials.trial_product_by_day(
-        _domain(spark, sf_dir), *P.window, P.relevant, internal=P.internal_strict, trial=P.trial
+        d, *P.window, P.relevant, internal=P.internal_strict, trial=P.trial
     )
 
 
-def _r13(spark, sf_dir):
+def _r13(d: Domain) -> DataFrame:
     return trials.trial_activity_by_day(
-        _domain(spark, sf_dir), *P.window, P.relevant, internal=P.internal_strict, trial=P.trial
+        d, *P.window, P.relevant, internal=P.internal_strict, trial=P.trial
     )
 
 
-def _r14(spark, sf_dir):
+def _r14(d: Domain) -> DataFrame:
     return trials.trial_activity_by_product(
-        _domain(spark, sf_dir), *P.window, P.excluded_activities, internal=P.internal, trial=P.trial
+        d, *P.window, P.excluded_activities, internal=P.internal, trial=P.trial
     )
 
 
-def _r15(spark, sf_dir):
+def _r15(d: Domain) -> DataFrame:
     return trials.trial_top_activities(
-        _domain(spark, sf_dir), *P.window, P.excluded_activities, internal=P.internal, trial=P.trial
+        d, *P.window, P.excluded_activities, internal=P.internal, trial=P.trial
     )
 
 
-def _r16(spark, sf_dir):
+def _r16(d: Domain) -> DataFrame:
     return trials.trial_product_mix(
-        _domain(spark, sf_dir), *P.mix_window, P.excluded_activities, internal=P.internal, trial=P.trial
+        d, *P.mix_window, P.excluded_activities, internal=P.internal, trial=P.trial
     )
 
 
-def _r17(spark, sf_dir):
-    return risk.slip_severity(_r5(spark, sf_dir), P.bands)
+def _r17(d: Domain) -> DataFrame:
+    return risk.slip_severity(_r5(d), P.bands)
 
 
-REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+REPORTS_ON_DOMAIN: dict[str, Callable[[Domain], DataFrame]] = {
     "daily_active_orgs": _r1,
     "daily_active_orgs_excluded": _r1_excl,
     "new_trials_vs_previous": _r2,
@@ -202,3 +202,16 @@ REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trial_product_mix": _r16,
     "slip_severity": _r17,
 }
+
+
+def _on_testdata(build: Callable[[Domain], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(_domain(spark, sf_dir))
+
+    run.__name__ = build.__name__
+    return run
+
+
+REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: _on_testdata(build) for name, build in REPORTS_ON_DOMAIN.items()
+}
