@@ -1,21 +1,31 @@
-"""Domain warehouse round trip: day-partitioned fact, pruned reads."""
+"""Domain warehouse layouts: day-partitioned Parquet (pruned reads) and
+bucketed catalog tables (no fact shuffle), against the test-table bindings."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pulseboard.plans.catalog import REPORTS, P, _domain
-from pulseboard.plans.usage import daily_active_orgs
+import pytest
+
+from pulseboard.plans.catalog import REPORTS, REPORTS_ON_DOMAIN, P, _domain
 from pulseboard.plans.risk import slipping_away_orgs
-from pulseboard.sources.bindings import domain_from_parquet
-from pulseboard.sources.warehouse import write_domain
+from pulseboard.plans.usage import daily_active_orgs
+from pulseboard.sources.bindings import domain_from_catalog, domain_from_parquet
+from pulseboard.sources.warehouse import write_domain, write_domain_catalog
 from tests.conftest import SF001, rows
 
 
-def test_round_trip_and_partition_pruning(spark):
+@pytest.fixture(scope="module")
+def layouts(spark):
+    base = _domain(spark, SF001)
     root = tempfile.mkdtemp(prefix="pulseboard-wh-")
-    write_domain(_domain(spark, SF001), root)
-    wh = domain_from_parquet(spark, root)
+    write_domain(base, root + "/parquet")
+    write_domain_catalog(base, "pulseboard_test", root + "/catalog", buckets=4)
+    return base, domain_from_parquet(spark, root + "/parquet"), domain_from_catalog(spark, "pulseboard_test")
+
+
+def test_round_trip_and_partition_pruning(spark, layouts):
+    _, wh, _ = layouts
     got = daily_active_orgs(wh, *P.r1, internal=P.internal, targets=P.targets)
     want = REPORTS["daily_active_orgs"](spark, SF001)
     assert rows(got) == rows(want)
@@ -33,15 +43,10 @@ def _nodes(plan):
         yield from _nodes(plan.children().apply(i))
 
 
-def test_bucketed_catalog_layout_needs_no_fact_shuffle(spark):
+def test_bucketed_catalog_layout_needs_no_fact_shuffle(spark, layouts):
     """Fact and users bucketed by user: the roll-up and the user join run
     without any exchange below the join (only aggregates are shuffled)."""
-    from pulseboard.sources.bindings import domain_from_catalog
-    from pulseboard.sources.warehouse import write_domain_catalog
-
-    root = tempfile.mkdtemp(prefix="pulseboard-cat-")
-    write_domain_catalog(_domain(spark, SF001), "pulseboard_test", root, buckets=4)
-    cat = domain_from_catalog(spark, "pulseboard_test")
+    _, _, cat = layouts
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -57,18 +62,10 @@ def test_bucketed_catalog_layout_needs_no_fact_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_every_report_same_on_both_layouts(spark):
+def test_every_report_same_on_both_layouts(layouts):
     """Report builders give the same rows on the day-partitioned Parquet
     warehouse, on the bucketed catalog tables and on the test-table bindings."""
-    from pulseboard.plans.catalog import REPORTS_ON_DOMAIN
-    from pulseboard.sources.bindings import domain_from_catalog
-    from pulseboard.sources.warehouse import write_domain_catalog
-
-    base = _domain(spark, SF001)
-    root = tempfile.mkdtemp(prefix="pulseboard-wh-all-")
-    write_domain(base, root + "/parquet")
-    write_domain_catalog(base, "pulseboard_all", root + "/catalog", buckets=3)
-    parquet, catalog = domain_from_parquet(spark, root + "/parquet"), domain_from_catalog(spark, "pulseboard_all")
+    base, parquet, catalog = layouts
     # every report on the Parquet warehouse; on the bucketed catalog the ones
     # whose joins the bucketing changes (user roll-ups, licences)
     bucketed = {"daily_active_orgs", "concurrent_license_exceeded", "daily_assigned_licenses", "trial_product_by_day"}
