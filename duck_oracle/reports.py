@@ -82,8 +82,8 @@ def r1(excluded=(), end=None) -> str:
 
 
 # --------------------------------------------------------------------- R2
-def r2() -> str:
-    pair = PeriodPair.of(*P.period)
+def r2(period=None) -> str:
+    pair = PeriodPair.of(*(period or P.period))
     n = pair.n_days
     body = f"""
     SELECT CAST(cur.day AS DATE) AS day, cur.new_trials,
@@ -466,6 +466,8 @@ def build() -> dict[str, str]:
         "trial_top_activities": r15(),
         "trial_product_mix": r16(),
         "slip_severity": r17(),
+        "daily_active_orgs_midday_end": r1((), P.r1_midday_end),
+        "new_trials_one_day": r2(P.one_day),
     }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +55,8 @@ class FixtureParams:
     # periods
     r1: tuple[date, date] = (date(2024, 1, 20), date(2024, 2, 3))
     r1_excluded: tuple[int, ...] = (7,)
+    r1_midday_end: datetime = datetime(2024, 1, 25, 12, 0, 0)
+    one_day: tuple[date, date] = (date(2024, 1, 20), date(2024, 1, 21))
     period: tuple[date, date] = (date(2024, 1, 20), date(2024, 2, 3))
     window: tuple[date, date] = (date(2024, 1, 8), date(2024, 1, 22))
     mix_window: tuple[date, date] = (date(2024, 1, 20), date(2024, 1, 21))
@@ -95,6 +97,18 @@ def _r1_excl(d: Domain) -> DataFrame:
     )
 
 
+def _r1_midday(d: Domain) -> DataFrame:
+    """R1 ending at noon: the last day counts only its events up to then."""
+    return usage.daily_active_orgs(
+        d, P.r1[0], P.r1_midday_end, (), internal=P.internal, targets=P.targets
+    )
+
+
+def _r2_one_day(d: Domain) -> DataFrame:
+    """R2 over a one-day period: one current day paired with the day before."""
+    return trials.new_trials_vs_previous(d, *P.one_day, (), trial=P.trial)
+
+
 def _r2(d: Domain) -> DataFrame:
     return trials.new_trials_vs_previous(d, *P.period, (), trial=P.trial)
 
@@ -201,9 +215,16 @@ REPORTS_ON_DOMAIN: dict[str, Callable[[Domain], DataFrame]] = {
     "trial_top_activities": _r15,
     "trial_product_mix": _r16,
     "slip_severity": _r17,
+    "daily_active_orgs_midday_end": _r1_midday,
+    "new_trials_one_day": _r2_one_day,
 }
 
 
+# the headline runs timed by bench.py: one per report (R1 with and without
+# an exclusion list); the other entries are edge-parameter variants
+HEADLINE = [n for n in REPORTS_ON_DOMAIN if n not in ("daily_active_orgs_midday_end", "new_trials_one_day")]
+
+
 def _on_testdata(build: Callable[[Domain], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build(_domain(spark, sf_dir))
