@@ -41,6 +41,8 @@ def excl(values, col: str = "ev.organization_id") -> str:
 
 
 def not_exists(values, col: str = "ev.activity") -> str:
+    if not list(values):
+        return "TRUE"
     return (
         f"NOT EXISTS (SELECT 1 FROM (SELECT unnest([{', '.join(repr(v) for v in values)}]) AS v) AS lst "
         f"WHERE lst.v = {col})"
@@ -265,7 +267,7 @@ def r7() -> str:
 
 
 # ------------------------------------------------------------- R8 .. R11
-def _r8_rows(activities=None) -> tuple[str, dict]:
+def _r8_rows(activities=None, excluded=()) -> tuple[str, dict]:
     pair = PeriodPair.of(*P.period)
     acts = P.errors if activities is None else activities
     ev_rows = f"""
@@ -284,7 +286,7 @@ def _r8_rows(activities=None) -> tuple[str, dict]:
             {EXT_JOINS}
         WHERE ev.activity IN {strs(acts)}
           AND ev.created BETWEEN {ts(pair.series_start)} AND {ts(pair.end)}
-          AND {excl(())}
+          AND {excl(excluded)}
           AND {rule(P.internal)}"""
     detail = """
         SELECT CAST(cal.day AS DATE) AS day, ev_rows.user_id, ev_rows.username, ev_rows.org_id,
@@ -295,8 +297,8 @@ def _r8_rows(activities=None) -> tuple[str, dict]:
     return detail, {"cal": _days(pair.series_start, pair.end), "ev_rows": ev_rows}
 
 
-def r8() -> str:
-    detail, ctes = _r8_rows()
+def r8(excluded=()) -> str:
+    detail, ctes = _r8_rows(excluded=excluded)
     return with_bindings("SELECT * FROM detail ORDER BY day", **ctes, detail=detail)
 
 
@@ -384,7 +386,7 @@ def r13() -> str:
 
 
 # ---------------------------------------------------------- R14 .. R16
-def _trial_from() -> str:
+def _trial_from(excluded=None) -> str:
     return f"""
         FROM user_activity AS ev
             JOIN users AS us ON us.user_id = ev.user_id
@@ -392,7 +394,7 @@ def _trial_from() -> str:
             JOIN org_subscription AS sb ON sb.organization_id = og.organization_id
             JOIN subscription_type AS ty ON sb.subscription_type_id = ty.subscription_type_id
         WHERE ty.name = '{P.trial.type_name}'
-          AND {not_exists(P.excluded_activities)}"""
+          AND {not_exists(P.excluded_activities if excluded is None else excluded)}"""
 
 
 def r14() -> str:
@@ -414,11 +416,11 @@ def r14() -> str:
     return with_bindings(body, pc=pc)
 
 
-def r15() -> str:
+def r15(excluded=None) -> str:
     s, e = P.window
     body = f"""
     SELECT ev.activity, count(ev.activity) AS activity_count, count(DISTINCT ev.user_id) AS user_count
-    {_trial_from()}
+    {_trial_from(excluded)}
       AND ev.created BETWEEN {ts(s)} AND {ts(e)}
       AND {rule(P.internal)}
     GROUP BY ev.activity
@@ -468,6 +470,8 @@ def build() -> dict[str, str]:
         "slip_severity": r17(),
         "daily_active_orgs_midday_end": r1((), P.r1_midday_end),
         "new_trials_one_day": r2(P.one_day),
+        "trial_top_activities_no_exclusions": r15(()),
+        "error_detail_excluded": r8(P.r1_excluded),
     }
 
 

@@ -109,6 +109,18 @@ def _r2_one_day(d: Domain) -> DataFrame:
     return trials.new_trials_vs_previous(d, *P.one_day, (), trial=P.trial)
 
 
+def _r15_all(d: Domain) -> DataFrame:
+    """R15 with no excluded activity (NOT EXISTS over an empty list)."""
+    return trials.trial_top_activities(d, *P.window, (), internal=P.internal, trial=P.trial)
+
+
+def _r8_excluded(d: Domain) -> DataFrame:
+    """R8 with an organisation excluded (its rows gone, its days blank if empty)."""
+    return errors.error_detail(
+        d, *P.period, P.errors, P.r1_excluded, internal=P.internal, meta_key="k"
+    )
+
+
 def _r2(d: Domain) -> DataFrame:
     return trials.new_trials_vs_previous(d, *P.period, (), trial=P.trial)
 
@@ -217,12 +229,20 @@ REPORTS_ON_DOMAIN: dict[str, Callable[[Domain], DataFrame]] = {
     "slip_severity": _r17,
     "daily_active_orgs_midday_end": _r1_midday,
     "new_trials_one_day": _r2_one_day,
+    "trial_top_activities_no_exclusions": _r15_all,
+    "error_detail_excluded": _r8_excluded,
 }
 
 
 # the headline runs timed by bench.py: one per report (R1 with and without
 # an exclusion list); the other entries are edge-parameter variants
-HEADLINE = [n for n in REPORTS_ON_DOMAIN if n not in ("daily_active_orgs_midday_end", "new_trials_one_day")]
+VARIANTS = (
+    "daily_active_orgs_midday_end",
+    "new_trials_one_day",
+    "trial_top_activities_no_exclusions",
+    "error_detail_excluded",
+)
+HEADLINE = [n for n in REPORTS_ON_DOMAIN if n not in VARIANTS]
 
 
 def _on_testdata(build: Callable[[Domain], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
