@@ -128,3 +128,26 @@ def test_trial_join_does_not_fan_out(spark):
         spark.read.parquet(f"{SF01}/{t}.parquet").count() for t in ("events", "orders", "customer")
     )
     assert outputs and max(outputs) <= largest_input, outputs
+
+
+@pytest.mark.parametrize(
+    "name, broadcasts",
+    [("error_detail", 2), ("error_counts", 1), ("trial_activity_by_product", 1), ("daily_active_orgs", 1)],
+)
+def test_explicit_broadcasts_do_not_depend_on_thresholds(spark, name, broadcasts):
+    """With automatic broadcasting off, the frames broadcast on purpose (size-
+    checked dimensions, parameter-bounded calendars) still are; every other
+    join falls back to a sort-merge join."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        plan = _plan(_q(spark, name))
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert plan.count("BroadcastHashJoin") == broadcasts, plan
