@@ -316,7 +316,7 @@ def r10() -> str:
     return with_bindings(body, **ctes, detail=detail)
 
 
-def r11() -> str:
+def r11(error_type=None) -> str:
     """Zero-filled per-day counts of one error, paired by position: the
     current list is start+1 .. end (flag 1), the previous list the N days up
     to start, where the day start holds its flag-1 count."""
@@ -325,7 +325,7 @@ def r11() -> str:
     s = pair.start.date()
     cur_days = f"SELECT CAST(t.d AS DATE) AS day FROM generate_series({ts(pair.first_current_day)}, {ts(pair.last_day)}, INTERVAL 1 DAY) AS t(d)"
     prev_days = f"SELECT CAST(t.d AS DATE) AS day FROM generate_series({ts(pair.series_start)}, {ts(s)}, INTERVAL 1 DAY) AS t(d)"
-    one = f"SELECT day, interval_var, count(*) AS c FROM detail WHERE activity = '{P.error_type}' GROUP BY day, interval_var"
+    one = f"SELECT day, interval_var, count(*) AS c FROM detail WHERE activity = '{error_type or P.error_type}' GROUP BY day, interval_var"
     cur = f"""
         SELECT cd.day, coalesce(q.c, 0) AS n, row_number() OVER (ORDER BY cd.day) AS pos
         FROM cur_days AS cd LEFT JOIN one AS q ON q.day = cd.day AND q.interval_var = 1"""
@@ -428,8 +428,8 @@ def r15(excluded=None) -> str:
     return with_bindings(body)
 
 
-def r16() -> str:
-    s, e = P.mix_window
+def r16(window=None) -> str:
+    s, e = window or P.mix_window
     listed = strs(P.products.products)
     mixes = f"""
         SELECT array_agg(DISTINCT split_part(ev.activity, '_', 1)) AS products
@@ -472,6 +472,8 @@ def build() -> dict[str, str]:
         "new_trials_one_day": r2(P.one_day),
         "trial_top_activities_no_exclusions": r15(()),
         "error_detail_excluded": r8(P.r1_excluded),
+        "error_daily_vs_previous_bcs": r11("BCS_ERROR"),
+        "trial_product_mix_window": r16(P.window),
     }
 
 

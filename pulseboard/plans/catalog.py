@@ -121,6 +121,16 @@ def _r8_excluded(d: Domain) -> DataFrame:
     )
 
 
+def _r11_bcs(d: Domain) -> DataFrame:
+    """R11 for a second error type."""
+    return errors.error_daily_vs_previous(d, *P.period, P.errors, "BCS_ERROR", (), internal=P.internal)
+
+
+def _r16_window(d: Domain) -> DataFrame:
+    """R16 over the two-week window (more organisations, more mixes)."""
+    return trials.trial_product_mix(d, *P.window, P.excluded_activities, internal=P.internal, trial=P.trial)
+
+
 def _r2(d: Domain) -> DataFrame:
     return trials.new_trials_vs_previous(d, *P.period, (), trial=P.trial)
 
@@ -231,6 +241,8 @@ REPORTS_ON_DOMAIN: dict[str, Callable[[Domain], DataFrame]] = {
     "new_trials_one_day": _r2_one_day,
     "trial_top_activities_no_exclusions": _r15_all,
     "error_detail_excluded": _r8_excluded,
+    "error_daily_vs_previous_bcs": _r11_bcs,
+    "trial_product_mix_window": _r16_window,
 }
 
 
@@ -241,6 +253,8 @@ VARIANTS = (
     "new_trials_one_day",
     "trial_top_activities_no_exclusions",
     "error_detail_excluded",
+    "error_daily_vs_previous_bcs",
+    "trial_product_mix_window",
 )
 HEADLINE = [n for n in REPORTS_ON_DOMAIN if n not in VARIANTS]
 
