@@ -10,7 +10,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseboard.llm import encode, lang_id, token_counts
+from pulseboard.llm import decontaminate, encode, lang_id, token_counts
 from pulseboard.llm.shared import read
 
 
@@ -21,6 +21,13 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judged(decontaminate.find_benchmark(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = lang_id.fit(docs.where(~lang_id.held_out()))
@@ -39,5 +46,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), add=digests, more="ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op4_lang_id, op6_token_counts, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_lang_id, op6_token_counts, op8_bpe)}
 ORACLE_SQL: dict[str, str] = {}
