@@ -10,7 +10,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseboard.llm import decontaminate, encode, lang_id, token_counts
+from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, token_counts
 from pulseboard.llm.shared import read
 
 
@@ -28,6 +28,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = lang_id.fit(docs.where(~lang_id.held_out()))
@@ -46,5 +50,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), add=digests, more="ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_lang_id, op6_token_counts, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_jaccard_join, op4_lang_id, op6_token_counts, op8_bpe)}
 ORACLE_SQL: dict[str, str] = {}
