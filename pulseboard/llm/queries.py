@@ -10,7 +10,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, token_counts
+from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, pii, token_counts
 from pulseboard.llm.shared import read
 
 
@@ -38,6 +38,14 @@ def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model).select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = pii.find_personal(docs, pii.fit(docs))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    counts = [F.size(F.array_compact(F.transform("base.kind", lambda x: F.nullif(x == kind, F.lit(False))))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -50,5 +58,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), add=digests, more="ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_jaccard_join, op4_lang_id, op6_token_counts, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op8_bpe)}
 ORACLE_SQL: dict[str, str] = {}
