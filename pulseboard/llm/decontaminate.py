@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseboard.llm.fm_index import FMIndex
-from pulseboard.llm.shared import ALNUM, LOWER, column_bytes, hash_words, slices, span_hashes, word_bounds
+from pulseboard.llm.shared import ALNUM, LOWER, column_bytes, hash_words, keyed_schema, slices, span_hashes, word_bounds
 
 WIDTH = 13
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
@@ -129,8 +129,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = 1 + size // BLOCK_BYTES
-    key = docs.select(doc_id).schema[0].dataType.simpleString()
-    schema = f"doc_id {key}, text string, n_words long, items array<string>, spans array<struct<first:long,past:long,start:long,stop:long>>"
+    schema = keyed_schema(docs, doc_id, "text string, n_words long, items array<string>, spans array<struct<first:long,past:long,start:long,stop:long>>")
     out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:long,past:long,start:long,stop:long>>").alias("spans"))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()

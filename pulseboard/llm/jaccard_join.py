@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseboard.llm.graph import components
-from pulseboard.llm.shared import LOWER, NOT_SPACE, column_bytes, dropped, mixed, slices, span_hashes, stored, summed_array, word_bounds
+from pulseboard.llm.shared import LOWER, NOT_SPACE, column_bytes, dropped, keyed_schema, mixed, slices, span_hashes, stored, summed_array, word_bounds
 
 SHINGLE, PERCENT = 5, 75
 #: Counters of the sketch that orders pivots, and of the bitmap of classes to verify.
@@ -103,8 +103,6 @@ def _per_text(column: pa.Array) -> Iterator[np.ndarray]:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, class, sketch): a row per document; the sketch on the first of a class in a batch."""
-    key = docs.select(doc_id).schema[0].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, names, sketches, seen = [], [], [], set()
@@ -116,7 +114,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 seen.add(name)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "class", "sketch"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {key}, n long, class long, sketch binary")
+    return docs.select(doc_id, text).mapInArrow(run, keyed_schema(docs, doc_id, "n long, class long, sketch binary"))
 
 
 def _distinct_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseboard.llm.shared import summed_array
+from pulseboard.llm.shared import keyed_schema, summed_array
 
 #: Hashed features; labelled documents sampled per language; characters per pass.
 FEATURES, PER_LANGUAGE, PIECE = 1 << 15, 600, 1 << 20
@@ -182,7 +182,6 @@ def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = docs.select(doc_id).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -190,7 +189,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             said = [own.predict(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {key}, lang_pred string, score double")
+    return docs.select(doc_id, text).mapInArrow(run, keyed_schema(docs, doc_id, "lang_pred string, score double"))
 
 
 def held_out(column: str = "doc_id") -> Column:

@@ -5,8 +5,6 @@ Each one calls its operator and derives the digest columns of its contract.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +50,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digests(ids: str, decoded: str) -> tuple[str, str]:
-        return hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-
-    return encode.encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), add=digests, more="ids_sha256 string, decoded_sha256 string")
+    return encode.encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), outputs="n_tokens ids_sha256 decoded_sha256")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op8_bpe)}

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled by one numpy pass; a longer single text is its own pass.
 CHUNK_BYTES = 1 << 21
@@ -74,9 +75,14 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     out.close()
 
 
-def remainder(column: str, modulus: int) -> F.Column:
-    """crc32 of an id as text, modulo ``modulus``; null ids have none."""
-    return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
+def keyed_schema(df: DataFrame, key: str, rest: str) -> T.StructType:
+    """``doc_id`` with the type of ``df``'s key, which may be a struct of a whole row, and more columns."""
+    return T.StructType([T.StructField("doc_id", df.select(key).schema[0].dataType), *T.StructType.fromDDL(rest).fields])
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), where doc_id is a struct of the whole row: operators hand it through."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
 
 
 # --- byte arrays of a string column -------------------------------------------------

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseboard.llm.bpe import BytePairs
+from pulseboard.llm.shared import keyed_schema
 
 #: Fixed value: the published splitting pattern of this kind of vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -87,7 +88,6 @@ _COUNTERS: dict[str, Counter] = {}
 
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row; ``tokenizer`` is a path that exists on every machine."""
-    key = docs.select(doc_id).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _COUNTERS:
@@ -101,4 +101,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"doc_id {key}, n_bytes long, n_tokens long")
+    return own.mapInArrow(run, keyed_schema(docs, doc_id, "n_bytes long, n_tokens long"))
