@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, pii, token_counts
+from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, metric_join, pii, token_counts
 from pulseboard.llm.shared import read
 
 
@@ -53,5 +53,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), outputs="n_tokens ids_sha256 decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op8_bpe)}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.range_join(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op8_bpe, op9_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
