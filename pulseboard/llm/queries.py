@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, metric_join, pii, token_counts
+from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, metric_join, pii, token_counts, url_rules
 from pulseboard.llm.shared import read
 
 
@@ -49,6 +49,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+#: The contract's given rules, as (verdict, host and path).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), outputs="n_tokens ids_sha256 decoded_sha256")
 
@@ -57,5 +66,5 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.range_join(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op8_bpe, op9_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op7_url_rules, op8_bpe, op9_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
