@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, metric_join, pii, token_counts, url_rules
-from pulseboard.llm.shared import read
+from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, metric_join, pii, token_counts, training_order, url_rules
+from pulseboard.llm.shared import read, scratch_path
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +26,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch_path(spark, "shards")
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    return training_order.materialise(read(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -66,5 +74,5 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.range_join(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op7_url_rules, op8_bpe, op9_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_training_order, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op7_url_rules, op8_bpe, op9_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
