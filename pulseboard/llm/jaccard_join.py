@@ -29,6 +29,7 @@ rows. Extra columns are left out. Texts are read whole.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +42,15 @@ from pulseboard.llm.shared import LOWER, NOT_SPACE, column_bytes, dropped, keyed
 
 SHINGLE, PERCENT = 5, 75
 #: Counters of the sketch that orders pivots, and of the bitmap of classes to verify.
-SKETCH, BITMAP = 1 << 20, 1 << 23
+SKETCH, BITMAP = 1 << 20, 1 << 20
+#: 64-bit words of the short sketch that every member of an unsettled region carries.
+SHORT = 8
 #: Estimated members of a sub-region of a frequent pivot.
 SUB_REGION = 1024
 #: Times a region is entered with a new pivot at most before its last pairs are compared.
 TURNS = 3
+#: Pairs left for each member beyond which they are many.
+MANY = 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -86,6 +91,12 @@ def parity(own: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
 
 
+def short_parity(own: np.ndarray) -> np.ndarray:
+    """The parities folded onto ``SHORT`` words, whatever the set's size."""
+    counts = np.bincount((own & np.uint64(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view(np.int64)
+
+
 def parity_distance(a: bytes, b: bytes) -> int:
     """A lower bound of the size of the symmetric difference: the longer sketch folds onto the shorter."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -102,19 +113,21 @@ def _per_text(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, class, sketch): a row per document; the sketch on the first of a class in a batch."""
+    """(doc_id, n, class, sketch, short): a row per document; the sketches on the first of a class in a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, names, sketches, seen = [], [], [], set()
+            sizes, names, sketches, short, seen = [], [], [], [], set()
             for own in _per_text(b.column(1)):
                 name = class_of(own)
                 sizes.append(len(own))
                 names.append(name)
-                sketches.append(None if name in seen or not len(own) else parity(own))
+                first = len(own) and name not in seen
+                sketches.append(parity(own) if first else None)
+                short.append(short_parity(own) if first else None)
                 seen.add(name)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary()), pa.array(short, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "sketch", "short"])
 
-    return docs.select(doc_id, text).mapInArrow(run, keyed_schema(docs, doc_id, "n long, class long, sketch binary"))
+    return docs.select(doc_id, text).mapInArrow(run, keyed_schema(docs, doc_id, "n long, class long, sketch binary, short array<long>"))
 
 
 def _distinct_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -183,12 +196,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, percent: int) -> Dat
     Sets come from another pass over the texts; a bitmap of fixed size keeps
     the classes that no pair needs out of the shuffle (false hits only add rows).
     """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-
     def mark(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        total[batch.column(0).to_numpy() & (BITMAP // 8 - 1)] |= 1
+        for column in batch.columns:
+            total[column.to_numpy() & (BITMAP - 1)] = 1
 
-    bits = np.packbits(summed_array(needed, BITMAP // 8, mark) > 0)
+    bits = np.packbits(summed_array(pairs.select("a", "b"), BITMAP, mark) > 0)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +208,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, percent: int) -> Dat
         for b in batches:
             names, sets, held = [], [], 0
             for name, own in _distinct_sets(b):
-                if marked[name & (BITMAP // 8 - 1)]:
+                if marked[name & (BITMAP - 1)]:
                     names.append(name)
                     sets.append(own.view(np.int64))
                     held += len(own)
@@ -225,9 +237,10 @@ def _sizes_allow(a: str, b: str, percent: int) -> F.Column:
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents with their class, links between classes), both stored."""
+    """(documents with their class, components (id, root) of linked classes)."""
     documents = stored(classes(docs, doc_id, text), "classes")
-    sketches = documents.where("sketch is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = documents.where("sketch is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), *[F.first(F.col("short")[k]).alias(f"p{k}") for k in range(SHORT)])
+    sketches = stored(sketches, "sketches")
 
     def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
         for _, own in _distinct_sets(batch):
@@ -244,32 +257,44 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     tops = hubs.groupBy("pivot").agg(F.min("hub").alias("top"))
     above = hubs.join(tops, "pivot").select(F.col("hub.class").alias("a"), F.col("hub.n").alias("an"), F.col("top.class").alias("b"), F.col("top.n").alias("bn"))
     to_hub = members.select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("hub.class").alias("b"), F.col("hub.n").alias("bn"))
-    links = _linked(docs, to_hub.unionByName(above), sketches, text, percent)
+    parts = _joined(None, _linked(docs, to_hub.unionByName(above), sketches, text, percent))
 
-    # Regions that still hold several components are entered again with other pivots.
-    members = members.drop("hub")
-    for turn in range(1, TURNS + 1):
-        members, old = _unsettled(members, links), members
-        dropped(old)
+    # Regions that still hold several components; entered again with other pivots while their pairs are many.
+    members, old = _unsettled(members, parts, sketches), members
+    dropped(old)
+    for turn in range(1, TURNS):
         rest = members.groupBy("pivot", "root").agg(F.count("*").alias("k")).groupBy("pivot").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice"), F.sum("k").alias("k"))
         left = rest.agg(F.coalesce(F.sum(F.col("twice").cast("double")) / 2, F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-        if turn == TURNS or left.pairs <= 4 * left.k:
+        if left.pairs <= MANY * left.k:
             break
         hubs = members.groupBy("pivot").agg(F.min(_draw(turn)).alias("hub"))
-        to_hub = members.join(hubs, "pivot").select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("hub.class").alias("b"), F.col("hub.n").alias("bn"), "root", F.col("hub.root").alias("top")).where("root <> top").drop("root", "top")
-        links, old = stored(links.unionByName(_linked(docs, to_hub, sketches, text, percent)), "links"), links
+        to_hub = members.join(hubs, "pivot").where("root <> hub.root").select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("hub.class").alias("b"), F.col("hub.n").alias("bn"))
+        parts = _joined(parts, _linked(docs, to_hub, sketches, text, percent))
+        members, old = _unsettled(members, parts, sketches), members
         dropped(old)
 
     x, y = members.alias("x"), members.alias("y")
     # What two classes share: before the pivot no more than the earlier place, from it on no more than what is left.
     reach = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    # The short sketches bound the symmetric difference from below, as the long ones do.
+    apart = functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(SHORT)])
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
     cross = x.join(
         y,
-        (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _sizes_allow("x.n", "y.n", percent) & ((100 + percent) * reach >= percent * (F.col("x.n") + F.col("y.n"))),
+        (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _sizes_allow("x.n", "y.n", percent) & ((100 + percent) * reach >= percent * (F.col("x.n") + F.col("y.n"))) & near,
     ).select(F.col("x.class").alias("a"), F.col("x.n").alias("an"), F.col("y.class").alias("b"), F.col("y.n").alias("bn"))
-    links, old = stored(links.unionByName(_linked(docs, cross, sketches, text, percent)), "links"), links
-    dropped(old, members)
-    return documents, links
+    parts = _joined(parts, _linked(docs, cross, sketches, text, percent))
+    dropped(members, sketches)
+    return documents, parts
+
+
+def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (id, root) of the links together with those found before, which are stars."""
+    if parts is not None:
+        if links.isEmpty():
+            return parts
+        links = links.unionByName(parts.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return components(links, "a", "b")
 
 
 def _draw(turn: int) -> F.Column:
@@ -287,19 +312,19 @@ def _linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, text: str, p
     return links
 
 
-def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members, with their components, of the regions that hold more than one."""
-    parts = components(links, "a", "b").withColumnRenamed("id", "class")
-    rooted = members.select("pivot", "class", "n", "at").distinct().join(parts, "class", "left").withColumn("root", F.coalesce("root", "class"))
+def _unsettled(members: DataFrame, parts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members, with their components and short sketches, of the regions that hold several components."""
+    short = [f"p{k}" for k in range(SHORT)]
+    known = sketches.select("class", *short).join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = members.select("pivot", "class", "n", "at").join(known, "class")
     several = rooted.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot")
     return stored(rooted.join(several, "pivot", "left_semi"), "members")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    documents, links = near_duplicate_classes(docs, doc_id, text, percent)
+    documents, parts = near_duplicate_classes(docs, doc_id, text, percent)
     named = documents.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    parts = components(links, "a", "b")
     rooted = named.join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_class = rooted.join(smallest, "root").select("class", "component")
