@@ -74,7 +74,7 @@ def main() -> None:
     fact_path = os.path.join(scratch, "user_activity")
     rows.repartition(32).write.mode("overwrite").parquet(fact_path)
     fact = spark.read.schema(DOMAIN_SCHEMAS["user_activity"]).parquet(fact_path)
-    skewed = dataclasses.replace(base, user_activity=fact, _memo={})
+    skewed = dataclasses.replace(base, user_activity=fact)
     n_rows = fact.count()
     n_hot = fact.filter("user_id = 7").count()
 

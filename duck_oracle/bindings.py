@@ -9,29 +9,32 @@ from pulseboard.params import CRM_ID_JSON_KEY
 BINDINGS: dict[str, str] = {
     "user_activity": """
         SELECT e.event_id,
-               e.user_id,
-               CAST(c.c_nationkey AS BIGINT) AS organization_id,
-               (CASE e.event_id % 5 WHEN 0 THEN 'BCS' WHEN 1 THEN 'GRABBER'
-                    WHEN 2 THEN 'EXPORT' WHEN 3 THEN 'VR' WHEN 4 THEN 'LOGIN' END)
-                   || '_' || upper(e.event_type) AS activity,
+               CASE WHEN e.event_id % 29 <> 0 THEN e.user_id END AS user_id,
+               CASE WHEN e.event_id % 31 <> 0 THEN CAST(e.user_id AS BIGINT) // 10 END AS organization_id,
+               CASE WHEN e.event_id % 37 <> 0 THEN
+                   (CASE e.event_id % 5 WHEN 0 THEN 'BCS' WHEN 1 THEN 'GRABBER'
+                        WHEN 2 THEN 'EXPORT' WHEN 3 THEN 'VR' WHEN 4 THEN 'LOGIN' END)
+                       || '_' || upper(e.event_type) END AS activity,
                e.ts AS created,
                e.props AS payload
         FROM events AS e JOIN customer AS c ON e.user_id = c.c_custkey""",
     "users": """
         SELECT c_custkey AS user_id,
                c_name AS username,
-               CAST(c_nationkey AS BIGINT) AS organization_id,
+               CAST(c_custkey AS BIGINT) // 10 AS organization_id,
                c_acctbal < 0 AS is_deleted
         FROM customer""",
+    "org_keys": """
+        SELECT DISTINCT CAST(c_custkey AS BIGINT) // 10 AS k FROM customer""",
     "organization": """
-        SELECT CAST(n_nationkey AS BIGINT) AS organization_id,
-               n_name AS name,
-               'bw-' || CAST(n_nationkey AS VARCHAR) AS billing_id,
-               'hs-' || CAST(n_nationkey AS VARCHAR) AS crm_id
-        FROM nation""",
+        SELECT k AS organization_id,
+               'Org ' || CAST(k AS VARCHAR) AS name,
+               CASE WHEN k % 17 <> 0 THEN 'bw-' || CAST(k AS VARCHAR) END AS billing_id,
+               'hs-' || CAST(k AS VARCHAR) AS crm_id
+        FROM org_keys""",
     "org_subscription": """
         SELECT o.o_orderkey AS org_subscription_id,
-               CAST(c.c_nationkey AS BIGINT) AS organization_id,
+               CAST(c.c_custkey AS BIGINT) // 10 AS organization_id,
                CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS subscription_type_id,
                CAST(o.o_orderkey % 3 + 1 AS INTEGER) AS max_users,
                TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(o.o_orderkey % 30 AS INTEGER)) AS valid_from,
@@ -49,18 +52,18 @@ BINDINGS: dict[str, str] = {
                CASE WHEN l.l_returnflag = 'R' THEN l.l_shipdate END AS unassigned_at
         FROM lineitem AS l JOIN orders AS o ON l.l_orderkey = o.o_orderkey""",
     "plan_variant": """
-        SELECT 'bw-' || CAST(n_nationkey AS VARCHAR) AS customer_id,
-               n_regionkey IN (0, 1, 2) AS touchless,
-               n_regionkey = 2 AS enterprise
-        FROM nation""",
+        SELECT 'bw-' || CAST(k AS VARCHAR) AS customer_id,
+               CASE WHEN k % 7 <> 0 THEN k % 5 IN (0, 1, 2) END AS touchless,
+               CASE WHEN k % 11 <> 0 THEN k % 5 = 2 END AS enterprise
+        FROM org_keys""",
     "billing_profile": """
-        SELECT 'bw-' || CAST(s_suppkey AS VARCHAR) AS id,
+        SELECT (CASE WHEN s_suppkey % 2 = 0 THEN 'bw-' ELSE 'bx-' END) || CAST(s_suppkey AS VARCHAR) AS id,
                '{"' || '%(key)s' || '": "h' || CAST(s_suppkey AS VARCHAR) || '"}' AS customfields
-        FROM supplier WHERE s_suppkey % 2 = 0""",
+        FROM supplier""",
     "crm_profile": """
-        SELECT 'hs-' || CAST(c_custkey AS VARCHAR) AS id,
+        SELECT (CASE WHEN c_custkey % 3 <> 0 THEN 'hs-' ELSE 'hx-' END) || CAST(c_custkey AS VARCHAR) AS id,
                c_name || '-' || c_mktsegment AS billing_customer_id
-        FROM customer WHERE c_custkey < 25 AND c_custkey % 3 <> 0""",
+        FROM customer""",
 }
 
 

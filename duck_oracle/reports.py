@@ -1,451 +1,347 @@
-"""DuckDB oracle SQL of the registered reports.
+"""DuckDB SQL of the registered reports, written from their definitions.
 
-Written the naive way, in the shape of the dashboard's own SQL: row-level
-fan-out joins, calendar LEFT JOINs, positional period pairing. The Spark
-plans take other routes (roll-ups, multiplicities, offset joins), so equal
-results check those rewrites.
+Each report is stated over sets: who counts (``outsiders``), which organisation
+answers to which external ids (``org_ids``), which events fall in the period.
+Period arithmetic is done in SQL. Only parameter values are shared with the
+library.
 """
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
 from duck_oracle.bindings import with_bindings
-from pulseboard.params import BILLING_ID_LENGTH, CRM_ID_JSON_KEY, InternalRule, PeriodPair, as_datetime
+from pulseboard.params import BILLING_ID_LENGTH, CRM_ID_JSON_KEY
 from pulseboard.plans.catalog import P
 
 
 def ts(x) -> str:
-    return f"TIMESTAMP '{as_datetime(x).isoformat(sep=' ')}'"
+    return f"TIMESTAMP '{x.isoformat()}'"
 
 
-def dt(x: date) -> str:
-    return f"DATE '{x.isoformat()}'"
+def one_of(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def strs(values) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+def without(ids) -> str:
+    """Organisations kept by an exclusion list; an empty one keeps all."""
+    return f"organization_id NOT IN ({', '.join(map(str, ids))})" if ids else "TRUE"
 
 
-def rule(r: InternalRule, org: str = "ev.organization_id", user: str = "us.username") -> str:
-    if r.exempt_org is None:
-        return f"({user} NOT LIKE '{r.pattern}')"
-    return f"({org} = {r.exempt_org} OR {user} NOT LIKE '{r.pattern}')"
+def outside(internal, org: str = "a.organization_id") -> str:
+    """The event's user exists and is not an internal account."""
+    free = f"{org} = {internal.exempt_org} OR " if internal.exempt_org is not None else ""
+    return f"EXISTS (FROM users AS u WHERE u.user_id = a.user_id AND ({free}u.username NOT LIKE '{internal.pattern}'))"
 
 
-def excl(values, col: str = "ev.organization_id") -> str:
-    values = list(values)
-    if not values:
-        return "TRUE"
-    return f"{col} NOT IN ({', '.join(str(v) for v in values)})"
+def in_window(start, end) -> str:
+    return f"created >= {ts(start)} AND created <= {ts(end)}"
 
 
-def not_exists(values, col: str = "ev.activity") -> str:
-    if not list(values):
-        return "TRUE"
-    return (
-        f"NOT EXISTS (SELECT 1 FROM (SELECT unnest([{', '.join(repr(v) for v in values)}]) AS v) AS lst "
-        f"WHERE lst.v = {col})"
-    )
+def calendar(start, end) -> str:
+    """One DATE a day, for points a whole number of days after the start."""
+    return f"SELECT CAST(unnest(generate_series({ts(start)}, {ts(end)}, INTERVAL 1 DAY)) AS DATE) AS day"
 
 
-EXT_IDS = f"""coalesce(bp.id, substring(cp.billing_customer_id, 1, {BILLING_ID_LENGTH})) AS bw_org_id,
-             coalesce(json_extract_string(bp.customfields, '$.{CRM_ID_JSON_KEY}'), cp.id) AS hs_org_id"""
-EXT_JOINS = """LEFT JOIN billing_profile AS bp ON og.billing_id = bp.id
-               LEFT JOIN crm_profile AS cp ON og.crm_id = cp.id"""
+#: Every organisation with each pair of profile rows it has, or one row without.
+ORG_IDS = f"""
+    SELECT o.organization_id, o.name AS org_name,
+           CASE WHEN b.id IS NULL THEN left(c.billing_customer_id, {BILLING_ID_LENGTH}) ELSE b.id END AS bw_org_id,
+           ifnull(b.customfields ->> '{CRM_ID_JSON_KEY}', c.id) AS hs_org_id
+    FROM organization AS o
+    LEFT JOIN crm_profile AS c ON c.id = o.crm_id
+    LEFT JOIN billing_profile AS b ON b.id = o.billing_id"""
+#: The same, each combination once, with the number of rows behind it.
+WEIGHED_IDS = "SELECT organization_id, org_name, bw_org_id, hs_org_id, count(*) AS profiles FROM org_ids GROUP BY ALL"
 
 
-def _days(start, end) -> str:
-    return f"SELECT t.day AS day FROM generate_series({ts(start)}, {ts(end)}, INTERVAL 1 DAY) AS t(day)"
+def period(start, end) -> str:
+    """One row: the bounds, the days between them, and where the previous period begins."""
+    return f"""
+    SELECT {ts(start)} AS s, {ts(end)} AS e,
+           date_diff('day', {ts(start)}, {ts(end)}) AS n,
+           CAST({ts(start)} AS DATE) - CAST(date_diff('day', {ts(start)}, {ts(end)}) - 1 AS INTEGER) AS early"""
 
 
 # --------------------------------------------------------------------- R1
 def r1(excluded=(), end=None) -> str:
-    s, e = P.r1
-    e = end or e
-    t = P.targets.codes
-    body = f"""
-    SELECT CAST(cal.day AS DATE) AS day, q.total_orga_count, q.cs_orga_count, q.vr_orga_count, q.dq_orga_count
-    FROM cal LEFT JOIN (
-        SELECT count(DISTINCT ev.organization_id) AS total_orga_count,
-               count(DISTINCT ev.organization_id) FILTER (WHERE ev.activity = '{t['cs']}') AS cs_orga_count,
-               count(DISTINCT ev.organization_id) FILTER (WHERE ev.activity = '{t['vr']}') AS vr_orga_count,
-               count(DISTINCT ev.organization_id) FILTER (WHERE ev.activity = '{t['dq']}') AS dq_orga_count,
-               date_trunc('day', ev.created) AS created_date
-        FROM user_activity AS ev JOIN users AS us ON ev.user_id = us.user_id
-        WHERE ev.created BETWEEN {ts(s)} AND {ts(e)}
-          AND {rule(P.internal)}
-          AND ev.activity IN {strs(t.values())}
-          AND {excl(excluded)}
-        GROUP BY created_date
-    ) AS q ON q.created_date = cal.day
-    ORDER BY cal.day"""
-    return with_bindings(body, cal=_days(s, e))
+    s, e = P.r1[0], end or P.r1[1]
+    stems = P.targets.codes
+    seen = f"""
+    SELECT DISTINCT CAST(created AS DATE) AS day, organization_id, activity FROM user_activity AS a
+    WHERE activity IN {one_of(stems.values())} AND {in_window(s, e)} AND {without(excluded)}
+      AND organization_id IS NOT NULL AND {outside(P.internal)}"""
+    sizes = "SELECT day, activity, count(*) AS orgs FROM seen GROUP BY ALL"
+    totals = "SELECT day, count(DISTINCT organization_id) AS orgs FROM seen GROUP BY day"
+    # a day with events of internal accounts only, or of no organisation, is a day without events
+    columns = ", ".join(
+        f"CASE WHEN t.orgs IS NOT NULL THEN ifnull((SELECT z.orgs FROM sizes AS z WHERE z.day = k.day AND z.activity = '{code}'), 0) END AS {stem}_orga_count"
+        for stem, code in stems.items()
+    )
+    body = f"SELECT k.day, t.orgs AS total_orga_count, {columns} FROM days AS k LEFT JOIN totals AS t USING (day)"
+    return with_bindings(body, days=calendar(s, e), seen=seen, sizes=sizes, totals=totals)
 
 
 # --------------------------------------------------------------------- R2
-def r2(period=None) -> str:
-    pair = PeriodPair.of(*(period or P.period))
-    n = pair.n_days
-    body = f"""
-    SELECT CAST(cur.day AS DATE) AS day, cur.new_trials,
-           CAST(prev.day AS DATE) AS prev_day, prev.new_trials AS prev_new_trials
-    FROM numbered AS cur JOIN numbered AS prev ON prev.rn = cur.rn - {n}
-    WHERE cur.rn >= (SELECT count(*) FROM numbered) // 2
-    ORDER BY cur.day"""
-    counts = f"""
-        SELECT cal.day, count(DISTINCT tr.organization_id) AS new_trials
-        FROM cal LEFT JOIN (
-            SELECT organization_id, valid_from FROM org_subscription
-            WHERE subscription_type_id = {P.trial.type_id}
-              AND valid_from BETWEEN {ts(pair.series_start)} AND {ts(pair.end)}
-              AND {excl((), 'organization_id')}
-        ) AS tr ON date_trunc('day', tr.valid_from) = cal.day
-        GROUP BY 1"""
-    numbered = "SELECT day, new_trials, row_number() OVER (ORDER BY day) - 1 AS rn FROM counts"
-    return with_bindings(body, cal=_days(pair.series_start, pair.end), counts=counts, numbered=numbered)
+def r2(bounds=None) -> str:
+    begun = f"""
+    SELECT CAST(valid_from AS DATE) AS day, count(DISTINCT organization_id) AS trials
+    FROM org_subscription, p
+    WHERE subscription_type_id = {P.trial.type_id} AND valid_from >= p.early AND valid_from <= p.e
+    GROUP BY 1"""
+    body = """
+    SELECT d.day, ifnull(now.trials, 0) AS new_trials, d.before AS prev_day, ifnull(then_.trials, 0) AS prev_new_trials
+    FROM (SELECT CAST(p.s AS DATE) + CAST(k AS INTEGER) AS day, CAST(p.s AS DATE) + CAST(k - p.n AS INTEGER) AS before
+          FROM p, (SELECT unnest(generate_series(1, (SELECT n FROM p))) AS k)) AS d
+    LEFT JOIN begun AS now ON now.day = d.day
+    LEFT JOIN begun AS then_ ON then_.day = d.before"""
+    return with_bindings(body, p=period(*(bounds or P.period)), begun=begun)
 
 
 # --------------------------------------------------------------------- R3
 def r3() -> str:
-    s, e = P.window
-    body = f"""
-    SELECT q.organization_id AS org_id, q.name AS org_name, sb.max_users,
-           count(DISTINCT lc.user_id) AS distinct_users,
-           CAST(date_trunc('day', ev.created) AS DATE) AS created_date,
-           {EXT_IDS}
-    FROM org_subscription AS sb
-        JOIN organization AS q ON sb.organization_id = q.organization_id
-        JOIN user_license AS lc ON sb.org_subscription_id = lc.org_subscription_id
-        JOIN users AS us ON lc.user_id = us.user_id
-        JOIN user_activity AS ev ON lc.user_id = ev.user_id AND ev.organization_id = sb.organization_id
-        LEFT JOIN billing_profile AS bp ON q.billing_id = bp.id
-        LEFT JOIN crm_profile AS cp ON q.crm_id = cp.id
-    WHERE sb.subscription_type_id = {P.capped_type_id}
-      AND ev.created BETWEEN {ts(s)} AND {ts(e)}
-      AND ev.activity IN {strs(P.r3_activities)}
-      AND lc.unassigned_at IS NULL
-      AND {rule(P.internal)}
-      AND {excl(())}
-    GROUP BY date_trunc('day', ev.created), q.organization_id, q.name, sb.max_users, hs_org_id, bw_org_id
-    HAVING count(DISTINCT lc.user_id) > sb.max_users
-    ORDER BY created_date DESC"""
-    return with_bindings(body)
+    seats = f"""
+    SELECT DISTINCT organization_id, max_users, user_id
+    FROM (FROM org_subscription WHERE subscription_type_id = {P.capped_type_id})
+    JOIN (FROM user_license WHERE unassigned_at IS NULL) USING (org_subscription_id)"""
+    present = f"""
+    SELECT DISTINCT CAST(created AS DATE) AS created_date, organization_id, user_id FROM user_activity AS a
+    WHERE activity IN {one_of(P.r3_activities)} AND {in_window(*P.window)} AND {outside(P.internal)}"""
+    crowded = """
+    SELECT created_date, organization_id, max_users, count(*) AS distinct_users
+    FROM present JOIN seats USING (organization_id, user_id)
+    GROUP BY ALL HAVING count(*) > max_users"""
+    body = """
+    SELECT organization_id AS org_id, org_name, max_users, distinct_users, created_date, bw_org_id, hs_org_id
+    FROM crowded JOIN weighed USING (organization_id)"""
+    return with_bindings(body, seats=seats, present=present, crowded=crowded, org_ids=ORG_IDS, weighed=WEIGHED_IDS)
 
 
 # --------------------------------------------------------------------- R4
 def r4() -> str:
-    s, e = P.window
-    t = P.targets.codes
+    stems = P.targets.codes
+    plans = """
+    SELECT organization_id, count(*) AS plans FROM organization
+    JOIN (FROM plan_variant WHERE coalesce(touchless, FALSE) AND NOT coalesce(enterprise, TRUE)) ON customer_id = billing_id
+    GROUP BY organization_id"""
+    use = f"""
+    SELECT organization_id, {", ".join(f"sum(CAST(coalesce(activity = '{c}', FALSE) AS BIGINT)) AS {k}" for k, c in stems.items())},
+           count(DISTINCT user_id) AS overall_uniq_users, max(created) AS last_activity
+    FROM user_activity AS a SEMI JOIN plans USING (organization_id)
+    WHERE {in_window(*P.window)} AND {outside(P.internal)}
+    GROUP BY organization_id"""
+    times = "use.{} * plans.plans * weighed.profiles"
     body = f"""
-    SELECT q.organization_id AS org_id, q.name AS org_name,
-           count(*) FILTER (WHERE ev.activity = '{t['cs']}') AS cs_act,
-           count(*) FILTER (WHERE ev.activity = '{t['vr']}') AS vr_act,
-           count(*) FILTER (WHERE ev.activity = '{t['dq']}') AS dq_act,
-           count(*) FILTER (WHERE ev.activity = '{t['cs']}')
-             + count(*) FILTER (WHERE ev.activity = '{t['vr']}')
-             + count(*) FILTER (WHERE ev.activity = '{t['dq']}') AS all_activities_count,
-           count(DISTINCT ev.user_id) AS overall_uniq_users,
-           max(ev.created) AS last_activity,
-           {EXT_IDS}
-    FROM user_activity AS ev
-        JOIN organization AS q ON ev.organization_id = q.organization_id
-        JOIN users AS us ON ev.user_id = us.user_id
-        JOIN plan_variant AS pv ON pv.customer_id = q.billing_id
-        LEFT JOIN billing_profile AS bp ON q.billing_id = bp.id
-        LEFT JOIN crm_profile AS cp ON q.crm_id = cp.id
-    WHERE ev.created BETWEEN {ts(s)} AND {ts(e)}
-      AND {rule(P.internal)}
-      AND {excl(())}
-      AND (pv.touchless IS TRUE AND pv.enterprise IS FALSE)
-    GROUP BY q.organization_id, q.name, hs_org_id, bw_org_id
-    ORDER BY all_activities_count DESC"""
-    return with_bindings(body)
-
-
-# --------------------------------------------------------------------- R5
-def _r5_parts() -> tuple[str, str]:
-    as_of = as_datetime(P.as_of)
-    since = as_of - timedelta(days=P.cohort.lookback_days)
-    silent = as_of - timedelta(days=P.cohort.silent_days)
-    cohort = f"""
-        SELECT ev.organization_id, ev.user_id
-        FROM user_activity AS ev JOIN users AS us ON ev.user_id = us.user_id
-        WHERE ev.created > {ts(since)}
-          AND ev.activity IN {strs(P.grabber_group)}
-          AND us.is_deleted = FALSE
-          AND {rule(P.internal)}
-          AND {excl(())}
-        GROUP BY ev.user_id, ev.organization_id
-        HAVING max(ev.created) < {ts(silent)} AND count(*) > {P.cohort.min_events}"""
-    select = f"""
-    SELECT og.organization_id AS org_id, og.name AS org_name,
-           count(DISTINCT cohort.user_id) AS user_count,
-           count(DISTINCT us.user_id) AS total_user_count,
-           (CAST(count(DISTINCT cohort.user_id) AS DOUBLE) / count(DISTINCT us.user_id)) * 100 AS slip_dist,
-           {EXT_IDS}
-    FROM organization AS og
-        JOIN cohort ON cohort.organization_id = og.organization_id
-        JOIN users AS us ON us.organization_id = og.organization_id
-        {EXT_JOINS}
-    GROUP BY og.organization_id, og.name, hs_org_id, bw_org_id"""
-    return cohort, select
+    SELECT organization_id AS org_id, org_name,
+           {", ".join(f"CAST({times.format(k)} AS BIGINT) AS {k}_act" for k in stems)},
+           CAST(({" + ".join(f"use.{k}" for k in stems)}) * plans.plans * weighed.profiles AS BIGINT) AS all_activities_count,
+           overall_uniq_users, last_activity, hs_org_id, bw_org_id
+    FROM use JOIN plans USING (organization_id) JOIN weighed USING (organization_id)"""
+    return with_bindings(body, plans=plans, use=use, org_ids=ORG_IDS, weighed=WEIGHED_IDS)
+
+
+# ---------------------------------------------------------------- R5, R17
+def _slipping() -> dict[str, str]:
+    c, now = P.cohort, ts(P.as_of)
+    quiet = f"""
+    SELECT organization_id, user_id FROM user_activity AS a
+    WHERE activity IN {one_of(P.grabber_group)} AND created > {now} - INTERVAL {c.lookback_days} DAY
+      AND user_id IN (SELECT user_id FROM users WHERE NOT is_deleted) AND {outside(P.internal)}
+    GROUP BY ALL
+    HAVING count(*) > {c.min_events} AND max(created) < {now} - INTERVAL {c.silent_days} DAY"""
+    lost = "SELECT organization_id, count(DISTINCT user_id) AS user_count FROM quiet GROUP BY ALL"
+    staff = "SELECT organization_id, count(DISTINCT user_id) AS total_user_count FROM users GROUP BY ALL"
+    slipping = """
+    SELECT organization_id AS org_id, org_name, user_count, total_user_count,
+           (user_count::DOUBLE / total_user_count) * 100 AS slip_dist, bw_org_id, hs_org_id
+    FROM lost JOIN staff USING (organization_id) JOIN weighed USING (organization_id)"""
+    return {"quiet": quiet, "lost": lost, "staff": staff, "org_ids": ORG_IDS, "weighed": WEIGHED_IDS, "slipping": slipping}
 
 
 def r5() -> str:
-    cohort, select = _r5_parts()
-    return with_bindings(select + "\n    ORDER BY user_count DESC, slip_dist DESC, org_name ASC", cohort=cohort)
+    return with_bindings("FROM slipping", **_slipping())
 
 
 def r17() -> str:
-    b = P.bands
-    cohort, select = _r5_parts()
-    body = f"""
-    SELECT r.*, CASE WHEN r.slip_dist >= {b.high} THEN 'high'
-                     WHEN r.slip_dist >= {b.medium} THEN 'medium'
-                     WHEN r.slip_dist < {b.medium} THEN 'low' END AS severity
-    FROM r5 AS r"""
-    return with_bindings(body, cohort=cohort, r5=select)
+    names = f"[{P.bands.medium}, {P.bands.high}]"
+    body = f"SELECT *, ['low', 'medium', 'high'][1 + len(list_filter({names}, lambda b: slip_dist >= b))] AS severity FROM slipping"
+    return with_bindings(body, **_slipping())
 
 
 # --------------------------------------------------------------------- R6
 def r6() -> str:
-    s, e = P.licence_window
-    fam = P.families
+    given = """
+    SELECT CAST(assigned_at AS DATE) AS day, name, count(*) AS seats
+    FROM user_license JOIN org_subscription USING (org_subscription_id) JOIN subscription_type USING (subscription_type_id)
+    GROUP BY ALL"""
 
-    def cond(f):
-        terms = [f"ty.name LIKE '{p}%'" for p in f.prefixes] + [f"ty.name = '{n}'" for n in f.names]
-        return " OR ".join(terms)
+    def family(f) -> str:
+        return " OR ".join([f"starts_with(name, '{p}')" for p in f.prefixes] + [f"name = '{n}'" for n in f.names])
 
-    filters = ",\n".join(
-        f"count(ty.name) FILTER (WHERE {cond(f)}) AS {col}" for col, f in fam.items()
+    columns = ", ".join(
+        f"CAST(CASE WHEN count(given.day) > 0 THEN ifnull(sum(seats) FILTER (WHERE {family(f)}), 0) END AS BIGINT) AS {name}"
+        for name, f in P.families.items()
     )
-    body = f"""
-    SELECT CAST(cal.day AS DATE) AS day, q.count_all, {', '.join('q.' + c for c in fam)}
-    FROM cal LEFT JOIN (
-        SELECT date_trunc('day', lc.assigned_at) AS assigned,
-               count(ty.name) AS count_all,
-               {filters}
-        FROM user_license AS lc
-            LEFT JOIN org_subscription AS sb ON lc.org_subscription_id = sb.org_subscription_id
-            JOIN subscription_type AS ty ON sb.subscription_type_id = ty.subscription_type_id
-        GROUP BY assigned
-    ) AS q ON q.assigned = cal.day
-    ORDER BY cal.day"""
-    return with_bindings(body, cal=_days(s, e))
+    every = "CAST(CASE WHEN count(given.day) > 0 THEN ifnull(sum(seats) FILTER (WHERE name IS NOT NULL), 0) END AS BIGINT)"
+    body = f"SELECT days.day, {every} AS count_all, {columns} FROM days LEFT JOIN given USING (day) GROUP BY days.day"
+    return with_bindings(body, days=calendar(*P.licence_window), given=given)
 
 
 # --------------------------------------------------------------------- R7
 def r7() -> str:
-    s, e = P.window
-    body = f"""
-    SELECT ranked.activity, ranked.organization_id AS org_id, ranked.act_count, ranked.last_act,
-           ranked.org_name, ranked.hs_org_id, ranked.bw_org_id
-    FROM (
-        SELECT ev.activity, ev.organization_id, og.name AS org_name,
-               count(ev.activity) AS act_count,
-               max(ev.created) AS last_act,
-               row_number() OVER (
-                   PARTITION BY ev.activity
-                   ORDER BY count(ev.activity) DESC, ev.organization_id ASC,
-                            hs_org_id ASC NULLS FIRST, bw_org_id ASC NULLS FIRST
-               ) AS rk,
-               {EXT_IDS}
-        FROM user_activity AS ev
-            JOIN organization AS og ON ev.organization_id = og.organization_id
-            JOIN users AS us ON ev.user_id = us.user_id
-            {EXT_JOINS}
-        WHERE ev.created BETWEEN {ts(s)} AND {ts(e)}
-          AND ev.activity IN {strs(P.errors)}
-          AND {excl(())}
-          AND {rule(P.internal)}
-        GROUP BY ev.activity, ev.organization_id, org_name, hs_org_id, bw_org_id
-    ) AS ranked
-    WHERE rk = 1
-    ORDER BY ranked.act_count DESC"""
-    return with_bindings(body)
+    tally = f"""
+    SELECT activity, organization_id, count(*) AS events, max(created) AS last_act FROM user_activity AS a
+    WHERE activity IN {one_of(P.errors)} AND {in_window(*P.window)} AND {outside(P.internal)}
+    GROUP BY ALL"""
+    body = """
+    SELECT DISTINCT ON (activity) activity, organization_id AS org_id, events * profiles AS act_count, last_act, org_name, hs_org_id, bw_org_id
+    FROM tally JOIN weighed USING (organization_id)
+    ORDER BY activity, events * profiles DESC, organization_id, hs_org_id NULLS FIRST, bw_org_id NULLS FIRST"""
+    return with_bindings(body, tally=tally, org_ids=ORG_IDS, weighed=WEIGHED_IDS)
 
 
 # ------------------------------------------------------------- R8 .. R11
-def _r8_rows(activities=None, excluded=()) -> tuple[str, dict]:
-    pair = PeriodPair.of(*P.period)
-    acts = P.errors if activities is None else activities
-    ev_rows = f"""
-        SELECT us.user_id, us.username,
-               og.organization_id AS org_id, og.name AS org_name,
-               ev.activity,
-               ev.payload ->> 'k' AS meta,
-               (CASE WHEN ev.created > {ts(pair.start)} THEN 1
-                     WHEN ev.created <= {ts(pair.start)} THEN 0 END) AS interval_var,
-               date_trunc('day', ev.created) AS created_date,
-               strftime(ev.created, '%Y-%m-%d, %H:%M:%S UTC') AS date,
-               {EXT_IDS}
-        FROM user_activity AS ev
-            LEFT JOIN users AS us ON ev.user_id = us.user_id
-            LEFT JOIN organization AS og ON ev.organization_id = og.organization_id
-            {EXT_JOINS}
-        WHERE ev.activity IN {strs(acts)}
-          AND ev.created BETWEEN {ts(pair.series_start)} AND {ts(pair.end)}
-          AND {excl(excluded)}
-          AND {rule(P.internal)}"""
-    detail = """
-        SELECT CAST(cal.day AS DATE) AS day, ev_rows.user_id, ev_rows.username, ev_rows.org_id,
-               ev_rows.org_name, coalesce(ev_rows.activity, '') AS activity, ev_rows.meta,
-               CAST(ev_rows.interval_var AS INTEGER) AS interval_var, ev_rows.date,
-               ev_rows.hs_org_id, ev_rows.bw_org_id
-        FROM cal LEFT JOIN ev_rows ON ev_rows.created_date = cal.day"""
-    return detail, {"cal": _days(pair.series_start, pair.end), "ev_rows": ev_rows}
+def _errors(activities, excluded=(), bounds=None) -> dict[str, str]:
+    """Error events of both periods, of known users or of the exempt organisation, with all ids."""
+    rule = P.internal
+    kept = f"""
+    SELECT a.*, u.user_id AS known_user, u.username
+    FROM (FROM user_activity, p WHERE created >= p.early AND created <= p.e
+            AND activity IN {one_of(activities)} AND {without(excluded)}) AS a
+    LEFT JOIN users AS u ON u.user_id = a.user_id
+    WHERE CASE WHEN a.organization_id = {rule.exempt_org} THEN TRUE ELSE u.username NOT LIKE '{rule.pattern}' END"""
+    told = """
+    SELECT CAST(k.created AS DATE) AS day, k.known_user AS user_id, k.username, i.organization_id AS org_id, i.org_name,
+           k.activity, k.payload ->> 'k' AS meta, CAST(k.created > p.s AS INTEGER) AS interval_var,
+           strftime(k.created, '%Y-%m-%d, %H:%M:%S UTC') AS date, i.hs_org_id, i.bw_org_id
+    FROM p, kept AS k LEFT JOIN org_ids AS i USING (organization_id)"""
+    return {"p": period(*(bounds or P.period)), "org_ids": ORG_IDS, "kept": kept, "told": told}
 
 
 def r8(excluded=()) -> str:
-    detail, ctes = _r8_rows(excluded=excluded)
-    return with_bindings("SELECT * FROM detail ORDER BY day", **ctes, detail=detail)
+    body = """
+    FROM told
+    UNION ALL BY NAME
+    SELECT day, '' AS activity
+    FROM (SELECT CAST(unnest(generate_series((SELECT early FROM p), (SELECT e FROM p), INTERVAL 1 DAY)) AS DATE) AS day)
+    ANTI JOIN told USING (day)"""
+    return with_bindings(body, **_errors(P.errors, excluded))
 
 
-def r9() -> str:
-    detail, ctes = _r8_rows()
-    body = """
-    SELECT activity, count(*) AS error_count FROM detail WHERE interval_var = 1
-    GROUP BY activity ORDER BY error_count DESC, activity"""
-    return with_bindings(body, **ctes, detail=detail)
+def r9(activities=None) -> str:
+    body = "SELECT activity, sum(interval_var)::BIGINT AS error_count FROM told GROUP BY activity HAVING sum(interval_var) > 0"
+    return with_bindings(body, **_errors(activities or P.errors))
 
 
 def r10() -> str:
-    detail, ctes = _r8_rows()
-    body = f"SELECT * FROM detail WHERE activity = '{P.error_type}' AND interval_var = 1"
-    return with_bindings(body, **ctes, detail=detail)
-
-
-def r11(error_type=None) -> str:
-    """Zero-filled per-day counts of one error, paired by position: the
-    current list is start+1 .. end (flag 1), the previous list the N days up
-    to start, where the day start holds its flag-1 count."""
-    pair = PeriodPair.of(*P.period)
-    detail, ctes = _r8_rows()
-    s = pair.start.date()
-    cur_days = f"SELECT CAST(t.d AS DATE) AS day FROM generate_series({ts(pair.first_current_day)}, {ts(pair.last_day)}, INTERVAL 1 DAY) AS t(d)"
-    prev_days = f"SELECT CAST(t.d AS DATE) AS day FROM generate_series({ts(pair.series_start)}, {ts(s)}, INTERVAL 1 DAY) AS t(d)"
-    one = f"SELECT day, interval_var, count(*) AS c FROM detail WHERE activity = '{error_type or P.error_type}' GROUP BY day, interval_var"
-    cur = f"""
-        SELECT cd.day, coalesce(q.c, 0) AS n, row_number() OVER (ORDER BY cd.day) AS pos
-        FROM cur_days AS cd LEFT JOIN one AS q ON q.day = cd.day AND q.interval_var = 1"""
-    prev = f"""
-        SELECT pd.day, coalesce(q.c, 0) AS n, row_number() OVER (ORDER BY pd.day) AS pos
-        FROM prev_days AS pd LEFT JOIN one AS q
-          ON q.day = pd.day AND q.interval_var = CASE WHEN pd.day = {dt(s)} THEN 1 ELSE 0 END"""
+    return with_bindings("FROM told WHERE interval_var = 1", **_errors([P.error_type]))
+
+
+def _per_day(error_type=None, bounds=None) -> dict[str, str]:
+    """Events of one type a day: before the start those of the earlier period, from it on those after it."""
+    ctes = _errors([error_type or P.error_type], (), bounds)
+    ctes["per_day"] = """
+    SELECT day, count(*) AS events FROM told, p
+    WHERE (interval_var = 1) = (day >= CAST(p.s AS DATE)) GROUP BY day"""
+    ctes["span"] = """
+    SELECT CAST(p.s AS DATE) AS s, CAST(p.e AS DATE) AS e, p.early, d.day, per_day.events
+    FROM p, (SELECT CAST(unnest(generate_series((SELECT early FROM p), (SELECT e FROM p), INTERVAL 1 DAY)) AS DATE) AS day) AS d
+    LEFT JOIN per_day ON per_day.day = d.day"""
+    return ctes
+
+
+def r11(error_type=None, bounds=None) -> str:
+    """Lists of days: the current one ends before ``end`` unless that day has events, the
+    previous one starts after its first day unless that has events; paired place by place."""
+    ctes = _per_day(error_type, bounds)
+    pick = "SELECT list({{'day': day, 'events': ifnull(events, 0)}} ORDER BY day) AS days FROM span WHERE {}"
+    ctes["ahead"] = pick.format("day > s AND (day < e OR events IS NOT NULL)")
+    ctes["behind"] = pick.format("day <= s AND (day > early OR events IS NOT NULL OR early = s)")
     body = """
-    SELECT cur.day, CAST(cur.n AS BIGINT) AS error_count,
-           prev.day AS prev_day, CAST(prev.n AS BIGINT) AS prev_error_count
-    FROM cur JOIN prev ON cur.pos = prev.pos ORDER BY cur.day"""
-    return with_bindings(
-        body, **ctes, detail=detail, one=one, cur_days=cur_days, prev_days=prev_days, cur=cur, prev=prev
-    )
+    SELECT ahead.days[k].day AS day, ahead.days[k].events AS error_count,
+           behind.days[k].day AS prev_day, behind.days[k].events AS prev_error_count
+    FROM ahead, behind, (SELECT unnest(generate_series(1, (SELECT len(days) FROM ahead))) AS k)"""
+    return with_bindings(body, **ctes)
+
+
+def r11_every_day() -> str:
+    body = """
+    SELECT x.day, ifnull(x.events, 0) AS error_count, y.day AS prev_day, ifnull(y.events, 0) AS prev_error_count
+    FROM span AS x JOIN span AS y ON y.day = x.day - CAST(x.e - x.s AS INTEGER) WHERE x.day > x.s"""
+    return with_bindings(body, **_per_day())
 
 
 # ---------------------------------------------------------------- R12, R13
-def _trial_core(select_key: str, agg: str) -> str:
+def _trial_days(label: str, value: str, name: str) -> str:
     s, e = P.window
-    return f"""
-        SELECT CAST(date_diff('day', CAST(sb.valid_from AS DATE), CAST(ev.created AS DATE)) AS INTEGER) AS day_nr,
-               {select_key},
-               {agg} AS act_count
-        FROM org_subscription AS sb
-            JOIN user_license AS lc ON lc.org_subscription_id = sb.org_subscription_id
-            JOIN users AS us ON lc.user_id = us.user_id
-            JOIN user_activity AS ev ON ev.user_id = lc.user_id
-        WHERE sb.valid_until > {ts(e)}
-          AND sb.valid_from > {ts(s)}
-          AND sb.subscription_type_id = {P.trial.type_id}
-          AND ev.created BETWEEN {ts(s)} AND {ts(e)}
-          AND ev.activity IN {strs(P.relevant)}
-          AND {rule(P.internal_strict)}
-        GROUP BY 1, 2"""
-
-
-def _dense(key: str, core: str) -> str:
-    days = P.trial.days
-    early = f"SELECT * FROM core WHERE day_nr < {days}"
+    terms = f"""
+    SELECT l.user_id, CAST(t.valid_from AS DATE) AS began
+    FROM user_license AS l
+    JOIN (FROM org_subscription WHERE subscription_type_id = {P.trial.type_id} AND valid_from > {ts(s)} AND valid_until > {ts(e)}) AS t
+      USING (org_subscription_id)"""
+    steps = f"""
+    SELECT CAST(a.created AS DATE) - terms.began AS nr, {label} AS label, a.user_id
+    FROM (FROM user_activity AS a WHERE activity IN {one_of(P.relevant)} AND {in_window(s, e)} AND {outside(P.internal_strict)}) AS a
+    JOIN terms USING (user_id)
+    WHERE CAST(a.created AS DATE) - terms.began < {P.trial.days}"""
     body = f"""
-    SELECT CAST(g.day_nr AS INTEGER) AS day_nr, k.{key}, CAST(coalesce(e.act_count, 0) AS BIGINT) AS act_count
-    FROM (SELECT DISTINCT {key} FROM early) AS k
-        CROSS JOIN (SELECT range AS day_nr FROM range(1, {days + 1})) AS g
-        LEFT JOIN early AS e ON e.{key} IS NOT DISTINCT FROM k.{key} AND e.day_nr + 1 = g.day_nr
-    ORDER BY 1, 2"""
-    return with_bindings(body, core=core, early=early)
+    SELECT CAST(nr + 1 AS INTEGER) AS day_nr, label AS {name}, CAST(max(amount) AS BIGINT) AS act_count
+    FROM (SELECT nr, label, {value} AS amount FROM steps WHERE nr >= 0 GROUP BY ALL
+          UNION ALL
+          SELECT unnest(generate_series(0, {P.trial.days - 1})), label, 0 FROM (SELECT DISTINCT label FROM steps))
+    GROUP BY ALL"""
+    return with_bindings(body, terms=terms, steps=steps)
 
 
 def r12() -> str:
-    return _dense(
-        "product_name",
-        _trial_core("split_part(ev.activity, '_', 1) AS product_name", "count(DISTINCT us.user_id)"),
-    )
+    return _trial_days("split_part(a.activity, '_', 1)", "count(DISTINCT user_id)", "product_name")
 
 
 def r13() -> str:
-    return _dense("activity", _trial_core("ev.activity", "count(*)"))
+    return _trial_days("a.activity", "count(*)", "activity")
 
 
 # ---------------------------------------------------------- R14 .. R16
-def _trial_from(excluded=None) -> str:
-    return f"""
-        FROM user_activity AS ev
-            JOIN users AS us ON us.user_id = ev.user_id
-            JOIN organization AS og ON ev.organization_id = og.organization_id
-            JOIN org_subscription AS sb ON sb.organization_id = og.organization_id
-            JOIN subscription_type AS ty ON sb.subscription_type_id = ty.subscription_type_id
-        WHERE ty.name = '{P.trial.type_name}'
-          AND {not_exists(P.excluded_activities if excluded is None else excluded)}"""
+def _of_trials(window, excluded) -> dict[str, str]:
+    """Organisations by how often they were on trial, and their events outside the excluded activities."""
+    unlisted = f"(activity IS NULL OR activity NOT IN {one_of(excluded)})" if excluded else "TRUE"
+    return {
+        "trial_orgs": f"""
+    SELECT organization_id, count(*) AS trials FROM org_subscription
+    SEMI JOIN (FROM subscription_type WHERE name = '{P.trial.type_name}') USING (subscription_type_id)
+    GROUP BY organization_id""",
+        "used": f"""
+    SELECT organization_id, activity, split_part(activity, '_', 1) AS prefix, user_id, count(*) AS events FROM user_activity AS a
+    WHERE {in_window(*window)} AND {unlisted} AND {outside(P.internal)}
+    GROUP BY ALL""",
+    }
 
 
 def r14() -> str:
-    s, e = P.window
-    listed = strs(P.products.products)
-    pc = f"""
-        SELECT split_part(ev.activity, '_', 1) AS product,
-               count(split_part(ev.activity, '_', 1)) AS product_count
-        {_trial_from()}
-          AND ev.created BETWEEN {ts(s)} AND {ts(e)}
-          AND {rule(P.internal)}
-        GROUP BY product"""
+    listed = one_of(P.products.products)
     body = f"""
-    SELECT product, CAST(product_count AS BIGINT) AS product_count FROM pc WHERE product IN {listed}
-    UNION ALL
-    SELECT '{P.products.other}' AS product,
-           CAST(coalesce(sum(product_count) FILTER (WHERE product IS NULL OR product NOT IN {listed}), 0) AS BIGINT)
-    FROM pc"""
-    return with_bindings(body, pc=pc)
+    SELECT product, CAST(sum(events) AS BIGINT) AS product_count
+    FROM (SELECT CASE WHEN prefix IN {listed} THEN prefix ELSE '{P.products.other}' END AS product, events * trials AS events
+          FROM used JOIN trial_orgs USING (organization_id) WHERE activity IS NOT NULL
+          UNION ALL SELECT '{P.products.other}', 0)
+    GROUP BY product"""
+    return with_bindings(body, **_of_trials(P.window, P.excluded_activities))
 
 
 def r15(excluded=None) -> str:
-    s, e = P.window
-    body = f"""
-    SELECT ev.activity, count(ev.activity) AS activity_count, count(DISTINCT ev.user_id) AS user_count
-    {_trial_from(excluded)}
-      AND ev.created BETWEEN {ts(s)} AND {ts(e)}
-      AND {rule(P.internal)}
-    GROUP BY ev.activity
-    ORDER BY activity_count DESC"""
-    return with_bindings(body)
+    body = """
+    SELECT activity, CAST(sum(CASE WHEN activity IS NULL THEN 0 ELSE events * trials END) AS BIGINT) AS activity_count,
+           count(DISTINCT user_id) AS user_count
+    FROM used JOIN trial_orgs USING (organization_id) GROUP BY activity"""
+    return with_bindings(body, **_of_trials(P.window, P.excluded_activities if excluded is None else excluded))
 
 
 def r16(window=None) -> str:
-    s, e = window or P.mix_window
-    listed = strs(P.products.products)
-    mixes = f"""
-        SELECT array_agg(DISTINCT split_part(ev.activity, '_', 1)) AS products
-        {_trial_from()}
-          AND ev.created BETWEEN {ts(s)} AND {ts(e)}
-          AND {rule(P.internal)}
-        GROUP BY ev.organization_id"""
-    labels = f"""
-        SELECT array_to_string(list_sort(list_distinct(list_filter(products, lambda x: x IN {listed}))), '+')
-               AS product_mix
-        FROM mixes"""
-    body = """
-    SELECT product_mix, count(*) AS org_count FROM labels
-    WHERE product_mix IS NOT NULL AND product_mix <> ''
-    GROUP BY product_mix ORDER BY org_count DESC, product_mix"""
-    return with_bindings(body, mixes=mixes, labels=labels)
+    body = f"""
+    SELECT product_mix, count(*) AS org_count
+    FROM (SELECT organization_id, string_agg(DISTINCT prefix, '+' ORDER BY prefix) AS product_mix
+          FROM used SEMI JOIN trial_orgs USING (organization_id)
+          WHERE prefix IN {one_of(P.products.products)} GROUP BY organization_id)
+    GROUP BY product_mix"""
+    return with_bindings(body, **_of_trials(window or P.mix_window, P.excluded_activities))
 
 
 def build() -> dict[str, str]:
@@ -474,6 +370,9 @@ def build() -> dict[str, str]:
         "error_detail_excluded": r8(P.r1_excluded),
         "error_daily_vs_previous_bcs": r11("BCS_ERROR"),
         "trial_product_mix_window": r16(P.window),
+        "error_daily_vs_previous_first_day_empty": r11(None, P.r11_early),
+        "error_daily_vs_previous_every_day": r11_every_day(),
+        "error_counts_of_groups": r9(P.groups.codes("cards", "visits")),
     }
 
 

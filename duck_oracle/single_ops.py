@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from duck_oracle.bindings import with_bindings
-from datetime import datetime, time
-
-from duck_oracle.reports import EXT_IDS, not_exists, r1, strs, ts
-from pulseboard.params import PeriodPair
+from duck_oracle.reports import ORG_IDS, one_of, period, ts
 from pulseboard.plans.catalog import EVENT_TYPES, P
 from pulseboard.plans.single_ops import (
     EXCLUDED_ORGS,
@@ -43,8 +40,8 @@ def exclusion_empty_list_counts() -> str:
 
 def not_exists_activity_counts() -> str:
     return with_bindings(
-        f"SELECT ev.activity, count(*) AS n_events FROM user_activity AS ev "
-        f"WHERE {not_exists(P.excluded_activities)} GROUP BY ev.activity"
+        "SELECT activity, count(*) AS n_events FROM user_activity "
+        f"WHERE activity IS NULL OR activity NOT IN {one_of(P.excluded_activities)} GROUP BY activity"
     )
 
 
@@ -55,12 +52,7 @@ def json_text_values() -> str:
 
 
 def external_ids() -> str:
-    return with_bindings(f"""
-    SELECT og.organization_id, og.name AS org_name,
-           {EXT_IDS}
-    FROM organization AS og
-        LEFT JOIN billing_profile AS bp ON og.billing_id = bp.id
-        LEFT JOIN crm_profile AS cp ON og.crm_id = cp.id""")
+    return with_bindings("SELECT organization_id, org_name, bw_org_id, hs_org_id FROM ids", ids=ORG_IDS)
 
 
 def heavy_users_having() -> str:
@@ -93,30 +85,24 @@ def top_org_per_activity() -> str:
     return with_bindings("""
     SELECT activity, organization_id, n_events FROM (
         SELECT activity, organization_id, count(*) AS n_events,
-               row_number() OVER (PARTITION BY activity ORDER BY count(*) DESC, organization_id ASC) AS rk
+               row_number() OVER (PARTITION BY activity ORDER BY count(*) DESC, organization_id ASC NULLS FIRST) AS rk
         FROM user_activity GROUP BY activity, organization_id) AS t
     WHERE rk = 1""")
 
 
 def daily_pairing() -> str:
-    pair = PeriodPair.of(*PAIR_PERIOD)
-    n = pair.n_days
-    body = f"""
-    SELECT CAST(cur.day AS DATE) AS day, cur.n_events, CAST(prev.day AS DATE) AS prev_day,
-           prev.n_events AS prev_n_events
-    FROM numbered AS cur JOIN numbered AS prev ON prev.rn = cur.rn - {n}
-    WHERE cur.rn >= {n}"""
-    counts = f"""
-        SELECT cal.day, count(a.created) AS n_events
-        FROM generate_series({ts(pair.series_start)}, {ts(pair.last_day)}, INTERVAL 1 DAY) AS cal(day)
-        LEFT JOIN user_activity AS a ON date_trunc('day', a.created) = cal.day
-        GROUP BY cal.day"""
-    numbered = "SELECT day, n_events, row_number() OVER (ORDER BY day) - 1 AS rn FROM counts"
-    return with_bindings(body, counts=counts, numbered=numbered)
+    per_day = "SELECT CAST(created AS DATE) AS day, count(*) AS n_events FROM user_activity GROUP BY 1"
+    body = """
+    SELECT d.day, ifnull(x.n_events, 0) AS n_events, d.before AS prev_day, ifnull(y.n_events, 0) AS prev_n_events
+    FROM (SELECT CAST(p.s AS DATE) + CAST(k AS INTEGER) AS day, CAST(p.s AS DATE) + CAST(k - p.n AS INTEGER) AS before
+          FROM p, (SELECT unnest(generate_series(1, (SELECT n FROM p))) AS k)) AS d
+    LEFT JOIN per_day AS x ON x.day = d.day
+    LEFT JOIN per_day AS y ON y.day = d.before"""
+    return with_bindings(body, p=period(*PAIR_PERIOD), per_day=per_day)
 
 
 def product_fold_other() -> str:
-    listed = strs(P.products.products)
+    listed = one_of(P.products.products)
     return with_bindings(f"""
     SELECT CASE WHEN split_part(activity, '_', 1) IN {listed} THEN split_part(activity, '_', 1)
                 ELSE '{P.products.other}' END AS product,
@@ -165,6 +151,13 @@ def plan_flags() -> str:
     GROUP BY 1, 2""")
 
 
+def activity_group_counts() -> str:
+    codes = [c for name in ("cards", "visits") for c in P.groups.groups[name]]
+    return with_bindings(
+        f"SELECT activity, count(*) AS n_events FROM user_activity WHERE activity IN {one_of(codes)} GROUP BY activity"
+    )
+
+
 def build() -> dict[str, str]:
     return {
         "calendar_spine_events": calendar_spine_events(),
@@ -183,6 +176,5 @@ def build() -> dict[str, str]:
         "days_since_first_event": days_since_first_event(),
         "licence_family_counts": licence_family_counts(),
         "plan_flags": plan_flags(),
-        # the streamed state covers whole days: R1 up to the last instant of its last day
-        "daily_active_orgs_streamed": r1((), datetime.combine(P.r1[1], time.max)),
+        "activity_group_counts": activity_group_counts(),
     }

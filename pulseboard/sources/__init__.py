@@ -8,7 +8,7 @@ from pulseboard.sources.bindings import (
     domain_from_parquet,
     domain_from_testdata,
 )
-from pulseboard.sources.tables import read_table, table_path
+from pulseboard.sources.tables import read_table, driver_table, warehouse_table
 
 __all__ = [
     "DOMAIN_TABLES",
@@ -18,5 +18,6 @@ __all__ = [
     "domain_from_parquet",
     "domain_from_testdata",
     "read_table",
-    "table_path",
+    "driver_table",
+    "warehouse_table",
 ]

@@ -13,8 +13,7 @@ All frames are lazy; nothing is read until a report runs an action.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pulseboard.params import CRM_ID_JSON_KEY
 from pulseboard.schemas import DOMAIN_SCHEMAS, TEST_SCHEMAS
-from pulseboard.sources.tables import read_table
+from pulseboard.sources.tables import read_table, driver_table, warehouse_table
 
 DOMAIN_TABLES = (
     "user_activity",
@@ -53,14 +52,8 @@ class Domain:
     crm_profile: DataFrame
     # DATE column the activity fact is partitioned by (None: not partitioned)
     activity_day_col: str | None = None
-    _memo: dict = field(default_factory=dict, compare=False, repr=False)
-
-    def memo(self, key: Hashable, build: Callable[[], DataFrame]) -> DataFrame:
-        """A derived frame built once per domain handle and key (for frames
-        that depend on report parameters, e.g. a size-checked dimension)."""
-        if key not in self._memo:
-            self._memo[key] = build()
-        return self._memo[key]
+    # the fact is bucketed by user_id: a semi join on users costs no exchange
+    activity_by_user: bool = False
 
     def activity(self, lo=None, hi=None, lo_strict: bool = False) -> DataFrame:
         """The activity fact restricted to ``lo <= created <= hi`` (``>`` when
@@ -107,22 +100,12 @@ class Domain:
         """Distinct (organisation, name, ids): the group keys of the reports."""
         return self.org_ext.distinct()
 
-    @cached_property
-    def org_ext_for_facts(self) -> DataFrame:
-        """:attr:`org_ext` prepared for joins against fact rows: broadcast when
-        its size check passes (checked once per domain handle)."""
-        from pulseboard.operators.broadcast import checked_broadcast
-
-        return checked_broadcast(self.org_ext)
-
     @cached_property
     def org_row_mult(self) -> DataFrame:
-        """(organization_id, ext_mult): profile-join fan-out per organisation,
-        size-checked for broadcast like :attr:`org_ext_for_facts`."""
-        from pulseboard.operators.broadcast import checked_broadcast
+        """(organization_id, ext_mult): profile-join fan-out per organisation."""
         from pulseboard.operators.multiplicity import multiplicity
 
-        return checked_broadcast(multiplicity(self.org_ext, ["organization_id"], "ext_mult"))
+        return multiplicity(self.org_ext, ["organization_id"], "ext_mult")
 
 
 def domain_from_parquet(spark: SparkSession, root: str, activity_day_col: str | None = "event_date") -> Domain:
@@ -134,7 +117,7 @@ def domain_from_parquet(spark: SparkSession, root: str, activity_day_col: str |
         schema = DOMAIN_SCHEMAS[name]
         if name == "user_activity" and activity_day_col:
             schema = f"{schema}, {activity_day_col} DATE"
-        frames[name] = read_table(spark, root, name, schema)
+        frames[name] = read_table(spark, warehouse_table(root, name), schema)
     return Domain(**frames, activity_day_col=activity_day_col)
 
 
@@ -143,17 +126,18 @@ def domain_from_jdbc(
     url: str,
     tables: dict[str, str],
     properties: dict[str, str] | None = None,
-    fact_partitions: int = 64,
-    fact_bounds: tuple[int, int] | None = None,
+    partitions: dict[str, tuple[str, object, object, int]] | None = None,
 ) -> Domain:
     """Domain tables read straight from a SQL database over JDBC.
 
     ``tables`` maps each domain name to a table or subquery ``(SELECT ...) t``
-    that returns the domain columns. The activity fact is read in
-    ``fact_partitions`` parallel range queries on ``event_id`` (give its
-    ``fact_bounds``); report filters on it are pushed into the database's
-    WHERE clause by Spark's JDBC source. Dimensions are read with one query
-    each. Spark connects once per table here to read its schema.
+    that returns the domain columns. ``partitions`` maps a domain name to
+    ``(column, lower bound, upper bound, number)``: that table is read in so
+    many parallel range queries (rows outside the bounds fall into the outer
+    ranges). Give it for the fact, users, licences and subscriptions; a table
+    left out is one query in one task. Report filters on the fact are pushed
+    into the database's WHERE clause by Spark's JDBC source. Spark connects
+    once per table here to read its schema.
     """
     props = dict(properties or {})
     frames = {}
@@ -161,13 +145,10 @@ def domain_from_jdbc(
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", tables[name])
         for k, v in props.items():
             reader = reader.option(k, v)
-        if name == "user_activity" and fact_bounds is not None:
-            reader = (
-                reader.option("partitionColumn", "event_id")
-                .option("lowerBound", str(fact_bounds[0]))
-                .option("upperBound", str(fact_bounds[1]))
-                .option("numPartitions", str(fact_partitions))
-            )
+        if name in (partitions or {}):
+            column, low, high, n = partitions[name]
+            reader = reader.option("partitionColumn", column).option("numPartitions", str(n))
+            reader = reader.option("lowerBound", str(low)).option("upperBound", str(high))
         frames[name] = reader.load()
     return Domain(**frames)
 
@@ -179,10 +160,15 @@ def domain_from_catalog(
     (e.g. by :func:`pulseboard.sources.warehouse.write_domain_catalog`; their
     bucketing is kept). ``activity_day_col`` names the fact's day partition
     column when it has one."""
+    bucketed = "user_id" in _bucket_columns(spark, f"{database}.user_activity")
     frames = {name: spark.table(f"{database}.{name}") for name in DOMAIN_TABLES}
     if activity_day_col and activity_day_col not in frames["user_activity"].columns:
         activity_day_col = None
-    return Domain(**frames, activity_day_col=activity_day_col)
+    return Domain(**frames, activity_day_col=activity_day_col, activity_by_user=bucketed)
+
+
+def _bucket_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isBucket]
 
 
 # ---------------------------------------------------------------------------
@@ -191,14 +177,26 @@ def domain_from_catalog(
 #   subscriptions start 2024-01-01 + (o_orderkey % 30) days, last 60 days,
 #   cap o_orderkey % 3 + 1; type id = first char of o_orderpriority,
 #   type name = o_orderpriority from its third character
-#   billing ids 'bw-<key>', CRM ids 'hs-<key>'; billing profiles: suppliers
-#   with even key; CRM profiles: customers with key < 25 not divisible by 3
-#   touchless plans: regions 0, 1, 2; enterprise plans: region 2
+#   organisations: one for every 10 customer keys (id = c_custkey // 10), so
+#   they grow with the scale factor; name 'Org <id>'
+#   billing ids 'bw-<org>', CRM ids 'hs-<org>'; billing profiles: a supplier
+#   per profile, odd keys under 'bx-' (no organisation has such an id); CRM
+#   profiles: a customer per profile, keys divisible by 3 under 'hx-'; every
+#   17th organisation has no billing id
+#   plan flags by id % 5: 0, 1, 2 touchless, 2 enterprise; touchless unknown
+#   at id % 7 = 0, enterprise unknown at id % 11 = 0
+#   events without a user: event_id % 29 = 0; without an organisation:
+#   event_id % 31 = 0; without an activity: event_id % 37 = 0
 # ---------------------------------------------------------------------------
 ACTIVITY_PREFIXES = ("BCS", "GRABBER", "EXPORT", "VR", "LOGIN")
 SUBSCRIPTION_EPOCH = "2024-01-01 00:00:00"
 SUBSCRIPTION_SPREAD_DAYS = 30
 SUBSCRIPTION_LENGTH_DAYS = 60
+CUSTOMERS_PER_ORG = 10
+
+
+def _org_of(custkey: str) -> F.Column:
+    return F.expr(f"CAST({custkey} AS BIGINT) DIV {CUSTOMERS_PER_ORG}")
 
 
 def _prefix_by_event_id(event_id: str) -> F.Column:
@@ -211,15 +209,19 @@ def _prefix_by_event_id(event_id: str) -> F.Column:
 
 def activity_from_events(events: DataFrame, customer: DataFrame) -> DataFrame:
     """The activity fact from the test ``events`` (batch or streaming frame)
-    and ``customer`` (static): organisation = the customer's nation."""
-    cust_org = customer.select(
-        F.col("c_custkey"), F.col("c_nationkey").cast("bigint").alias("cust_org")
-    )
-    return events.join(cust_org, events.user_id == cust_org.c_custkey).select(
+    and ``customer`` (static): organisation = the customer's, some of the
+    users, organisations and activities unknown."""
+    known = customer.select("c_custkey")
+    code = F.concat(_prefix_by_event_id("event_id"), F.lit("_"), F.upper("event_type"))
+
+    def unless(every: int, value: F.Column) -> F.Column:
+        return F.when(F.col("event_id") % every != 0, value)
+
+    return events.join(known, events.user_id == known.c_custkey).select(
         F.col("event_id"),
-        F.col("user_id"),
-        F.col("cust_org").alias("organization_id"),
-        F.concat(_prefix_by_event_id("event_id"), F.lit("_"), F.upper("event_type")).alias("activity"),
+        unless(29, F.col("user_id")).alias("user_id"),
+        unless(31, _org_of("user_id")).alias("organization_id"),
+        unless(37, code).alias("activity"),
         F.col("ts").alias("created"),
         F.col("props").alias("payload"),
     )
@@ -227,32 +229,31 @@ def activity_from_events(events: DataFrame, customer: DataFrame) -> DataFrame:
 
 def domain_from_testdata(spark: SparkSession, sf_dir: str) -> Domain:
     def read(name: str) -> DataFrame:
-        return read_table(spark, sf_dir, name, TEST_SCHEMAS[name])
+        return read_table(spark, driver_table(sf_dir, name), TEST_SCHEMAS[name])
 
     events = read("events")
     customer = read("customer")
-    nation = read("nation")
     orders = read("orders")
     lineitem = read("lineitem")
     supplier = read("supplier")
 
-    cust_org = customer.select(
-        F.col("c_custkey"), F.col("c_nationkey").cast("bigint").alias("cust_org")
-    )
+    cust_org = customer.select("c_custkey", _org_of("c_custkey").alias("cust_org"))
     user_activity = activity_from_events(events, customer)
 
     user = customer.select(
         F.col("c_custkey").alias("user_id"),
         F.col("c_name").alias("username"),
-        F.col("c_nationkey").cast("bigint").alias("organization_id"),
+        _org_of("c_custkey").alias("organization_id"),
         (F.col("c_acctbal") < 0).alias("is_deleted"),
     )
 
-    organization = nation.select(
-        F.col("n_nationkey").cast("bigint").alias("organization_id"),
-        F.col("n_name").alias("name"),
-        F.concat(F.lit("bw-"), F.col("n_nationkey").cast("string")).alias("billing_id"),
-        F.concat(F.lit("hs-"), F.col("n_nationkey").cast("string")).alias("crm_id"),
+    org_id = F.col("organization_id")
+    orgs = cust_org.select(F.col("cust_org").alias("organization_id")).distinct()
+    organization = orgs.select(
+        "organization_id",
+        F.concat(F.lit("Org "), org_id.cast("string")).alias("name"),
+        F.when(org_id % 17 != 0, F.concat(F.lit("bw-"), org_id.cast("string"))).alias("billing_id"),
+        F.concat(F.lit("hs-"), org_id.cast("string")).alias("crm_id"),
     )
 
     epoch = F.lit(SUBSCRIPTION_EPOCH).cast("timestamp_ntz")
@@ -281,21 +282,21 @@ def domain_from_testdata(spark: SparkSession, sf_dir: str) -> Domain:
         F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("unassigned_at"),
     )
 
-    plan_variant = nation.select(
-        F.concat(F.lit("bw-"), F.col("n_nationkey").cast("string")).alias("customer_id"),
-        F.col("n_regionkey").isin(0, 1, 2).alias("touchless"),
-        (F.col("n_regionkey") == 2).alias("enterprise"),
+    plan_variant = orgs.select(
+        F.concat(F.lit("bw-"), org_id.cast("string")).alias("customer_id"),
+        F.when(org_id % 7 != 0, (org_id % 5).isin(0, 1, 2)).alias("touchless"),
+        F.when(org_id % 11 != 0, org_id % 5 == 2).alias("enterprise"),
     )
 
-    billing_profile = supplier.filter(F.col("s_suppkey") % 2 == 0).select(
-        F.concat(F.lit("bw-"), F.col("s_suppkey").cast("string")).alias("id"),
-        F.concat(
-            F.lit('{"' + CRM_ID_JSON_KEY + '": "h'), F.col("s_suppkey").cast("string"), F.lit('"}')
-        ).alias("customfields"),
+    supp = F.col("s_suppkey").cast("string")
+    billing_profile = supplier.select(
+        F.concat(F.when(F.col("s_suppkey") % 2 == 0, "bw-").otherwise("bx-"), supp).alias("id"),
+        F.concat(F.lit('{"' + CRM_ID_JSON_KEY + '": "h'), supp, F.lit('"}')).alias("customfields"),
     )
 
-    crm_profile = customer.filter((F.col("c_custkey") < 25) & (F.col("c_custkey") % 3 != 0)).select(
-        F.concat(F.lit("hs-"), F.col("c_custkey").cast("string")).alias("id"),
+    cust = F.col("c_custkey").cast("string")
+    crm_profile = customer.select(
+        F.concat(F.when(F.col("c_custkey") % 3 != 0, "hs-").otherwise("hx-"), cust).alias("id"),
         F.concat(F.col("c_name"), F.lit("-"), F.col("c_mktsegment")).alias("billing_customer_id"),
     )
 

@@ -6,8 +6,6 @@ pushes filters into the scan, so readers never pre-select columns.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TEST_TABLES = (
@@ -16,15 +14,17 @@ TEST_TABLES = (
 ).split()
 
 
-def table_path(root: str, name: str) -> str:
-    """``root/name.parquet`` when it exists as a file or folder, else ``root/name``."""
-    candidate = os.path.join(root, f"{name}.parquet")
-    if "://" in root or os.path.exists(candidate):
-        return candidate
-    return os.path.join(root, name)
+def driver_table(root: str, name: str) -> str:
+    """Where the driver's test tables lie: ``root/name.parquet``."""
+    return f"{root.rstrip('/')}/{name}.parquet"
+
+
+def warehouse_table(root: str, name: str) -> str:
+    """Where ``write_domain`` stores a domain table: ``root/name``."""
+    return f"{root.rstrip('/')}/{name}"
 
 
-def read_table(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
-    """Lazy Parquet read; a declared ``schema`` (DDL) skips footer inference."""
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Lazy Parquet read of any URI; a declared ``schema`` (DDL) skips footer inference."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(table_path(root, name))
+    return reader.parquet(path)

@@ -8,27 +8,38 @@ are. Read back with :func:`pulseboard.sources.bindings.domain_from_parquet`.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from pulseboard.sources.bindings import DOMAIN_TABLES, Domain
+from pulseboard.sources.tables import warehouse_table
 
 DAY_COL = "event_date"
 
 
-def write_domain(domain: Domain, root: str, mode: str = "overwrite", day_col: str = DAY_COL) -> None:
-    """Write every domain table under ``root/<table>``.
+def write_domain(
+    domain: Domain,
+    root: str,
+    mode: str = "errorifexists",
+    day_col: str = DAY_COL,
+    day_splits: int = 32,
+    rows_per_file: int = 4_000_000,
+) -> None:
+    """Write every domain table under ``root/<table>`` (any URI Spark writes).
 
-    The fact is repartitioned by day before the write so each day directory
-    is produced by few tasks; every other table keeps its partitioning.
+    The fact is dealt by day and a spreading key of the row, so a heavy day is
+    written by up to ``day_splits`` tasks and a day has at most that many files
+    (more only where a file reaches ``rows_per_file``). Other tables keep their
+    partitioning. With ``mode="overwrite"`` the fact replaces only the days
+    that are written.
     """
     for name in DOMAIN_TABLES:
         df = getattr(domain, name)
-        path = os.path.join(root, name)
+        path = warehouse_table(root, name)
         if name == "user_activity":
             df = df.withColumn(day_col, F.to_date("created"))
-            df.repartition(day_col).write.mode(mode).partitionBy(day_col).parquet(path)
+            spread = F.pmod(F.xxhash64("user_id", "created"), F.lit(day_splits))
+            writer = df.repartition(F.col(day_col), spread).write.mode(mode).partitionBy(day_col)
+            writer.option("maxRecordsPerFile", rows_per_file).option("partitionOverwriteMode", "dynamic").parquet(path)
         else:
             df.write.mode(mode).parquet(path)
 
@@ -38,7 +49,7 @@ def write_domain_catalog(
     database: str,
     root: str,
     buckets: int = 64,
-    mode: str = "overwrite",
+    mode: str = "errorifexists",
     day_col: str = DAY_COL,
 ) -> None:
     """Write the domain as catalog tables ``database.<table>`` stored under
@@ -55,13 +66,19 @@ def write_domain_catalog(
     Read back with :func:`pulseboard.sources.bindings.domain_from_catalog`.
     """
     spark = domain.spark
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{os.path.join(root, '_database')}'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{warehouse_table(root, '_database')}'")
     for name in DOMAIN_TABLES:
         df = getattr(domain, name)
         writer_df = df
         if name == "user_activity":
-            writer_df = df.withColumn(day_col, F.to_date("created"))
-        writer = writer_df.write.mode(mode).option("path", os.path.join(root, name))
+            # a (day, bucket) goes to one task, so files stay at days x buckets
+            bucket = F.pmod(F.hash("user_id"), F.lit(buckets))
+            writer_df = df.withColumn(day_col, F.to_date("created")).repartition(F.col(day_col), bucket)
+        elif name == "user":
+            writer_df = df.repartition(buckets, "user_id")
+        elif name in ("user_license", "org_subscription"):
+            writer_df = df.repartition(buckets, "org_subscription_id")
+        writer = writer_df.write.mode(mode).option("path", warehouse_table(root, name))
         if name == "user_activity":
             writer = writer.partitionBy(day_col).bucketBy(buckets, "user_id").sortBy("user_id")
         elif name == "user":

@@ -3,9 +3,11 @@ bucketed catalog tables (no fact shuffle), against the test-table bindings."""
 
 from __future__ import annotations
 
+import dataclasses
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulseboard.plans.catalog import REPORTS, REPORTS_ON_DOMAIN, P, _domain
 from pulseboard.plans.risk import slipping_away_orgs
@@ -18,12 +20,51 @@ from tests.conftest import SF001, rows
 @pytest.fixture(scope="module")
 def layouts(spark):
     base = _domain(spark, SF001)
-    root = tempfile.mkdtemp(prefix="pulseboard-wh-")
+    root = "file://" + tempfile.mkdtemp(prefix="pulseboard-wh-")
     write_domain(base, root + "/parquet")
     write_domain_catalog(base, "pulseboard_test", root + "/catalog", buckets=4)
     return base, domain_from_parquet(spark, root + "/parquet"), domain_from_catalog(spark, "pulseboard_test")
 
 
+def _files(df, day="2024-01-10"):
+    """Files of the activity fact, in all and of one day."""
+    names = [f for f in df.inputFiles()]
+    return len(names), sum(f"event_date={day}/" in f for f in names)
+
+
+def test_files_are_bounded_by_days_times_buckets(layouts):
+    _, _, cat = layouts
+    days = cat.user_activity.select("event_date").distinct().count()
+    assert cat.activity_by_user
+    assert _files(cat.user_activity)[0] <= days * 4
+
+
+def test_a_heavy_day_is_written_by_several_tasks(spark, layouts):
+    base, _, _ = layouts
+    fact = base.user_activity.withColumn("created", F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00' + make_dt_interval(0, 0, 0, event_id)"))
+    heavy = dataclasses.replace(base, user_activity=fact)
+    root = "file://" + tempfile.mkdtemp(prefix="pulseboard-wh-")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the day is tiny here
+    try:
+        write_domain(heavy, root, day_splits=16)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    back = domain_from_parquet(spark, root)
+    assert back.user_activity.count() == base.user_activity.count()
+    assert 4 <= _files(back.user_activity)[1] <= 16
+
+
+def test_rewriting_a_day_keeps_the_others(spark, layouts):
+    base, _, _ = layouts
+    root = "file://" + tempfile.mkdtemp(prefix="pulseboard-wh-")
+    write_domain(base, root)
+    with pytest.raises(Exception, match="already exists"):
+        write_domain(base, root)
+    one_day = F.to_date("created") == F.lit("2024-01-10").cast("date")
+    write_domain(dataclasses.replace(base, user_activity=base.user_activity.filter(one_day)), root, mode="overwrite")
+    assert domain_from_parquet(spark, root).user_activity.count() == base.user_activity.count()
+
+
 def test_round_trip_and_partition_pruning(spark, layouts):
     _, wh, _ = layouts
     got = daily_active_orgs(wh, *P.r1, internal=P.internal, targets=P.targets)
