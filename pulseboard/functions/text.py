@@ -22,11 +22,6 @@ def fold_other(product: str | Column, products: Iterable[str], other: str) -> Co
     return F.when(_col(product).isin(list(products)), _col(product)).otherwise(F.lit(other))
 
 
-def mix_label(products_array: str | Column) -> Column:
-    """``'+'``-joined sorted distinct products (``BCS+VR``)."""
-    return F.array_join(F.array_sort(F.array_distinct(_col(products_array))), "+")
-
-
 def band(value: str | Column, high: float, medium: float) -> Column:
     """``high`` / ``medium`` / ``low`` by thresholds; NULL stays NULL."""
     v = _col(value)

@@ -34,12 +34,6 @@ def day_of(col: str | Column) -> Column:
     return F.to_date(F.col(col) if isinstance(col, str) else col)
 
 
-def between_bounds(col: str | Column, lo, hi) -> Column:
-    """Inclusive ``lo <= col <= hi`` on timestamps (SQL ``BETWEEN``)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return c.between(ts_lit(lo), ts_lit(hi))
-
-
 def within_days(col: str | Column, first_day: date, last_day: date) -> Column:
     """Whole days ``first_day 00:00 <= col < last_day + 1 day``."""
     c = F.col(col) if isinstance(col, str) else col

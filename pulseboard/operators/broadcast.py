@@ -1,11 +1,10 @@
-"""Broadcast only what has a size bound known before the query runs.
+"""Broadcast only what report parameters bound.
 
-Frames whose size follows from report parameters (a calendar of N days, a
-per-day aggregate restricted to those N days, a list of product labels) are
-broadcast explicitly. Everything else - users, subscriptions, licences,
-profiles - is left to Catalyst's size estimate and AQE's runtime statistics,
-which turn a sort-merge join into a broadcast join only when the shuffled
-side turns out small (``spark.sql.adaptive.autoBroadcastJoinThreshold``).
+A calendar of N days, a per-day aggregate restricted to those N days: their
+size follows from the report's own parameters, so they carry a broadcast hint.
+Everything else - users, subscriptions, licences, profiles, organisations - is
+left to Catalyst's statistics and to AQE, which turns a sort-merge join into a
+broadcast join only when the shuffled side turns out small.
 """
 
 from __future__ import annotations
@@ -13,24 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bound above which even a parameter-bounded frame is not broadcast.
-BROADCAST_ROW_LIMIT = 1_000_000
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` when its proven row bound ``max_rows`` is within ``limit``."""
-    if 0 <= max_rows <= limit:
-        return F.broadcast(df)
-    return df
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a dimension after checking its size; otherwise leave the join
-    to the planner (sort-merge, AQE skew split, runtime broadcast).
-
-    The check is one bounded job on the dimension itself (``limit`` stops the
-    count at ``max_rows + 1``), run on the driver before the fact side is
-    planned; the fact side is never counted.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a frame whose rows are bounded by report parameters."""
+    return F.broadcast(df)

@@ -62,7 +62,7 @@ def attach_daily(spine: DataFrame, daily: DataFrame, series: Series, on: str = "
     """
     if not series.aligned:
         daily = daily.filter(F.lit(False))
-    return spine.join(bounded_broadcast(daily, series.n_points), on, "left")
+    return spine.join(bounded_broadcast(daily), on, "left")
 
 
 def attach_detail(
@@ -86,5 +86,5 @@ def attach_detail(
         detail = detail.filter(F.lit(False))
     else:
         days = (present if present is not None else detail).select(on).distinct()
-        blank = spine.join(bounded_broadcast(days, series.n_points), on, "left_anti")
+        blank = spine.join(bounded_broadcast(days), on, "left_anti")
     return detail.unionByName(blank, allowMissingColumns=True)

@@ -19,6 +19,3 @@ def multiplicity(df: DataFrame, keys: Sequence[str], name: str = "m") -> DataFra
     """Rows per key: ``groupBy(keys).agg(count(*) AS name)``."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
-
-def times(a: str, b: str) -> F.Column:
-    return (F.col(a) * F.col(b)).cast("bigint")

@@ -29,6 +29,6 @@ def pair_with_previous(daily: DataFrame, pair: PeriodPair, value_cols: Sequence[
         F.col("day").alias("prev_day"),
         *[F.col(v).alias(f"prev_{v}") for v in value_cols],
     )
-    return cur.join(bounded_broadcast(prev, max(2 * n, 0)), "day", "left").select(
+    return cur.join(bounded_broadcast(prev), "day", "left").select(
         "day", *value_cols, "prev_day", *[f"prev_{v}" for v in value_cols]
     )

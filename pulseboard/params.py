@@ -7,7 +7,7 @@ the driver and folded by Catalyst, so filters on them reach the Parquet scan.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import date, datetime, time, timedelta
+from datetime import date, datetime, time, timedelta, timezone
 
 # ---------------------------------------------------------------------------
 # Fixed values of the product domain (defaults; every report takes them as
@@ -113,13 +113,14 @@ class Targets:
 def as_datetime(value: date | datetime | str) -> datetime:
     """Parse a report bound the way an ISO date picker value is parsed.
 
-    A bare date means midnight of that day.
+    A bare date means midnight of that day; a value with an offset becomes
+    UTC wall-clock time.
     """
-    if isinstance(value, datetime):
-        return value
-    if isinstance(value, date):
+    if isinstance(value, str):
+        value = datetime.fromisoformat(value)
+    if not isinstance(value, datetime):
         return datetime.combine(value, time())
-    return datetime.fromisoformat(value)
+    return value.astimezone(timezone.utc).replace(tzinfo=None) if value.tzinfo else value
 
 
 def is_midnight(value: datetime) -> bool:
@@ -178,3 +179,9 @@ class ActivityGroups:
                     out.append(code)
         return out
 
+    @classmethod
+    def parse(cls, items: list[str]) -> "ActivityGroups":
+        """Groups given as ``name=CODE+CODE`` texts."""
+        parts = (item.split("=", 1) for item in items)
+        return cls({name: tuple(codes.split("+")) for name, codes in parts})
+

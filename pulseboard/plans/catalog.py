@@ -13,7 +13,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseboard.params import Bands, Cohort, Family, InternalRule, ProductSpec, Targets, TrialSpec
+from pulseboard.params import ActivityGroups, Bands, Cohort, Family, InternalRule, ProductSpec, Targets, TrialSpec
 from pulseboard.plans import errors, licences, risk, trials, usage
 from pulseboard.sources.bindings import ACTIVITY_PREFIXES, Domain, domain_from_testdata
 
@@ -52,10 +52,16 @@ class FixtureParams:
         }
     )
     products: ProductSpec = ProductSpec()
+    groups: ActivityGroups = field(
+        default_factory=lambda: ActivityGroups(
+            {"cards": ("BCS_CLICK", "BCS_VIEW"), "visits": ("VR_VIEW", "VR_CLICK", "BCS_VIEW")}
+        )
+    )
     # periods
     r1: tuple[date, date] = (date(2024, 1, 20), date(2024, 2, 3))
     r1_excluded: tuple[int, ...] = (7,)
     r1_midday_end: datetime = datetime(2024, 1, 25, 12, 0, 0)
+    r11_early: tuple[date, date] = (date(2024, 1, 8), date(2024, 1, 17))
     one_day: tuple[date, date] = (date(2024, 1, 20), date(2024, 1, 21))
     period: tuple[date, date] = (date(2024, 1, 20), date(2024, 2, 3))
     window: tuple[date, date] = (date(2024, 1, 8), date(2024, 1, 22))
@@ -67,24 +73,9 @@ class FixtureParams:
 P = FixtureParams()
 
 
-_DOMAINS: dict[tuple[tuple, str], Domain] = {}
-
-
-def _session_key(spark: SparkSession) -> tuple:
-    """Identity of a session (its application and JVM session when classic)."""
-    try:
-        return (spark.sparkContext.applicationId, id(spark._jsparkSession))
-    except Exception:  # Spark Connect: no context or JVM handle on the client
-        return ("connect", id(spark))
-
-
 def _domain(spark: SparkSession, sf_dir: str) -> Domain:
-    """Table handles per (session, folder), reused like catalog tables: the
-    file listing is done once, the data is read by every query."""
-    key = (_session_key(spark), sf_dir)
-    if key not in _DOMAINS:
-        _DOMAINS[key] = domain_from_testdata(spark, sf_dir)
-    return _DOMAINS[key]
+    """The domain over the test tables, listed anew by every call."""
+    return domain_from_testdata(spark, sf_dir)
 
 
 def _r1(d: Domain) -> DataFrame:
@@ -184,6 +175,25 @@ def _r11(d: Domain) -> DataFrame:
     )
 
 
+def _r11_early(d: Domain) -> DataFrame:
+    """R11 where the first day of the previous period has no events."""
+    return errors.error_daily_vs_previous(
+        d, *P.r11_early, P.errors, P.error_type, (), internal=P.internal
+    )
+
+
+def _r11_every_day(d: Domain) -> DataFrame:
+    """R11 with every day of both periods zero-filled."""
+    return errors.error_daily_vs_previous(
+        d, *P.period, P.errors, P.error_type, (), internal=P.internal, every_day=True
+    )
+
+
+def _r9_groups(d: Domain) -> DataFrame:
+    """R9 over an activity list made of named groups."""
+    return errors.error_counts(d, *P.period, P.groups.codes("cards", "visits"), (), internal=P.internal)
+
+
 def _r12(d: Domain) -> DataFrame:
     return trials.trial_product_by_day(
         d, *P.window, P.relevant, internal=P.internal_strict, trial=P.trial
@@ -243,6 +253,9 @@ REPORTS_ON_DOMAIN: dict[str, Callable[[Domain], DataFrame]] = {
     "error_detail_excluded": _r8_excluded,
     "error_daily_vs_previous_bcs": _r11_bcs,
     "trial_product_mix_window": _r16_window,
+    "error_daily_vs_previous_first_day_empty": _r11_early,
+    "error_daily_vs_previous_every_day": _r11_every_day,
+    "error_counts_of_groups": _r9_groups,
 }
 
 
@@ -255,6 +268,9 @@ VARIANTS = (
     "error_detail_excluded",
     "error_daily_vs_previous_bcs",
     "trial_product_mix_window",
+    "error_daily_vs_previous_first_day_empty",
+    "error_daily_vs_previous_every_day",
+    "error_counts_of_groups",
 )
 HEADLINE = [n for n in REPORTS_ON_DOMAIN if n not in VARIANTS]
 

@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseboard.functions.predicates import keep_external, not_excluded
-from pulseboard.functions.time import day_of, format_utc, ts_lit
+from pulseboard.functions.time import date_lit, day_of, format_utc, ts_lit
+from pulseboard.operators.broadcast import bounded_broadcast
 from pulseboard.operators.calendar import Series, attach_daily, attach_detail, day_spine
 from pulseboard.operators.period import pair_with_previous
 from pulseboard.operators.rollup import rollup_activity, with_user_rule
@@ -98,9 +99,7 @@ def error_rows(
     rows = act.join(users, act.user_id == users.usr_user_id, "left").filter(
         keep_external("organization_id", "username", internal)
     )
-    # detail rows are the big side: ship the organisation dimension to them
-    # (size-checked) instead of shuffling every error row by organisation
-    ext = d.org_ext_for_facts.withColumnRenamed("organization_id", "org_id")
+    ext = d.org_ext.withColumnRenamed("organization_id", "org_id")
     rows = rows.join(ext, rows.organization_id == ext.org_id, "left")
     return rows.select(
         day_of("created").alias("day"),
@@ -128,9 +127,13 @@ def error_detail(
     *,
     internal: InternalRule,
     meta_key: str = META_KEY,
+    total_order: bool = False,
 ) -> DataFrame:
     """R8. :func:`error_rows` on the calendar of both periods: days without
-    errors get one blank row (activity ``''``, other columns NULL)."""
+    errors get one blank row (activity ``''``, other columns NULL).
+
+    Ordered by day. ``total_order`` also orders the rows of a day (by time,
+    organisation, user, activity)."""
     pair = PeriodPair.of(start, end)
     series = Series.days(pair.series_start, pair.last_day)
     rows = error_rows(
@@ -145,19 +148,20 @@ def error_detail(
     out = attach_detail(spine, rows, series, present=present).withColumn(
         "activity", F.coalesce("activity", F.lit(""))
     )
-    # a sort on the day alone would range-partition on ~2N keys (one task per
-    # day); the time and ids split a heavy day across partitions
-    return out.select(*DETAIL_COLUMNS).orderBy("day", "date", "org_id", "user_id", "activity")
+    # the time splits a heavy day across the range partitions of the sort
+    order = ("day", "date", "org_id", "user_id", "activity") if total_order else ("day", "date")
+    return out.select(*DETAIL_COLUMNS).orderBy(*order)
 
 
 def _weighted_error_counts(
-    d: Domain, act: DataFrame, keys: list, internal: InternalRule
+    d: Domain, act: DataFrame, key: Column, name: str, internal: InternalRule
 ) -> DataFrame:
-    """Rolled-up error counts with the detail's user rule and fan-out."""
-    rolled = rollup_activity(act, keys, [F.count(F.lit(1)).alias("n")])
+    """Error counts per (organisation, key) with the detail's user rule; only
+    those few rows meet the fan-out of the organisation/profile left joins."""
+    rolled = rollup_activity(act, [key.alias(name)], [F.count(F.lit(1)).alias("n")])
     kept = with_user_rule(rolled, d.user, internal, how="left")
-    # fan-out of the detail's organisation/profile left joins per organisation
-    weighted = kept.join(d.org_row_mult, "organization_id", "left")
+    per_org = kept.groupBy("organization_id", name).agg(F.sum("n").alias("n"))
+    weighted = per_org.join(d.org_row_mult, "organization_id", "left")
     return weighted.withColumn("w", (F.col("n") * F.coalesce("ext_mult", F.lit(1))).cast("bigint"))
 
 
@@ -177,7 +181,7 @@ def error_counts(
     act = _error_activity(d, pair, error_activities, excluded_orgs).filter(
         F.col("created") > ts_lit(pair.start)
     )
-    counts = _weighted_error_counts(d, act, ["activity"], internal)
+    counts = _weighted_error_counts(d, act, F.col("activity"), "activity", internal)
     out = counts.groupBy("activity").agg(F.sum("w").cast("bigint").alias("error_count"))
     return out.orderBy(F.col("error_count").desc(), "activity")
 
@@ -210,21 +214,45 @@ def error_daily_vs_previous(
     excluded_orgs: Iterable[int] = (),
     *,
     internal: InternalRule,
+    every_day: bool = False,
 ) -> DataFrame:
-    """R11. Per current day ``start+1 .. end`` the events of one error type
-    (``error_count``) and of the day ``n_days`` earlier (``prev_error_count``),
-    every day zero-filled. The day ``start`` counts only its events after
-    ``start``, as the detail's period flag implies."""
+    """R11. Events of one error type per current day (``error_count``) next to
+    a day of the previous period (``prev_day``, ``prev_error_count``).
+
+    The current series is ``start+1 .. end-1``, zero-filled, and ``end`` where
+    it has events. The previous series is the ``n_days - 1`` days before
+    ``start``, of which the first counts only where it has events and the
+    others are zero-filled, and then ``start`` with its events after ``start``.
+    Both are paired by position; a current day without a partner keeps NULLs.
+
+    ``every_day`` instead zero-fills every day of both periods, so that each
+    day pairs with the one ``n_days`` earlier.
+    """
     pair = PeriodPair.of(start, end)
     series = Series.days(pair.series_start, pair.last_day)
     listed = [a for a in error_activities if a == error_type]
     act = _error_activity(d, pair, listed, excluded_orgs).filter(
         ~((F.col("created") <= ts_lit(pair.start)) & (day_of("created") >= F.lit(pair.start.date())))
     )
-    counts = _weighted_error_counts(d, act, [day_of("created").alias("day")], internal)
+    counts = _weighted_error_counts(d, act, day_of("created"), "day", internal)
     per_day = counts.groupBy("day").agg(F.sum("w").cast("bigint").alias("error_count"))
-    spine = day_spine(d.spark, series)
-    daily = attach_daily(spine, per_day, series).select(
-        "day", F.coalesce("error_count", F.lit(0)).cast("bigint").alias("error_count")
+    daily = attach_daily(day_spine(d.spark, series), per_day, series)
+    filled = F.coalesce("error_count", F.lit(0)).cast("bigint").alias("error_count")
+    if every_day:
+        return pair_with_previous(daily.select("day", filled), pair, ["error_count"]).orderBy("day")
+    day, seen = F.col("day"), F.col("error_count").isNotNull()
+    first, last = date_lit(pair.series_start), date_lit(pair.last_day)
+    # without its first day the previous series moves up by one; 2 n_days rows
+    whole = Window.partitionBy(F.lit(0))
+    moved = F.when(F.lit(pair.n_days < 2), F.lit(0)).otherwise(
+        F.coalesce(F.max(F.when((day == first) & ~seen, F.lit(1))).over(whole), F.lit(0))
+    )
+    daily = daily.select("day", "error_count", moved.alias("moved"))
+    prev = daily.filter((day <= date_lit(pair.start)) & ((F.col("moved") == 0) | (day != first)))
+    prev = prev.select(
+        F.date_add(day, F.lit(pair.n_days) - F.col("moved")).alias("day"),
+        day.alias("prev_day"),
+        filled.alias("prev_error_count"),
     )
-    return pair_with_previous(daily, pair, ["error_count"]).orderBy("day")
+    current = daily.filter((day > date_lit(pair.start)) & ((day != last) | seen))
+    return current.select("day", filled).join(bounded_broadcast(prev), "day", "left").orderBy("day")

@@ -32,14 +32,6 @@ from pulseboard.operators.rollup import rollup_activity
 from pulseboard.operators.topk import top1_per_group
 from pulseboard.params import PeriodPair
 from pulseboard.plans.catalog import EVENT_TYPES, P, _domain
-from pulseboard.schemas import TEST_SCHEMAS
-from pulseboard.sources.bindings import activity_from_events
-from pulseboard.sources.tables import read_table
-from pulseboard.streaming.daily_active import (
-    daily_active_from_state,
-    empty_state,
-    start_daily_active_stream,
-)
 
 # Fixed parameters of the single-operator runs.
 SPINE_DAYS = (date(2023, 12, 28), date(2024, 2, 3))
@@ -223,57 +215,13 @@ def plan_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n_orgs"))
 
 
-def _scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared ``spark.checkpoint.dir``; a local temp folder only
-    when the session names none (tests)."""
-    try:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    except Exception:  # Spark Connect
-        root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or tempfile.mkdtemp(prefix="pulseboard-")
-
-
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    except Exception:  # no JVM handle: ask the reader
-        try:
-            spark.read.parquet(path).schema
-            return True
-        except Exception:
-            return False
-
-
-def daily_active_orgs_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1 kept by Structured Streaming: the test events are read as a file
-    stream, bound to the domain with a stream-static join, rolled up per
-    micro-batch into a day-partitioned state table under the shared
-    checkpoint folder; the report is read from that state (whole days)."""
+def activity_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per activity of two named groups, concatenated in order
+    without repeats, as a report's activity list."""
     d = _domain(spark, sf_dir)
-    single_file = os.path.isfile(os.path.join(sf_dir, "events.parquet"))
-    source = os.path.join(sf_dir, "events*.parquet" if single_file else "events")
-    events = spark.readStream.schema(TEST_SCHEMAS["events"]).parquet(source)
-    customer = read_table(spark, sf_dir, "customer", TEST_SCHEMAS["customer"])
-    run = os.path.join(_scratch_root(spark), f"pulseboard-stream-{uuid.uuid4().hex}")
-    state = os.path.join(run, "state")
-    query = start_daily_active_stream(
-        activity_from_events(events, customer),
-        d.user,
-        state,
-        os.path.join(run, "checkpoint"),
-        internal=P.internal,
-        targets=P.targets,
-        available_now=True,
-    )
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
-    first, last = P.r1
-    if not _path_exists(spark, state):
-        state_df = empty_state(spark, P.targets)
-        return daily_active_from_state(spark, state_df, first, last, targets=P.targets)
-    return daily_active_from_state(spark, state, first, last, targets=P.targets)
+    listed = P.groups.codes("cards", "visits")
+    counts = d.user_activity.filter(F.col("activity").isin(listed)).groupBy("activity")
+    return counts.agg(F.count(F.lit(1)).alias("n_events"))
 
 
 SINGLE_OPS = {
@@ -293,5 +241,5 @@ SINGLE_OPS = {
     "days_since_first_event": days_since_first_event,
     "licence_family_counts": licence_family_counts,
     "plan_flags": plan_flags,
-    "daily_active_orgs_streamed": daily_active_orgs_streamed,
+    "activity_group_counts": activity_group_counts,
 }

@@ -6,13 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseboard.functions.predicates import not_excluded, not_in_list_keep_null
 from pulseboard.functions.text import fold_other, product_of
 from pulseboard.functions.time import day_of, ts_lit
-from pulseboard.operators.broadcast import checked_broadcast
 from pulseboard.operators.calendar import Series, attach_daily, day_spine
 from pulseboard.operators.densify import densify_days
 from pulseboard.operators.multiplicity import multiplicity
@@ -68,14 +67,25 @@ def _trial_licences(d: Domain, start, end, trial: TrialSpec) -> DataFrame:
 
 
 def _trial_day_rows(
-    d: Domain, start, end, relevant: Iterable[str], key, agg, internal: InternalRule, trial: TrialSpec
+    d: Domain, start, end, relevant: Iterable[str], key: Column, internal: InternalRule, trial: TrialSpec
 ) -> DataFrame:
+    """Activity of trial licensees per (user, day, key): ``n`` events, ``m``
+    licences, ``day_nr``. The few licences cut the fact down before users are
+    joined; on a fact bucketed by user already before it is rolled up."""
     start, end = as_datetime(start), as_datetime(end)
+    licences = _trial_licences(d, start, end, trial)
     act = d.activity(start, end).filter(F.col("activity").isin(list(relevant)))
-    rolled = rollup_activity(act, [day_of("created").alias("day"), key], [agg])
-    kept = with_user_rule(rolled, d.user, internal)
-    joined = kept.join(_trial_licences(d, start, end, trial), "user_id")
-    return joined.withColumn("day_nr", F.datediff("day", "trial_day"))
+    if d.activity_by_user:
+        act = act.join(licences.select("user_id"), "user_id", "left_semi")
+    # the organisation matters only to a rule with an exempt one
+    by_org = ["organization_id"] if internal is not None and internal.exempt_org is not None else []
+    rolled = act.groupBy("user_id", *by_org, day_of("created").alias("day"), key).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    joined = rolled.join(licences, "user_id").withColumn("day_nr", F.datediff("day", "trial_day"))
+    if not by_org:
+        joined = joined.withColumn("organization_id", F.lit(None).cast("bigint"))
+    return with_user_rule(joined, d.user, internal)
 
 
 def _trial_days_dense(key: str, value: DataFrame, trial: TrialSpec) -> DataFrame:
@@ -99,10 +109,8 @@ def trial_product_by_day(
     """R12. Distinct active trial users per trial day (1..14) and product,
     zero-filled for every product seen on a day below 14."""
     relevant = list(relevant)
-    rows = _trial_day_rows(
-        d, start, end, relevant, product_of("activity").alias("product_name"),
-        F.count(F.lit(1)).alias("n"), internal, trial,
-    )
+    product = product_of("activity").alias("product_name")
+    rows = _trial_day_rows(d, start, end, relevant, product, internal, trial)
     value = rows.groupBy("day_nr", "product_name").agg(F.count_distinct("user_id").alias("act_count"))
     return _trial_days_dense("product_name", value, trial)
 
@@ -119,9 +127,7 @@ def trial_activity_by_day(
     """R13. As R12 but ``count(*)`` of events per activity; an event counts
     once per matching trial licence (multiplicity ``m``)."""
     relevant = list(relevant)
-    rows = _trial_day_rows(
-        d, start, end, relevant, F.col("activity"), F.count(F.lit(1)).alias("n"), internal, trial
-    )
+    rows = _trial_day_rows(d, start, end, relevant, F.col("activity"), internal, trial)
     value = rows.groupBy("day_nr", "activity").agg(
         F.sum(F.col("n") * F.col("m")).cast("bigint").alias("act_count")
     )
@@ -131,25 +137,14 @@ def trial_activity_by_day(
 # ---------------------------------------------------------- R14, R15, R16
 def _trial_orgs(d: Domain, trial: TrialSpec) -> DataFrame:
     """(organization_id, m): organisations that ever had a subscription of
-    the trial type name, ``m`` = rows of the organisation x trial join.
-
-    One row per organisation - a dimension. It meets rolled-up activity, so
-    it is broadcast after a size check (once per domain and trial type)
-    rather than shuffling the activity by organisation, where one busy
-    organisation would load a single reducer."""
-
-    def build() -> DataFrame:
-        types = d.subscription_type.filter(F.col("name") == trial.type_name).select("subscription_type_id")
-        trial_subs = d.org_subscription.select("organization_id", "subscription_type_id").join(
-            types, "subscription_type_id"
-        )
-        orgs = multiplicity(d.organization.select("organization_id"), ["organization_id"], "org_rows")
-        per_org = multiplicity(trial_subs, ["organization_id"], "sub_rows").join(orgs, "organization_id")
-        return checked_broadcast(
-            per_org.select("organization_id", (F.col("sub_rows") * F.col("org_rows")).alias("m"))
-        )
-
-    return d.memo(("trial_orgs", trial.type_name), build)
+    the trial type name, ``m`` = rows of the organisation x trial join."""
+    types = d.subscription_type.filter(F.col("name") == trial.type_name).select("subscription_type_id")
+    trial_subs = d.org_subscription.select("organization_id", "subscription_type_id").join(
+        types, "subscription_type_id"
+    )
+    orgs = multiplicity(d.organization.select("organization_id"), ["organization_id"], "org_rows")
+    per_org = multiplicity(trial_subs, ["organization_id"], "sub_rows").join(orgs, "organization_id")
+    return per_org.select("organization_id", (F.col("sub_rows") * F.col("org_rows")).alias("m"))
 
 
 def _trial_activity(
@@ -178,7 +173,9 @@ def trial_activity_by_product(
         d, start, end, excluded_activities,
         [product_of("activity").alias("product")], [F.count("activity").alias("n")], internal,
     )
-    weighted = rows.join(_trial_orgs(d, trial), "organization_id")
+    # a few rows per organisation meet its multiplicity, not its users' rows
+    per_org = rows.groupBy("organization_id", "product").agg(F.sum("n").alias("n"))
+    weighted = per_org.join(_trial_orgs(d, trial), "organization_id")
     per_label = weighted.groupBy(fold_other("product", products.products, products.other).alias("product")).agg(
         F.sum(F.col("n") * F.col("m")).cast("bigint").alias("product_count")
     )
@@ -205,11 +202,16 @@ def trial_top_activities(
     rows = _trial_activity(
         d, start, end, excluded_activities, ["activity"], [F.count("activity").alias("n")], internal
     )
-    weighted = rows.join(_trial_orgs(d, trial), "organization_id")
-    out = weighted.groupBy("activity").agg(
-        F.sum(F.col("n") * F.col("m")).cast("bigint").alias("activity_count"),
-        F.count_distinct("user_id").alias("user_count"),
+    trial_orgs = _trial_orgs(d, trial)
+    of_trials = rows.join(trial_orgs, "organization_id", "left_semi")
+    per_org = of_trials.groupBy("organization_id", "activity").agg(F.sum("n").alias("n"))
+    events = per_org.join(trial_orgs, "organization_id").groupBy("activity").agg(
+        F.sum(F.col("n") * F.col("m")).cast("bigint").alias("activity_count")
     )
+    users = of_trials.groupBy("activity").agg(F.count_distinct("user_id").alias("user_count"))
+    # one row per activity on both sides; an unknown activity is one of them
+    same = F.col("e.activity").eqNullSafe(F.col("u.activity"))
+    out = events.alias("e").join(users.alias("u"), same).select("e.activity", "activity_count", "user_count")
     return out.orderBy(F.col("activity_count").desc_nulls_first(), F.col("activity").asc_nulls_last())
 
 

@@ -76,18 +76,20 @@ def most_active_touchless_orgs(
         [count_where(F.col("activity") == code).alias(f"{stem}_act") for stem, code in codes.items()]
         + [F.max("created").alias("last_activity")],
     )
-    kept = with_user_rule(per_user, d.user, internal)
-    per_org = kept.groupBy("organization_id").agg(
-        *[F.sum(f"{stem}_act").alias(f"{stem}_act") for stem in codes],
-        F.count_distinct("user_id").alias("overall_uniq_users"),
-        F.max("last_activity").alias("last_activity"),
-    )
     plans = multiplicity(
         d.plan_variant.filter(is_true("touchless") & is_false("enterprise")), ["customer_id"], "plan_mult"
     )
     org_plan = d.organization.select("organization_id", "billing_id").join(
         plans, F.col("billing_id") == F.col("customer_id")
     )
+    # only organisations on such a plan go on to the user join
+    per_user = per_user.join(org_plan.select("organization_id"), "organization_id", "left_semi")
+    kept = with_user_rule(per_user, d.user, internal)
+    per_org = kept.groupBy("organization_id").agg(
+        *[F.sum(f"{stem}_act").alias(f"{stem}_act") for stem in codes],
+        F.count_distinct("user_id").alias("overall_uniq_users"),
+        F.max("last_activity").alias("last_activity"),
+    )
     ext = d.org_ext_weighted
     org_dim = org_plan.join(ext, "organization_id").select(
         "organization_id", "org_name", "bw_org_id", "hs_org_id",

@@ -27,16 +27,18 @@ def apply_report_conf(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster the setting names a shared folder and is left alone. Only a
-    bare local session (tests) gets a fresh folder under the system temp dir.
+    A session on one machine may run without the setting and gets a temporary
+    folder; any other session without it is refused.
     """
-    current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        # core setting, fixed at start-up: only the context's folder is set
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="pulseboard-ckpt-")
-    spark.sparkContext.setCheckpointDir(current)
+    sc.setCheckpointDir(current)
     return current
 
 

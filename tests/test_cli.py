@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
+
 from pulseboard.cli import build_report, parser
+from pulseboard.params import as_datetime
 from pulseboard.plans.catalog import REPORTS, _domain
 from tests.conftest import SF001, rows
 
@@ -29,3 +32,24 @@ def test_cli_writes_output(spark):
     )
     build_report(args, _domain(spark, SF001)).write.mode("overwrite").parquet(out)
     assert sorted(rows(spark.read.parquet(out))) == sorted(rows(REPORTS["error_counts"](spark, SF001)))
+
+
+def test_a_report_without_its_activities_is_refused(spark):
+    args = parser().parse_args(["error_counts", "--testdata", SF001, "--start", "2024-01-20", "--end", "2024-02-03"])
+    with pytest.raises(ValueError, match="--activities"):
+        build_report(args, _domain(spark, SF001))
+
+
+def test_groups_make_the_activity_list(spark):
+    args = parser().parse_args(
+        ["error_counts", "--testdata", SF001, "--start", "2024-01-20", "--end", "2024-02-03",
+         "--internal-pattern", "%7", "--exempt-org", "1", "--group", "cards=BCS_CLICK+BCS_VIEW",
+         "--group", "visits=VR_VIEW+VR_CLICK+BCS_VIEW", "--use-groups", "cards,visits"]
+    )
+    got = rows(build_report(args, _domain(spark, SF001)))
+    assert sorted(got) == sorted(rows(REPORTS["error_counts_of_groups"](spark, SF001)))
+
+
+def test_offsets_become_utc():
+    assert as_datetime("2024-01-10T00:00:00+02:00").isoformat() == "2024-01-09T22:00:00"
+    assert as_datetime("2024-01-10").isoformat() == "2024-01-10T00:00:00"

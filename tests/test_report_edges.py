@@ -173,9 +173,15 @@ def test_r9_r10_r11(dom):
     ev = error_events(d, *args, ERRS, "VR_ERROR", internal=RULE)
     assert ev.count() == 3
     daily = rows(error_daily_vs_previous(d, *args, ERRS, "VR_ERROR", internal=RULE))
-    # current 01-11 .. 01-13 pair with 01-08 .. 01-10; day 01-10 holds only
-    # its after-midnight event
+    # without events 01-13 (the end) and 01-08 (the first previous day) are left
+    # out, so the previous series moves up by one; day 01-10 holds only its
+    # after-midnight event
     assert daily == [
+        (D("2024-01-11"), 1, D("2024-01-09"), 0),
+        (D("2024-01-12"), 1, D("2024-01-10"), 1),
+    ]
+    every = rows(error_daily_vs_previous(d, *args, ERRS, "VR_ERROR", internal=RULE, every_day=True))
+    assert every == [
         (D("2024-01-11"), 1, D("2024-01-08"), 0),
         (D("2024-01-12"), 1, D("2024-01-09"), 0),
         (D("2024-01-13"), 0, D("2024-01-10"), 1),

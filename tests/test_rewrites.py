@@ -1,8 +1,8 @@
-"""Rewritten plans equal the naive ones.
+"""Rolled-up and weighted forms give the numbers of the joins they replace.
 
-The naive forms below follow the dashboard's SQL shape with the DataFrame
-API: join first (with every fan-out), aggregate last. The library's forms
-roll up before joining and count multiplicities instead.
+Fan-outs (several trial subscriptions, plans, profiles of one organisation) are
+set up on small inline frames with results counted by hand; a property test
+compares the roll-up with a join event by event.
 """
 
 from __future__ import annotations
@@ -13,93 +13,84 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pulseboard.functions.predicates import is_false, is_true, keep_external, not_in_list_keep_null
-from pulseboard.functions.text import product_of
-from pulseboard.functions.time import between_bounds, day_of
+from pulseboard.functions.predicates import keep_external
+from pulseboard.functions.time import day_of
 from pulseboard.operators.counts import distinct_count_by
 from pulseboard.operators.rollup import rollup_activity, with_user_rule
-from pulseboard.params import InternalRule
-from pulseboard.plans.catalog import REPORTS, P, _domain
-from tests.conftest import SF01, rows
-
-
-def _naive_trial_rows(d):
-    s, e = P.window
-    act = d.user_activity.alias("act")
-    j = (
-        act.join(d.user.alias("usr"), F.col("usr.user_id") == F.col("act.user_id"))
-        .join(d.organization.alias("org"), F.col("act.organization_id") == F.col("org.organization_id"))
-        .join(d.org_subscription.alias("ost"), F.col("ost.organization_id") == F.col("org.organization_id"))
-        .join(d.subscription_type.alias("st"), F.col("ost.subscription_type_id") == F.col("st.subscription_type_id"))
-    )
-    return j.filter(
-        (F.col("st.name") == P.trial.type_name)
-        & not_in_list_keep_null(F.col("act.activity"), P.excluded_activities)
-        & between_bounds(F.col("act.created"), s, e)
-        & keep_external(F.col("act.organization_id"), F.col("usr.username"), P.internal)
-    )
-
-
-def test_r14_r15_multiplicity_equals_fan_out(spark):
-    d = _domain(spark, SF01)
-    naive = _naive_trial_rows(d)
-    r15 = naive.groupBy(F.col("act.activity").alias("activity")).agg(
-        F.count("act.activity").alias("activity_count"),
-        F.count_distinct("act.user_id").alias("user_count"),
-    )
-    assert sorted(rows(r15)) == sorted(rows(REPORTS["trial_top_activities"](spark, SF01)))
-    per_product = naive.groupBy(product_of(F.col("act.activity")).alias("product")).agg(
-        F.count(product_of(F.col("act.activity"))).alias("n")
-    )
-    total = per_product.agg(F.sum("n")).first()[0]
-    ours = REPORTS["trial_activity_by_product"](spark, SF01).agg(F.sum("product_count")).first()[0]
-    assert total == ours and naive.count() > 10 * d.user_activity.count() // 100
-
-
-def test_r4_plan_multiplicity_equals_fan_out(spark):
-    d = _domain(spark, SF01)
-    s, e = P.window
-    t = P.targets.codes
-    act = d.user_activity.alias("act")
-    j = (
-        act.join(d.organization.alias("o"), F.col("act.organization_id") == F.col("o.organization_id"))
-        .join(d.user.alias("usr"), F.col("act.user_id") == F.col("usr.user_id"))
-        .join(d.plan_variant.alias("pv"), F.col("pv.customer_id") == F.col("o.billing_id"))
-        .filter(
-            between_bounds(F.col("act.created"), s, e)
-            & keep_external(F.col("act.organization_id"), F.col("usr.username"), P.internal)
-            & is_true(F.col("pv.touchless"))
-            & is_false(F.col("pv.enterprise"))
-        )
+from pulseboard.params import Cohort, InternalRule, ProductSpec, Targets, TrialSpec
+from pulseboard.plans import (
+    most_active_touchless_orgs,
+    slipping_away_orgs,
+    trial_activity_by_product,
+    trial_top_activities,
+)
+from tests.conftest import rows, ts
+
+NOBODY = InternalRule(pattern="%@corp")
+
+
+def _events(*items):
+    return [(k, user, org, code, ts(at), None) for k, (user, org, code, at) in enumerate(items)]
+
+
+def test_events_count_once_per_trial_of_their_organisation(dom):
+    """Organisation 5 was on trial three times (two subscriptions, one of them of
+    a type listed twice), organisation 6 once, organisation 7 never."""
+    d = dom.make(
+        user_activity=_events(
+            (1, 5, "BCS_A", "2024-01-02 08:00:00"), (1, 5, "BCS_A", "2024-01-02 09:00:00"),
+            (2, 5, "XX_B", "2024-01-03 08:00:00"), (3, 6, "BCS_A", "2024-01-02 08:00:00"),
+            (4, 7, "BCS_A", "2024-01-02 08:00:00"), (2, 5, None, "2024-01-02 08:00:00"),
+        ),
+        user=[(k, f"u{k}", 5, False) for k in (1, 2, 3, 4)],
+        organization=[(o, f"o{o}", None, None) for o in (5, 6, 7)],
+        org_subscription=[
+            (50, 5, 1, 1, ts("2023-01-01"), ts("2023-02-01")), (51, 5, 2, 1, ts("2023-01-01"), ts("2023-02-01")),
+            (60, 6, 1, 1, ts("2023-01-01"), ts("2023-02-01")), (70, 7, 3, 1, ts("2023-01-01"), ts("2023-02-01")),
+        ],
+        subscription_type=[(1, "T"), (2, "T"), (2, "T"), (3, "PAID")],
     )
-    naive = j.groupBy(F.col("o.organization_id").alias("org_id")).agg(
-        F.count(F.when(F.col("act.activity") == t["vr"], 1)).alias("vr_act"),
-        F.count_distinct("act.user_id").alias("overall_uniq_users"),
-        F.max("act.created").alias("last_activity"),
+    trial = TrialSpec(type_id=1, type_name="T")
+    window = ("2024-01-01", "2024-01-31")
+    top = rows(trial_top_activities(d, *window, internal=NOBODY, trial=trial))
+    assert sorted(top, key=str) == sorted([("BCS_A", 2 * 3 + 1, 2), ("XX_B", 3, 1), (None, 0, 1)], key=str)
+    spec = ProductSpec(products=("BCS",), other="OTHER")
+    per = rows(trial_activity_by_product(d, *window, internal=NOBODY, trial=trial, products=spec))
+    assert sorted(per) == [("BCS", 7), ("OTHER", 3)]
+
+
+def test_plans_and_profiles_multiply_counts_but_not_users(dom):
+    """Two matching plan rows and two CRM profiles with one id make four rows an event."""
+    d = dom.make(
+        user_activity=_events(
+            (1, 5, "CS", "2024-01-02 08:00:00"), (1, 5, "VR", "2024-01-02 09:00:00"), (2, 5, "VR", "2024-01-04 09:00:00"),
+            (3, 6, "CS", "2024-01-02 08:00:00"), (4, 8, "CS", "2024-01-02 08:00:00"),
+        ),
+        user=[(k, f"u{k}", 5, False) for k in (1, 2, 3, 4)],
+        organization=[(5, "five", "b5", "c5"), (6, "six", "b6", None), (8, "eight", "b8", None)],
+        plan_variant=[("b5", True, False), ("b5", True, False), ("b5", True, None), ("b6", None, False), ("b8", True, True)],
+        crm_profile=[("c5", "ref"), ("c5", "ref")],
     )
-    ours = REPORTS["most_active_touchless_orgs"](spark, SF01).select(
-        "org_id", "vr_act", "overall_uniq_users", "last_activity"
+    got = rows(
+        most_active_touchless_orgs(d, "2024-01-01", "2024-01-31", internal=NOBODY, targets=Targets({"cs": "CS", "vr": "VR", "dq": "DQ"})),
+        "org_id", "cs_act", "vr_act", "dq_act", "all_activities_count", "overall_uniq_users", "last_activity",
     )
-    assert sorted(rows(naive)) == sorted(rows(ours))
+    assert got == [(5, 4, 8, 0, 12, 2, ts("2024-01-04 09:00:00"))]
 
 
-def test_r5_separate_distinct_counts_equal_product(spark):
-    d = _domain(spark, SF01)
-    cohort = REPORTS["slipping_away_orgs"](spark, SF01)
-    from pulseboard.plans.risk import slipping_cohort
-
-    members = slipping_cohort(d, P.as_of, P.grabber_group, internal=P.internal, cohort=P.cohort)
-    naive = (
-        d.organization.alias("org")
-        .join(members.alias("s"), F.col("s.organization_id") == F.col("org.organization_id"))
-        .join(d.user.alias("usr"), F.col("usr.organization_id") == F.col("org.organization_id"))
-        .groupBy(F.col("org.organization_id").alias("org_id"))
-        .agg(
-            F.count_distinct("s.user_id").alias("user_count"),
-            F.count_distinct("usr.user_id").alias("total_user_count"),
-        )
+def test_cohort_and_members_are_counted_apart(dom):
+    """Two of the three members of organisation 5 went quiet; one of them is also in organisation 6."""
+    old = "2024-01-02 08:00:00"
+    d = dom.make(
+        user_activity=_events(*[(u, o, "G", old) for u, o in ((1, 5), (1, 5), (2, 5), (2, 5), (1, 6), (1, 6), (3, 5))]),
+        user=[(1, "a", 5, False), (2, "b", 5, False), (3, "c", 5, False), (4, "d", 6, False)],
+        organization=[(5, "five", None, None), (6, "six", None, None)],
+    )
+    got = rows(
+        slipping_away_orgs(d, "2024-01-20", ["G"], internal=NOBODY, cohort=Cohort(lookback_days=30, silent_days=3, min_events=1)),
+        "org_id", "user_count", "total_user_count",
     )
-    assert sorted(rows(naive)) == sorted(rows(cohort, "org_id", "user_count", "total_user_count"))
+    assert sorted(got) == [(5, 2, 3), (6, 1, 1)]
 
 
 # --------------------------------------------------------------- property
