@@ -6,8 +6,11 @@
 
 ``--warehouse`` reads domain tables written by ``write_domain``;
 ``--testdata`` reads the driver's test tables through the bindings. The
-result is written with Spark's DataFrame writer (``--out``) or shown
-(``--show N``); nothing else is collected to the driver.
+result is written with Spark's DataFrame writer (``--out``); with ``--show N``
+instead, the first N rows are printed, and the output says so.
+
+Activity lists are given as codes (``--activities A,B``) or as named groups
+(``--group cards=A+B --group visits=C --use-groups cards,visits``).
 """
 
 from __future__ import annotations
@@ -15,7 +18,20 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pulseboard.params import Bands, Cohort, InternalRule, Targets, TrialSpec
+from pulseboard.params import (
+    CAPPED_TYPE_ID,
+    LICENCE_FAMILIES,
+    PRODUCT_LIST,
+    ActivityGroups,
+    Bands,
+    Cohort,
+    Family,
+    InternalRule,
+    ProductSpec,
+    Targets,
+    TrialSpec,
+)
+from pulseboard.plans.errors import META_KEY
 from pulseboard.plans import errors, licences, risk, trials, usage
 
 PERIOD = {
@@ -36,6 +52,11 @@ PERIOD = {
     "trial_product_mix": trials.trial_product_mix,
 }
 AS_OF = {"slipping_away_orgs", "slip_severity"}
+# reports whose activity list has no default: leaving it out would give no rows
+NEED_ACTIVITIES = AS_OF | {
+    "top_org_per_error", "error_detail", "error_counts", "error_events", "error_daily_vs_previous",
+    "trial_product_by_day", "trial_activity_by_day",
+}
 REPORT_NAMES = sorted([*PERIOD, *AS_OF])
 
 
@@ -61,39 +82,79 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--error-type", default=None)
     p.add_argument("--trial-type-id", type=int, default=TrialSpec().type_id)
     p.add_argument("--trial-type-name", default=TrialSpec().type_name)
-    p.add_argument("--out", help="output path; omit to show rows")
+    p.add_argument("--group", action="append", default=[], help="an activity group, name=CODE+CODE (repeat)")
+    p.add_argument("--use-groups", default="", help="groups whose codes make the activity list")
+    p.add_argument("--exclude-groups", default="", help="groups whose codes make the excluded activities")
+    p.add_argument("--lookback-days", type=int, default=Cohort().lookback_days)
+    p.add_argument("--silent-days", type=int, default=Cohort().silent_days)
+    p.add_argument("--min-events", type=int, default=Cohort().min_events)
+    p.add_argument("--band-high", type=float, default=Bands().high)
+    p.add_argument("--band-medium", type=float, default=Bands().medium)
+    p.add_argument("--capped-type-id", type=int, default=CAPPED_TYPE_ID)
+    p.add_argument("--family", action="append", default=[], help="licence family, column=PREFIX%%+NAME (repeat)")
+    p.add_argument("--products", default=",".join(PRODUCT_LIST), help="product prefixes")
+    p.add_argument("--json-key", default=META_KEY, help="payload key shown as meta")
+    p.add_argument("--every-day", action="store_true", help="zero-fill every day of the daily error comparison")
+    p.add_argument("--out", help="output path; omit to print the first rows")
     p.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     p.add_argument("--show", type=int, default=20)
     return p
 
 
+def _activities(args, codes: str, groups: str) -> list[str]:
+    """Codes given one by one, then those of the named groups, without repeats."""
+    own = ActivityGroups({"": tuple(_csv(codes)), **ActivityGroups.parse(args.group).groups})
+    return own.codes("", *_csv(groups))
+
+
+def _families(items: list[str]) -> dict[str, Family]:
+    out = {}
+    for column, terms in (item.split("=", 1) for item in items):
+        parts = terms.split("+")
+        out[column] = Family(
+            prefixes=tuple(t[:-1] for t in parts if t.endswith("%")),
+            names=tuple(t for t in parts if not t.endswith("%")),
+        )
+    return out or dict(LICENCE_FAMILIES)
+
+
 def build_report(args, domain):
     rule = InternalRule(pattern=args.internal_pattern, exempt_org=args.exempt_org) if args.internal_pattern else None
     excluded = [int(x) for x in _csv(args.exclude)]
-    acts = _csv(args.activities)
+    acts = _activities(args, args.activities, args.use_groups)
+    left_out = _activities(args, args.excluded_activities, args.exclude_groups)
     trial = TrialSpec(type_id=args.trial_type_id, type_name=args.trial_type_name)
+    products = {"products": ProductSpec(products=tuple(_csv(args.products)))}
     targets = Targets(dict(t.split("=", 1) for t in _csv(args.targets))) if args.targets else Targets()
     name = args.report
+    if name in NEED_ACTIVITIES and not acts:
+        raise ValueError(f"{name} needs --activities or --use-groups")
     if name in AS_OF:
-        out = risk.slipping_away_orgs(domain, args.as_of, acts, excluded, internal=rule, cohort=Cohort())
-        return risk.slip_severity(out, Bands()) if name == "slip_severity" else out
+        cohort = Cohort(args.lookback_days, args.silent_days, args.min_events)
+        out = risk.slipping_away_orgs(domain, args.as_of, acts, excluded, internal=rule, cohort=cohort)
+        return risk.slip_severity(out, Bands(args.band_high, args.band_medium)) if name == "slip_severity" else out
     fn = PERIOD[name]
     period = (args.start, args.end)
     if name == "daily_assigned_licenses":
-        return fn(domain, *period)
+        return fn(domain, *period, families=_families(args.family))
     if name == "new_trials_vs_previous":
         return fn(domain, *period, excluded, trial=trial)
     if name in ("trial_product_by_day", "trial_activity_by_day"):
         return fn(domain, *period, acts, internal=rule, trial=trial)
     if name in ("trial_activity_by_product", "trial_top_activities", "trial_product_mix"):
-        return fn(domain, *period, _csv(args.excluded_activities), internal=rule, trial=trial)
-    if name in ("error_events", "error_daily_vs_previous"):
-        return fn(domain, *period, acts, args.error_type, excluded, internal=rule)
-    if name in ("top_org_per_error", "error_detail", "error_counts"):
+        extra = {} if name == "trial_top_activities" else products
+        return fn(domain, *period, left_out, internal=rule, trial=trial, **extra)
+    if name == "error_events":
+        return fn(domain, *period, acts, args.error_type, excluded, internal=rule, meta_key=args.json_key)
+    if name == "error_daily_vs_previous":
+        return fn(domain, *period, acts, args.error_type, excluded, internal=rule, every_day=args.every_day)
+    if name == "error_detail":
+        return fn(domain, *period, acts, excluded, internal=rule, meta_key=args.json_key)
+    if name in ("top_org_per_error", "error_counts"):
         return fn(domain, *period, acts, excluded, internal=rule)
     if name == "concurrent_license_exceeded":
         extra = {"activities": acts} if acts else {}
-        return fn(domain, *period, excluded, internal=rule, **extra)
+        return fn(domain, *period, excluded, internal=rule, capped_type_id=args.capped_type_id, **extra)
     return fn(domain, *period, excluded, internal=rule, targets=targets)
 
 
@@ -108,6 +169,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.out:
         df.write.mode("overwrite").format(args.format).option("header", "true").save(args.out)
     else:
+        print(f"The first {args.show} rows at most; --out writes all of them.")
         df.show(args.show, truncate=False)
     return 0
 
