@@ -60,7 +60,7 @@ def mine(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str
     seen = pages.select(F.col(page_id).alias("id"), tokens(url).alias("own")).join(bad.where("bad is not null"), "id")
     baskets = seen.select(F.when(F.col("bad") == 1, F.concat("own", F.array(F.lit(BAD)))).otherwise(F.col("own")).alias("items")).where(F.size("items") > 0)
     n = baskets.count()
-    if not n:
+    if n < LEAST_PAGES:
         return pages.sparkSession.createDataFrame([], "rule long, key string, items array<string>, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_PAGES / n)), minConfidence=confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.col("antecedent").alias("items"), "confidence", "support")
