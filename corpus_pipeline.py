@@ -3,7 +3,7 @@
 1. language ID: documents without a recognisable language go; a missing
    language is filled in.
 2. n-gram Jaccard join: the document with the smallest id of each group of near
-   duplicates stays. Rows without an id stay, one of each text.
+   duplicates stays; a row without an id comes after those with one.
 3. benchmark decontamination: contaminated documents go.
 4. personal data: spans are replaced by their kind, and n_chars follows.
 5. BPE encoding: every document's token ids, with digests of the ids and of the
@@ -30,11 +30,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
-    rest = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rest.withColumn("nth row", F.row_number().over(one)).where("`nth row` = 1").select(*docs.columns)
+    # A row without an id goes by its text, behind all ids.
+    text_key = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn("key of row", F.coalesce(F.col("doc_id").cast("long"), text_key))
+    found = stored(jaccard_join.near_duplicates(keyed, doc_id="key of row"), "groups")
+    # Few documents go and fewer repeat an id, so these lists are what joins the texts.
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("key of row")).distinct(), "gone")
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key of row")).count()
+    twice = stored(kept.where("count > 1").select("key of row"), "twice")
+    rest = keyed.join(gone, "key of row", "left_anti")
+    one = Window.partitionBy("key of row").orderBy(*[F.xxhash64(c) if c == "text" else c for c in docs.columns])
+    repeated = rest.join(twice, "key of row", "left_semi").withColumn("nth row", F.row_number().over(one)).where("`nth row` = 1")
+    return rest.join(twice, "key of row", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
