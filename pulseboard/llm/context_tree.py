@@ -206,11 +206,14 @@ def grow_tree(counts: DataFrame, nodes: int = NODES) -> Tree:
         own = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
         byte = F.col("key").bitwiseAND(F.lit(255)).cast("int")
         by_context = own.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("all"), F.collect_list(F.struct(byte.alias("byte"), "n")).alias("after"))
-        for r in by_context.where(F.col("all") * nodes >= F.lit(total)).select("context", "after").toLocalIterator():
-            after = np.zeros(256, np.float32)
-            for b, n in r.after:
-                after[b] = n
-            contexts.append((depth, r.context, after))
+        found = by_context.where(F.col("all") * nodes >= F.lit(total)).select("context", "after.byte", "after.n").toArrow().combine_chunks()
+        if not found.num_rows:
+            continue
+        context, byte, n = (found.column(k).combine_chunks() for k in range(3))
+        row = np.repeat(np.arange(len(context)), byte.value_lengths().to_numpy(zero_copy_only=False))
+        after = np.zeros((len(context), 256), np.float32)
+        after[row, byte.flatten().to_numpy()] = n.flatten().to_numpy()
+        contexts += zip([depth] * len(context), context.to_pylist(), after)
     return Tree(contexts)
 
 
