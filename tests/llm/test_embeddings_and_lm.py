@@ -156,3 +156,17 @@ def test_base_scores_and_rows(spark, docs, no_docs):
     none = context_tree.score(docs, no_docs).collect()
     assert len(none) == len(rows) and all(abs(r.score + r.n_bytes * math.log10(256)) < 1e-3 * r.n_bytes for r in none)
     assert context_tree.score(no_docs, train).count() == 0
+
+
+@pytest.mark.parametrize("limits", [{}, {"frequent_grams": 8}, {"frequent_grams": 0}])
+def test_scores_weight_every_seen_context(spark, monkeypatch, limits):
+    monkeypatch.setattr(context_tree, "GRAMS", 20, raising=False)
+    filler = "e" * 70_000  # so that each other context is below one in 32,768 bytes
+    train = ["a banana and a band", "Ananas  bananas", None, "", "and été", filler]
+    test = ["a band of bananas", "zebra", "", None, "été and", "a band of bananas"]
+    frame = lambda ts: spark.createDataFrame([(k, t) for k, t in enumerate(ts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in context_tree.score(frame(test), frame(train), **limits).collect()}
+    own = Reference(train, 1 << 40)
+    assert len(got) == len(test)
+    for k, t in enumerate(test):
+        assert abs(got[k] - own.score(t)) < 1e-6
