@@ -3,7 +3,8 @@
 1. language ID: documents without a recognisable language go; a missing
    language is filled in.
 2. n-gram Jaccard join: the document with the smallest id of each group of near
-   duplicates stays; a row without an id comes after those with one.
+   duplicates stays (of one id, that with the least hash of the text); a row
+   without an id comes after those with one. Rows are told apart by id and text.
 3. benchmark decontamination: contaminated documents go.
 4. personal data: spans are replaced by their kind, and n_chars follows.
 5. BPE encoding: every document's token ids, with digests of the ids and of the
@@ -30,18 +31,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # A row without an id goes by its text, behind all ids.
-    text_key = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn("key of row", F.coalesce(F.col("doc_id").cast("long"), text_key))
-    found = stored(jaccard_join.near_duplicates(keyed, doc_id="key of row"), "groups")
-    # Few documents go and fewer repeat an id, so these lists are what joins the texts.
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("key of row")).distinct(), "gone")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key of row")).count()
-    twice = stored(kept.where("count > 1").select("key of row"), "twice")
-    rest = keyed.join(gone, "key of row", "left_anti")
-    one = Window.partitionBy("key of row").orderBy(*[F.xxhash64(c) if c == "text" else c for c in docs.columns])
-    repeated = rest.join(twice, "key of row", "left_semi").withColumn("nth row", F.row_number().over(one)).where("`nth row` = 1")
-    return rest.join(twice, "key of row", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    # A row goes by its id and its text, as ids may repeat; one without an id by its text alone, behind all ids.
+    hashed = F.xxhash64("text")
+    first = F.coalesce(F.col("doc_id").cast("long"), hashed.bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
+    key = ["key of row", "hash of text"]
+    keyed = docs.withColumn(key[0], first).withColumn(key[1], hashed)
+    rows = keyed.select(F.struct(*key).alias("doc_id"), "text")
+    found = stored(jaccard_join.near_duplicates(rows), "groups")
+    # Few documents go and fewer repeat, so these lists are what joins the texts.
+    gone = stored(found.where("doc_id <> component_id").select("doc_id.*").distinct(), "gone")
+    # Wordless texts are in no group, so none of them goes.
+    kept = found.where("doc_id = component_id and n_shingles > 0").select("doc_id.*").groupBy(*key).count()
+    twice = stored(kept.where("count > 1").select(*key), "twice")
+    rest = keyed.join(gone, key, "left_anti")
+    one = Window.partitionBy(*key).orderBy(*[F.xxhash64(c) if c == "text" else c for c in docs.columns])
+    repeated = rest.join(twice, key, "left_semi").withColumn("nth row", F.row_number().over(one)).where("`nth row` = 1")
+    return rest.join(twice, key, "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,12 @@ def test_clean_documents_are_left_alone(spark, tmp_path, bench):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert sorted(map(tuple, stage(spark, df, str(tmp_path)).collect())) == clean
     assert lang_id.UND not in {r.lang for r in df.collect()}
+
+
+def test_near_duplicates_go_by_row_where_ids_repeat(spark, tmp_path):
+    a, b, c = (cases.prose(700 + k, 80) for k in range(3))
+    near = a + " altered"
+    rows = [(3, a), (7, near), (7, b), (8, c), (8, cases.prose(710, 80)), (9, c), (9, b), (None, a), (None, cases.prose(711, 80)), (7, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([rows[k] for k in (0, 2, 3, 4, 8)], key=str)
