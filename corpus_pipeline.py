@@ -1,7 +1,7 @@
 """A corpus pipeline of five operators; each stage works on what the one before it kept.
 
-1. language ID: documents without a recognisable language go; a missing
-   language is filled in.
+1. language ID: documents without a letter go; a missing language is filled in,
+   or stays null where no training-side document has a language.
 2. n-gram Jaccard join: the document with the smallest id of each group of near
    duplicates stays (of one id, that with the least hash of the text); a row
    without an id comes after those with one. Rows are told apart by id and text.
@@ -26,8 +26,9 @@ from pulseboard.llm.shared import read, stored, whole_rows
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_id.fit(docs.where(~lang_id.held_out()))
-    said = lang_id.identify(whole_rows(docs), model).where(F.col("lang_pred") != lang_id.UND)
-    return said.select("doc_id.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    said = lang_id.identify(whole_rows(docs), model, lettered=True).where("lettered")
+    known = F.coalesce(F.col("lang"), F.nullif(F.col("lang_pred"), F.lit(lang_id.UND)))
+    return said.select("doc_id.*", "lang_pred").withColumn("lang", known).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,17 +179,22 @@ def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Model(languages, idf, weights, bias, calibrated(logits, np.array([y for *_, y in held], np.int64)))
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", lettered: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row; with ``lettered`` also whether the text has a letter,
+    which a model without languages does not tell."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
             said = [own.predict(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            columns, names = [b.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], ["doc_id", "lang_pred", "score"]
+            if lettered:
+                has = [s[0] != UND if own.languages else len(gram_counts(t.as_py())[0]) > 0 for s, t in zip(said, b.column(1))]
+                columns, names = [*columns, pa.array(has, pa.bool_())], [*names, "lettered"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(doc_id, text).mapInArrow(run, keyed_schema(docs, doc_id, "lang_pred string, score double"))
+    return docs.select(doc_id, text).mapInArrow(run, keyed_schema(docs, doc_id, "lang_pred string, score double" + ", lettered boolean" * lettered))
 
 
 def held_out(column: str = "doc_id") -> Column:

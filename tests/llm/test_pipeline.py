@@ -64,3 +64,9 @@ def test_near_duplicates_go_by_row_where_ids_repeat(spark, tmp_path):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted([rows[k] for k in (0, 2, 3, 4, 8)], key=str)
+
+
+def test_documents_stay_when_none_has_a_language(spark, tmp_path):
+    rows = [(k, t, None, "s", 1) for k, t in enumerate([cases.prose(720, 20), "One two", "123 !", "", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(tuple, corpus_pipeline.identify_language(spark, df, str(tmp_path)).collect())) == rows[:2]
