@@ -150,7 +150,7 @@ class Tree:
         if not contexts:
             contexts = [(0, 0, np.zeros(256))]
         place = {(d, c): k for k, (d, c, _) in enumerate(contexts)}
-        counts = np.array([n for *_, n in contexts], np.float32)
+        counts = np.array([n for *_, n in contexts], np.int64)
         parent, edge = np.full(len(contexts), -1), np.zeros(len(contexts), np.int64)
         for k, (d, c, _) in enumerate(contexts):
             if d:
@@ -169,13 +169,13 @@ class Tree:
         self.step[parent[own], edge[own]] = own
 
         # Bottom up: log of the children's product, then of the node's mixture.
-        estimate, chance = np.zeros(counts.shape, np.float32), np.zeros(counts.shape, np.float32)
+        estimate, chance = np.zeros(counts.shape), np.zeros(counts.shape)
         for i in range(0, len(counts), 4096):
             zeros, ones = _bit_counts(counts[i : i + 4096].astype(np.float64))
             estimate[i : i + 4096] = _log_kt(zeros, ones)
             chance[i : i + 4096] = (ones + 0.5) / (zeros + ones + 1)
         weighted = estimate.copy()
-        product = np.zeros((n, 256), np.float32)
+        product = np.zeros((n, 256))
         is_inner = np.zeros(len(counts), bool)
         is_inner[inner] = True
         for d in range(int(depth.max()), 0, -1):
@@ -184,7 +184,7 @@ class Tree:
             up = np.flatnonzero((depth == d - 1) & is_inner)
             weighted[up] = np.logaddexp(estimate[up], product[up]) - math.log(2)
         # Top down: each depth's share of the mixture along the way to a final node.
-        left, mixed_in = np.ones(counts.shape, np.float32), np.zeros(counts.shape, np.float32)
+        left, mixed_in = np.ones(counts.shape), np.zeros(counts.shape)
         for d in range(1, int(depth.max()) + 1):
             here = np.flatnonzero(depth == d)
             up = parent[here]
@@ -192,12 +192,13 @@ class Tree:
             mixed_in[here] = mixed_in[up] + left[up] * stay * chance[up]
             left[here] = left[up] * (1 - stay)
         chance = np.clip(mixed_in + left * chance, 1e-9, 1 - 1e-7)
-        self.log10 = np.zeros((len(counts), 256), np.float32)
+        log10 = np.zeros((len(counts), 256))
         symbols = np.arange(256)
         for level in range(8):
             at = (1 << level) + (symbols >> (8 - level))
             one = symbols >> (7 - level) & 1
-            self.log10 += np.log10(np.where(one, chance[:, at], 1 - chance[:, at]))
+            log10 += np.log10(np.where(one, chance[:, at], 1 - chance[:, at]))
+        self.log10 = log10.astype(np.float32)
 
     def score(self, out: np.ndarray, places: np.ndarray, text_first: np.ndarray) -> np.ndarray:
         """Log10 probability of each text of a canonical chunk."""
@@ -225,7 +226,7 @@ def grow_tree(counts: DataFrame, nodes: int = NODES) -> Tree:
             continue
         context, byte, n = (found.column(k).combine_chunks() for k in range(3))
         row = np.repeat(np.arange(len(context)), byte.value_lengths().to_numpy(zero_copy_only=False))
-        after = np.zeros((len(context), 256), np.float32)
+        after = np.zeros((len(context), 256), np.int64)
         after[row, byte.flatten().to_numpy()] = n.flatten().to_numpy()
         contexts += zip([depth] * len(context), context.to_pylist(), after)
     return Tree(contexts)

@@ -170,3 +170,15 @@ def test_scores_weight_every_seen_context(spark, monkeypatch, limits):
     assert len(got) == len(test)
     for k, t in enumerate(test):
         assert abs(got[k] - own.score(t)) < 1e-6
+
+
+def test_large_counts_are_exact():
+    def counts(**of):
+        n = np.zeros(256, np.int64)
+        n[0x40], n[0x41] = of.get("x", 0), of.get("y", 0)
+        return n
+
+    each = 7_400_003
+    below = [(1, k, counts(**{"x" if k < 20 else "y": each})) for k in range(40)]
+    tree = context_tree.Tree([(0, 0, counts(x=20 * each + 5, y=20 * each + 2_000_000)), *below])
+    assert abs(tree.log10[tree.step[0, 200], 0x40] - math.log10(5.5 / 2_000_006)) < 1e-5
