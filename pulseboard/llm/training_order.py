@@ -1,8 +1,10 @@
 """Operator 2: training-order materialisation of token sequences into binary shards.
 
 Texts become token ids, cut into sequences of at most ``length``. Sequence k of
-the document with id d has the grid number (d - least id) * most + k, where
-``most`` bounds the sequences of a document (a token has a byte at least). A
+the document with id d has the grid number ((d - least id) * spread + h) * most
++ k, where ``most`` bounds the sequences of a document (a token has a byte at
+least), ``spread`` is the rows of the id that most rows have (1 if ids are
+unique; less where the grid would pass 63 bits) and h < ``spread`` a hash of the text. A
 keyed Feistel network permutes the grid; cycle-walking (applying it again while
 the result lies outside) keeps it on the grid. Ranges of the permuted numbers
 are the shards: one task sorts one shard and writes its sequences as records of
@@ -12,8 +14,9 @@ lies at a known byte of a known file, and a reader can start anywhere.
 
 A number depends on the key and the row alone, never on partitions, so a task
 that runs again writes the same file. A null or empty text has no sequence. Null
-ids share the number past the largest id; equal numbers (null ids, repeated
-rows) are ordered by their ids' bytes, each keeping a slot of its own. Texts are
+ids count as the id past the largest; equal numbers (copies of a row, rare
+others) are ordered by their ids' bytes, each keeping a slot of its own, and
+stay side by side in one shard. Texts are
 encoded whole; memory follows the longest one and one shard. An empty table
 writes no shard. Extra columns are left out.
 """
@@ -106,7 +109,7 @@ def _vocabulary_size(ranks: str) -> int:
         return 1 + max(int(line.split()[1]) for line in f)
 
 
-def sequences(docs: DataFrame, layout: Layout, low: int, high: int, most: int, ranks: str, pattern: str, doc_id: str, text: str) -> DataFrame:
+def sequences(docs: DataFrame, layout: Layout, low: int, high: int, most: int, spread: int, ranks: str, pattern: str, doc_id: str, text: str) -> DataFrame:
     """(doc_id, seq_no, n_tokens, shard, number, ids): unpadded records with their permuted numbers."""
     permute = Feistel(layout.grid, layout.key)
     kind = np.uint16 if layout.width == 2 else np.uint32
@@ -127,11 +130,13 @@ def sequences(docs: DataFrame, layout: Layout, low: int, high: int, most: int, r
                 if not row:
                     continue
                 base = np.array([(high + 1 if k is None else k) - low for k in keys], np.uint64)
+                base = base * np.uint64(spread) + part.column(2).to_numpy().astype(np.uint64)
                 number = permute(base[row] * np.uint64(most) + np.array(seq, np.uint64))
                 columns = [part.column(0).take(pa.array(row)), pa.array(seq, pa.int64()), pa.array([len(p) // layout.width for p in parts], pa.int32()), pa.array(layout.shard(number)), pa.array(number.astype(np.int64)), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "seq_no", "n_tokens", "shard", "number", "ids"])
 
-    return docs.select(doc_id, text).mapInArrow(run, keyed_schema(docs, doc_id, "seq_no long, n_tokens int, shard int, number long, ids binary"))
+    place = F.pmod(F.xxhash64(text), F.lit(spread).cast("long"))
+    return docs.select(doc_id, text, place).mapInArrow(run, keyed_schema(docs, doc_id, "seq_no long, n_tokens int, shard int, number long, ids binary"))
 
 
 def _writer(layout: Layout, folder: str):
@@ -161,16 +166,19 @@ def materialise(docs: DataFrame, folder: str, ranks: str, pattern: str, key: int
     """
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen = own.agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("low"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("high"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    seen = own.agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("low"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("high"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(F.octet_length("text") > 0).alias("texts")).first()
     most = max(1, -(-seen.longest // length))
     grid = (seen.high - seen.low + 2) * most
     if grid >= 1 << 63:
         raise ValueError("ids and lengths span more than 63 bits")
+    repeats = own.groupBy("doc_id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    spread = min(repeats, ((1 << 63) - 1) // grid)
+    grid *= spread
     vocabulary = _vocabulary_size(ranks)
     # About three bytes a token, and a last record half empty, give the number of shards; any number is right.
-    expected = seen.bytes / (3 * length) + 1
+    expected = seen.bytes / (3 * length) + seen.texts / 2 + 1
     layout = Layout(grid, int(min(grid, max(1, -(-expected // shard_records)))), length, 2 if vocabulary < 1 << 16 else 4, vocabulary, key)
-    rows = sequences(own, layout, seen.low, seen.high, most, ranks, pattern, "doc_id", "text")
+    rows = sequences(own, layout, seen.low, seen.high, most, spread, ranks, pattern, "doc_id", "text")
     schema = "doc_id long, seq_no long, n_tokens int, shard int, row int"
     index = stored(rows.groupBy("shard").applyInArrow(_writer(layout, folder), schema), "slots")
     sizes = index.groupBy("shard").agg(F.count("*").alias("n"))

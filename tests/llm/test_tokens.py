@@ -83,3 +83,13 @@ def test_shards_hold_every_sequence_at_its_slot(spark, docs, no_docs):
     place = lambda rs: sorted((r.slot, r.n_tokens, r.shard, r.position) for r in rs)
     assert place(again) == place(rows)
     assert write(no_docs, "file://" + tempfile.mkdtemp(prefix="pulseboard-shards-")).count() == 0
+
+
+def test_shards_are_bounded_for_null_and_repeated_ids_and_short_texts(spark):
+    rows = [(k if k < 500 else 7 if k < 700 else None, cases.prose(800 + k, 6)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = "file://" + tempfile.mkdtemp(prefix="pulseboard-shards-")
+    out = training_order.materialise(df, folder, RANKS, public_tokenizers.PATTERN, length=64, shard_records=50).collect()
+    assert sorted(r.slot for r in out) == list(range(1000))
+    sizes = [sum(r.shard == s for r in out) for s in {r.shard for r in out}]
+    assert max(sizes) <= 100
