@@ -58,4 +58,30 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(lowest, vec_id)
        coalesce(lowest, vec_id) >= vec_id AS kept
 FROM embeddings LEFT JOIN degree USING (vec_id) LEFT JOIN least_of USING (vec_id)"""
 
-ORACLE_SQL = {"op1_decontaminate": DECONTAMINATE, "op3_jaccard_join": JACCARD_JOIN, "op9_embedding_dedup": EMBEDDING_DEDUP}
+COLLOCATIONS = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p, w[i:i + k - 1] AS ws
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, p, any_value(ws) AS ws, count(*) AS c FROM grams GROUP BY lang, k, p),
+sizes AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, p, ws, c AS a FROM f WHERE k >= 2 AND c >= 10),
+cuts AS (
+    SELECT c.lang, c.k, c.p, c.ws, c.a, j, x.c AS l, y.c AS r,
+           (1000000::HUGEINT * c.a * c.a) // (x.c::HUGEINT * y.c) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) AS c
+    JOIN f AS x ON x.lang = c.lang AND x.p = array_to_string(c.ws[1:j], ' ')
+    JOIN f AS y ON y.lang = c.lang AND y.p = array_to_string(c.ws[j + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+covered AS (
+    SELECT lang, p, max(a) AS above
+    FROM (SELECT lang, array_to_string(ws[1:2], ' ') AS p, a FROM candidates WHERE k = 3
+          UNION ALL SELECT lang, array_to_string(ws[2:3], ' ') AS p, a FROM candidates WHERE k = 3) GROUP BY lang, p),
+ranked AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, CAST(score AS BIGINT) AS score
+    FROM lowest LEFT JOIN covered USING (lang, p) WHERE above IS NULL OR 100 * above < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL = {"op12_collocations": COLLOCATIONS, "op1_decontaminate": DECONTAMINATE, "op3_jaccard_join": JACCARD_JOIN, "op9_embedding_dedup": EMBEDDING_DEDUP}
