@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseboard.llm import collocations, context_tree, decontaminate, encode, jaccard_join, lang_id, metric_join, pii, token_counts, training_order, url_rules
+from pulseboard.llm import collocations, context_tree, decontaminate, encode, jaccard_join, lang_id, metric_join, pii, token_counts, toxicity, training_order, url_rules
 from pulseboard.llm.oracle import ORACLE_SQL  # noqa: F401  registered with the queries
 from pulseboard.llm.shared import read, scratch_path
 
@@ -85,4 +85,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_training_order, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op7_url_rules, op8_bpe, op9_embedding_dedup, op10_context_tree, op12_collocations)}
+#: The contract's score from which a document counts as toxic.
+TOXIC = 0.3
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= TOXIC).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted, "toxic_sentences")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_training_order, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op7_url_rules, op8_bpe, op9_embedding_dedup, op10_context_tree, op12_collocations, op13_toxicity)}
