@@ -84,4 +84,24 @@ ranked AS (
     FROM lowest LEFT JOIN covered USING (lang, p) WHERE above IS NULL OR 100 * above < 50 * a)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""
 
-ORACLE_SQL = {"op12_collocations": COLLOCATIONS, "op1_decontaminate": DECONTAMINATE, "op3_jaccard_join": JACCARD_JOIN, "op9_embedding_dedup": EMBEDDING_DEDUP}
+HARD_NEGATIVES = """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS x
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = len(embedding)),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+    FROM vectors AS a JOIN vectors AS b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 10"""
+
+ORACLE_SQL = {"op11_hard_negatives": HARD_NEGATIVES, "op12_collocations": COLLOCATIONS, "op1_decontaminate": DECONTAMINATE, "op3_jaccard_join": JACCARD_JOIN, "op9_embedding_dedup": EMBEDDING_DEDUP}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseboard.llm import collocations, context_tree, decontaminate, encode, jaccard_join, lang_id, metric_join, pii, token_counts, toxicity, training_order, url_rules
+from pulseboard.llm import collocations, context_tree, decontaminate, encode, hard_negatives, jaccard_join, lang_id, metric_join, pii, token_counts, toxicity, training_order, url_rules
 from pulseboard.llm.oracle import ORACLE_SQL  # noqa: F401  registered with the queries
 from pulseboard.llm.shared import read, scratch_path
 
@@ -81,6 +81,11 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", context_tree.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
@@ -97,4 +102,4 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted, "toxic_sentences")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_training_order, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op7_url_rules, op8_bpe, op9_embedding_dedup, op10_context_tree, op12_collocations, op13_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_training_order, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op7_url_rules, op8_bpe, op9_embedding_dedup, op10_context_tree, op11_hard_negatives, op12_collocations, op13_toxicity)}
