@@ -60,14 +60,15 @@ def test_other_parameters_and_empty_tables(spark):
 
 def test_ranges_hold_every_row_that_scores_enough_and_rule_out_others():
     rng = np.random.default_rng(3)
-    x = np.floor(256 * rng.normal(size=(2000, 16))).astype(np.int64)
+    x = rng.normal(size=(2000, 16))
+    x = np.floor(x / np.linalg.norm(x, axis=1)[:, None] * rng.uniform(950, 1000, size=(2000, 1))).astype(np.int64)
     norm = np.sqrt((x.astype(float) ** 2).sum(axis=1))
     unit = x / norm[:, None]
     bucket = hard_negatives.Bucket(np.arange(len(x)), np.zeros(len(x), np.int64), x, float(norm.max()), np.argsort(unit, axis=0).T, unit)
     seen, ruled_out, kept = 0, 0, 0
     for a in range(200):
         scores = x @ x[a]
-        for least in [-5.0, float(np.median(scores)), 0.5 * scores.max(), 0.9 * scores.max(), float(scores.max()), 2.0 * scores.max()]:
+        for least in [-5.0, float(np.median(scores)), *(share * scores.max() for share in (0.5, 0.8, 0.9, 0.95, 1.0, 2.0))]:
             rows = bucket.candidates(unit[a], norm[a], least)
             if rows is None:
                 continue
