@@ -8,6 +8,8 @@ library.
 
 from __future__ import annotations
 
+from datetime import datetime, time
+
 from duck_oracle.bindings import with_bindings
 from pulseboard.params import BILLING_ID_LENGTH, CRM_ID_JSON_KEY
 from pulseboard.plans.catalog import P
@@ -344,8 +346,40 @@ def r16(window=None) -> str:
     return with_bindings(body, **_of_trials(window or P.mix_window, P.excluded_activities))
 
 
+# ------------------------------------------------- what the sinks store
+LAST_MOMENT = datetime.combine(P.whole_days[1], time.max)
+
+
+def window_of_orgs() -> str:
+    codes = P.targets.codes
+    counts = "".join(f", count(DISTINCT CASE WHEN activity = '{code}' THEN organization_id END) AS {stem}_orga_count" for stem, code in codes.items())
+    body = f"""
+    SELECT count(DISTINCT organization_id) AS total_orga_count{counts}
+    FROM user_activity AS a
+    WHERE {in_window(P.whole_days[0], LAST_MOMENT)} AND activity IN {one_of(codes.values())} AND {outside(P.internal)}"""
+    return with_bindings(body)
+
+
+def stored_rows() -> str:
+    tables = {"user": "users"} | {t: t for t in (
+        "organization", "org_subscription", "subscription_type", "user_license", "plan_variant", "billing_profile", "crm_profile")}
+    others = "".join(f" UNION ALL SELECT '{name}', NULL, count(*), NULL FROM {table}" for name, table in tables.items())
+    body = f"""
+    SELECT 'user_activity' AS table_name, CAST(created AS DATE) AS day, count(*) AS n_rows, count(DISTINCT user_id) AS n_users
+    FROM user_activity GROUP BY CAST(created AS DATE){others}"""
+    return with_bindings(body)
+
+
 def build() -> dict[str, str]:
     return {
+        "daily_active_orgs_from_counts": r1(()),
+        "daily_active_orgs_midday_end_from_counts": r1((), P.r1_midday_end),
+        "most_active_touchless_orgs_from_counts": r4(),
+        "slipping_away_orgs_from_counts": r5(),
+        "top_org_per_error_from_counts": r7(),
+        "active_orgs_whole_days": r1((), LAST_MOMENT),
+        "active_orgs_of_window": window_of_orgs(),
+        "warehouse_round_trip": stored_rows(),
         "daily_active_orgs": r1(()),
         "daily_active_orgs_excluded": r1(P.r1_excluded),
         "new_trials_vs_previous": r2(),

@@ -7,6 +7,8 @@ custom fields, CRM profile id).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +21,17 @@ def org_external_ids(
     crm_profile: DataFrame,
     json_key: str = CRM_ID_JSON_KEY,
     id_length: int = BILLING_ID_LENGTH,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per organisation x matching profile pair (both joins optional).
 
-    Columns: organization_id, org_name, bw_org_id, hs_org_id. An organisation
+    Columns: organization_id, org_name, bw_org_id, hs_org_id, and those to ``keep``. An organisation
     with several matching profile rows yields several rows, exactly like the
     two LEFT JOINs it replaces. Only dimension tables are touched here; the
     fact side joins the (small) result after it has been aggregated.
     """
     org = organization.select(
-        "organization_id", F.col("name").alias("org_name"), "billing_id", "crm_id"
+        "organization_id", F.col("name").alias("org_name"), "billing_id", "crm_id", *keep
     )
     bw = billing_profile.select(F.col("id").alias("bw_id"), F.col("customfields").alias("bw_fields"))
     hs = crm_profile.select(F.col("id").alias("hs_id"), F.col("billing_customer_id").alias("hs_bw_ref"))
@@ -38,6 +41,7 @@ def org_external_ids(
         "org_name",
         F.coalesce(F.col("bw_id"), F.substring("hs_bw_ref", 1, id_length)).alias("bw_org_id"),
         F.coalesce(F.get_json_object("bw_fields", f"$.{json_key}"), F.col("hs_id")).alias("hs_org_id"),
+        *keep,
     )
 
 

@@ -60,6 +60,7 @@ class FixtureParams:
     # periods
     r1: tuple[date, date] = (date(2024, 1, 20), date(2024, 2, 3))
     r1_excluded: tuple[int, ...] = (7,)
+    whole_days: tuple[date, date] = (date(2024, 1, 20), date(2024, 1, 25))
     r1_midday_end: datetime = datetime(2024, 1, 25, 12, 0, 0)
     r11_early: tuple[date, date] = (date(2024, 1, 8), date(2024, 1, 17))
     one_day: tuple[date, date] = (date(2024, 1, 20), date(2024, 1, 21))

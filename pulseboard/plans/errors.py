@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from pulseboard.functions.predicates import keep_external, not_excluded
 from pulseboard.functions.time import date_lit, day_of, format_utc, ts_lit
-from pulseboard.operators.broadcast import bounded_broadcast
 from pulseboard.operators.calendar import Series, attach_daily, attach_detail, day_spine
-from pulseboard.operators.period import pair_with_previous
+from pulseboard.operators.period import pair_by_position, pair_with_previous
 from pulseboard.operators.rollup import rollup_activity, with_user_rule
 from pulseboard.operators.topk import top1_per_group
 from pulseboard.params import InternalRule, PeriodPair, as_datetime
@@ -39,12 +38,10 @@ def top_org_per_error(
     """R7. For each error activity the organisation with the most events
     (``act_count``; ties: smaller org id, then ids), its last event time."""
     start, end = as_datetime(start), as_datetime(end)
-    act = d.activity(start, end).filter(
+    act = d.counted(start, end).filter(
         F.col("activity").isin(list(error_activities)) & not_excluded("organization_id", excluded_orgs)
     )
-    rolled = rollup_activity(
-        act, ["activity"], [F.count("activity").alias("n"), F.max("created").alias("last_act")]
-    )
+    rolled = rollup_activity(act, ["activity"], [F.sum("n").alias("n"), F.max("last_at").alias("last_act")])
     kept = with_user_rule(rolled, d.user, internal)
     per_org = kept.groupBy("activity", "organization_id").agg(
         F.sum("n").alias("n"), F.max("last_act").alias("last_act")
@@ -247,12 +244,10 @@ def error_daily_vs_previous(
     moved = F.when(F.lit(pair.n_days < 2), F.lit(0)).otherwise(
         F.coalesce(F.max(F.when((day == first) & ~seen, F.lit(1))).over(whole), F.lit(0))
     )
-    daily = daily.select("day", "error_count", moved.alias("moved"))
-    prev = daily.filter((day <= date_lit(pair.start)) & ((F.col("moved") == 0) | (day != first)))
-    prev = prev.select(
-        F.date_add(day, F.lit(pair.n_days) - F.col("moved")).alias("day"),
-        day.alias("prev_day"),
-        filled.alias("prev_error_count"),
+    previous = day <= date_lit(pair.start)
+    daily = daily.select("day", filled, seen.alias("seen"), moved.alias("moved"))
+    daily = daily.filter(
+        (previous & ((F.col("moved") == 0) | (day != first))) | (~previous & ((day != last) | F.col("seen")))
     )
-    current = daily.filter((day > date_lit(pair.start)) & ((day != last) | seen))
-    return current.select("day", filled).join(bounded_broadcast(prev), "day", "left").orderBy("day")
+    shift = F.lit(pair.n_days) - F.when(F.lit(pair.n_days < 2), F.lit(0)).otherwise(F.col("moved"))
+    return pair_by_position(daily, previous, F.date_add(day, shift), ["error_count"]).orderBy("day")

@@ -32,10 +32,10 @@ def slipping_cohort(
     as_of = as_datetime(as_of)
     since = as_of - timedelta(days=cohort.lookback_days)
     silent_from = as_of - timedelta(days=cohort.silent_days)
-    act = d.activity(since, None, lo_strict=True).filter(
+    act = d.counted(since, None, lo_strict=True).filter(
         F.col("activity").isin(list(group_activities)) & not_excluded("organization_id", excluded_orgs)
     )
-    per_user = rollup_activity(act, [], [F.max("created").alias("last_at"), F.count(F.lit(1)).alias("n")])
+    per_user = rollup_activity(act, [], [F.max("last_at").alias("last_at"), F.sum("n").alias("n")])
     per_user = per_user.filter(
         (F.col("last_at") < ts_lit(silent_from)) & (F.col("n") > cohort.min_events)
     )

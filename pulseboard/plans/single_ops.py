@@ -8,7 +8,6 @@ DuckDB twin. Names follow the operator, not a report.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from datetime import date
 

@@ -14,6 +14,7 @@ from pulseboard.functions.text import fold_other, product_of
 from pulseboard.functions.time import day_of, ts_lit
 from pulseboard.operators.calendar import Series, attach_daily, day_spine
 from pulseboard.operators.densify import densify_days
+from pulseboard.operators.membership import may_be_in
 from pulseboard.operators.multiplicity import multiplicity
 from pulseboard.operators.period import pair_with_previous
 from pulseboard.operators.rollup import rollup_activity, with_user_rule
@@ -70,31 +71,50 @@ def _trial_day_rows(
     d: Domain, start, end, relevant: Iterable[str], key: Column, internal: InternalRule, trial: TrialSpec
 ) -> DataFrame:
     """Activity of trial licensees per (user, day, key): ``n`` events, ``m``
-    licences, ``day_nr``. The few licences cut the fact down before users are
-    joined; on a fact bucketed by user already before it is rolled up."""
+    licences, ``day_nr`` below ``trial.days``. The few licences cut the fact
+    down before users are joined; on a fact bucketed by user already before it
+    is rolled up.
+
+    Days are in ``0 .. trial.days - 1``; those before a trial keep one row with
+    NULLs, which lists their key. So a day meets the licences of its band
+    and not all of its user's: both sides carry the number of a stretch of
+    ``trial.days`` days, a licence that of its first day and the next.
+    """
     start, end = as_datetime(start), as_datetime(end)
     licences = _trial_licences(d, start, end, trial)
+    latest = licences.groupBy("user_id").agg(F.max("trial_day").alias("latest"))
     act = d.activity(start, end).filter(F.col("activity").isin(list(relevant)))
     if d.activity_by_user:
-        act = act.join(licences.select("user_id"), "user_id", "left_semi")
+        act = act.join(latest.select("user_id"), "user_id", "left_semi")
     # the organisation matters only to a rule with an exempt one
     by_org = ["organization_id"] if internal is not None and internal.exempt_org is not None else []
     rolled = act.groupBy("user_id", *by_org, day_of("created").alias("day"), key).agg(
         F.count(F.lit(1)).alias("n")
     )
-    joined = rolled.join(licences, "user_id").withColumn("day_nr", F.datediff("day", "trial_day"))
+    # a day counts for some licence of its user if it does for the latest
+    early = rolled.join(latest, "user_id").filter(F.datediff("day", "latest") < trial.days).drop("latest")
     if not by_org:
-        joined = joined.withColumn("organization_id", F.lit(None).cast("bigint"))
-    return with_user_rule(joined, d.user, internal)
+        early = early.withColumn("organization_id", F.lit(None).cast("bigint"))
+    early = with_user_rule(early, d.user, internal).withColumn("stretch", _stretch("day", trial.days))
+    first = _stretch("trial_day", trial.days)
+    banded = licences.select(
+        F.col("user_id").alias("licensee"), F.explode(F.array(first, first + 1)).alias("band"), "trial_day", "m"
+    )
+    day_nr = F.datediff("day", "trial_day")
+    same = (F.col("user_id") == F.col("licensee")) & (F.col("stretch") == F.col("band"))
+    rows = early.join(banded, same & (day_nr >= 0) & (day_nr < trial.days), "left")
+    return rows.select(*early.columns, "m", day_nr.alias("day_nr"))
+
+
+def _stretch(day: str, days: int) -> Column:
+    return F.floor(F.unix_date(day) / days).cast("int")
 
 
 def _trial_days_dense(key: str, value: DataFrame, trial: TrialSpec) -> DataFrame:
-    """Keep day numbers below ``trial.days`` (negative ones too: they list
-    their category), shift to 1-based, densify to ``1..trial.days``."""
-    early = value.filter(F.col("day_nr") < trial.days).select(
-        (F.col("day_nr") + 1).alias("day_nr"), key, "act_count"
-    )
-    return densify_days(early, key, "day_nr", "act_count", trial.days).orderBy("day_nr", key)
+    """Shift day numbers to 1-based and densify to ``1..trial.days``; a NULL
+    day lists its category only."""
+    shifted = value.select((F.col("day_nr") + 1).alias("day_nr"), key, "act_count")
+    return densify_days(shifted, key, "day_nr", "act_count", trial.days).orderBy("day_nr", key)
 
 
 def trial_product_by_day(
@@ -148,11 +168,20 @@ def _trial_orgs(d: Domain, trial: TrialSpec) -> DataFrame:
 
 
 def _trial_activity(
-    d: Domain, start, end, excluded_activities: Iterable[str], keys, aggs, internal: InternalRule
+    d: Domain, start, end, excluded_activities: Iterable[str], keys, aggs, internal: InternalRule, trial: TrialSpec
 ) -> DataFrame:
+    """Rolled-up activity of trial organisations with their multiplicity ``m``.
+
+    They are joined before the users, so users meet their rows only. On a
+    stored fact a bounded set of them is tested at the scan as well: events of
+    other organisations are neither rolled up nor exchanged.
+    """
     start, end = as_datetime(start), as_datetime(end)
+    trial_orgs = _trial_orgs(d, trial)
     act = d.activity(start, end).filter(not_in_list_keep_null("activity", excluded_activities))
-    rolled = rollup_activity(act, keys, aggs)
+    if d.stored_fact:
+        act = act.filter(may_be_in("organization_id", trial_orgs, "organization_id"))
+    rolled = rollup_activity(act, keys, aggs).join(trial_orgs, "organization_id")
     return with_user_rule(rolled, d.user, internal)
 
 
@@ -171,12 +200,9 @@ def trial_activity_by_product(
     Ascending by count."""
     rows = _trial_activity(
         d, start, end, excluded_activities,
-        [product_of("activity").alias("product")], [F.count("activity").alias("n")], internal,
+        [product_of("activity").alias("product")], [F.count("activity").alias("n")], internal, trial,
     )
-    # a few rows per organisation meet its multiplicity, not its users' rows
-    per_org = rows.groupBy("organization_id", "product").agg(F.sum("n").alias("n"))
-    weighted = per_org.join(_trial_orgs(d, trial), "organization_id")
-    per_label = weighted.groupBy(fold_other("product", products.products, products.other).alias("product")).agg(
+    per_label = rows.groupBy(fold_other("product", products.products, products.other).alias("product")).agg(
         F.sum(F.col("n") * F.col("m")).cast("bigint").alias("product_count")
     )
     other_row = d.spark.range(1).select(
@@ -200,18 +226,13 @@ def trial_top_activities(
     (once per trial row of the organisation) and distinct users; most
     frequent first. A NULL activity is kept (count 0)."""
     rows = _trial_activity(
-        d, start, end, excluded_activities, ["activity"], [F.count("activity").alias("n")], internal
+        d, start, end, excluded_activities, ["activity"], [F.count("activity").alias("n")], internal, trial
     )
-    trial_orgs = _trial_orgs(d, trial)
-    of_trials = rows.join(trial_orgs, "organization_id", "left_semi")
-    per_org = of_trials.groupBy("organization_id", "activity").agg(F.sum("n").alias("n"))
-    events = per_org.join(trial_orgs, "organization_id").groupBy("activity").agg(
-        F.sum(F.col("n") * F.col("m")).cast("bigint").alias("activity_count")
+    # two levels give the sum and the exact distinct count in one pass
+    per_user = rows.groupBy("activity", "user_id").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+    out = per_user.groupBy("activity").agg(
+        F.sum("n").cast("bigint").alias("activity_count"), F.count("user_id").alias("user_count")
     )
-    users = of_trials.groupBy("activity").agg(F.count_distinct("user_id").alias("user_count"))
-    # one row per activity on both sides; an unknown activity is one of them
-    same = F.col("e.activity").eqNullSafe(F.col("u.activity"))
-    out = events.alias("e").join(users.alias("u"), same).select("e.activity", "activity_count", "user_count")
     return out.orderBy(F.col("activity_count").desc_nulls_first(), F.col("activity").asc_nulls_last())
 
 
@@ -228,19 +249,16 @@ def trial_product_mix(
     """R16. Histogram of product combinations (``BCS+VR``) used by trial
     organisations, listed products only; organisations with none are left
     out. Most common first."""
-    listed = list(products.products)
-    rows = _trial_activity(
-        d, start, end, excluded_activities,
-        [product_of("activity").alias("product")], [F.count(F.lit(1)).alias("n")], internal,
-    ).filter(F.col("product").isin(listed))
-    trial_orgs = _trial_orgs(d, trial).select("organization_id")
-    org_products = rows.select("organization_id", "product").distinct().join(
-        trial_orgs, "organization_id", "left_semi"
-    )
-    # at most len(listed) products per organisation: a bounded set
-    mixes = org_products.groupBy("organization_id").agg(
-        F.array_join(F.array_sort(F.collect_set("product")), "+").alias("product_mix")
-    )
+    listed = sorted(set(products.products))
+    product = product_of("activity")
+    used = F.lit(0).cast("bigint")
+    for k, name in enumerate(listed):
+        used = F.when(product == name, F.lit(1 << k).cast("bigint")).otherwise(used)
+    rows = _trial_activity(d, start, end, excluded_activities, [], [F.bit_or(used).alias("used")], internal, trial)
+    # a set of listed products is one number, so both levels are plain hash aggregates
+    per_org = rows.groupBy("organization_id").agg(F.bit_or("used").alias("used")).filter(F.col("used") != 0)
+    held = [F.when(F.col("used").bitwiseAND(F.lit(1 << k)) != 0, F.lit(name)) for k, name in enumerate(listed)]
+    mixes = per_org.select(F.concat_ws("+", *held).alias("product_mix")) if listed else per_org.select(F.lit("").alias("product_mix"))
     out = mixes.filter(F.col("product_mix") != "").groupBy("product_mix").agg(
         F.count(F.lit(1)).alias("org_count")
     )

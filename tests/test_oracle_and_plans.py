@@ -9,6 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from duck_oracle import reports, single_ops
 from pulseboard.plans.catalog import REPORTS
 from pulseboard.plans.single_ops import SINGLE_OPS
+from pulseboard.plans.stored import STORED_RUNS
 from tests.conftest import SF001, SF01
 from tests.oracle_check import compare, duck_connect
 
@@ -22,9 +23,9 @@ def con001():
 
 
 def test_every_query_has_an_oracle():
-    missing = sorted(set(QUERIES) - set(ORACLE))
+    missing = sorted({*QUERIES, *STORED_RUNS} - set(ORACLE))
     assert missing == []
-    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
+    assert {*QUERIES, *STORED_RUNS} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
 def test_building_a_report_starts_no_job(spark):
@@ -62,9 +63,9 @@ def test_rows_that_only_null_rules_give(spark):
     assert detail.filter("user_id IS NULL AND activity <> ''").count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted({**QUERIES, **STORED_RUNS}))
 def test_matches_duckdb_sf0001(spark, con001, name):
-    r = compare(spark, con001, name, QUERIES[name], ORACLE[name], SF001)
+    r = compare(spark, con001, name, {**QUERIES, **STORED_RUNS}[name], ORACLE[name], SF001)
     assert r["cols_match"], (r["spark_cols"], r["duck_cols"])
     assert r["rows"][0] == r["rows"][1]
     assert r["hash"][0] == r["hash"][1]
@@ -149,26 +150,96 @@ def _plan_nodes(plan):
         yield from _plan_nodes(plan.children().apply(i))
 
 
+def _final(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+
+
+def _join_rows(df) -> list[int]:
+    metrics = [n.metrics().get("numOutputRows") for n in _plan_nodes(_final(df)) if "Join" in n.nodeName()]
+    return [m.get().value() for m in metrics if m.isDefined()]
+
+
 def test_trial_join_does_not_fan_out(spark):
     """R14 joins rolled-up activity with one multiplicity row per trial
     organisation: no join emits more rows than the largest table read (the
     naive fan-out join emits ~1.2M rows from 10k events at sf0.01)."""
-    df = _q(spark, "trial_activity_by_product")
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan()
-    final = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
-    outputs = []
-    for node in _plan_nodes(final):
-        if "Join" in node.nodeName():
-            metric = node.metrics().get("numOutputRows")
-            if metric.isDefined():
-                outputs.append(metric.get().value())
+    outputs = _join_rows(_q(spark, "trial_activity_by_product"))
     largest_input = max(
         spark.read.parquet(f"{SF01}/{t}.parquet").count() for t in ("events", "orders", "customer")
     )
     assert outputs and max(outputs) <= largest_input, outputs
 
 
+@pytest.mark.parametrize("name", ["trial_product_by_day", "trial_activity_by_day"])
+def test_trial_days_meet_the_licences_of_their_band_only(spark, dom, name):
+    """A user with a trial licence on each of 400 days and an event a day: the
+    join gives 14 licences a day and not all those of the user."""
+    from datetime import datetime, timedelta
+
+    from pulseboard.plans import trials
+    from tests.conftest import rows
+
+    day0, n = datetime(2024, 1, 1), 400
+    later = day0 + timedelta(days=10 * n)
+    d = dom.make(
+        user_activity=[(k, 1, 2, "BCS_X", day0 + timedelta(days=k, hours=1), None) for k in range(n)],
+        user=[(1, "a@x", 2, False)],
+        org_subscription=[(k, 2, 16, 1, day0 + timedelta(days=k), later) for k in range(n)],
+        user_license=[(1, k, day0, None) for k in range(n)],
+    )
+    df = getattr(trials, name)(d, day0 - timedelta(days=1), day0 + timedelta(days=n), ["BCS_X"], internal=None)
+    assert rows(df)[0][2] == (1 if name == "trial_product_by_day" else n)
+    assert max(_join_rows(df)) <= 15 * n
+
+
+@pytest.mark.parametrize(
+    "name", ["trial_top_activities", "error_daily_vs_previous", "error_daily_vs_previous_every_day", "trial_product_mix", "daily_active_orgs"]
+)
+def test_one_scan_of_the_fact(spark, name):
+    """The report's plan, without stage reuse, reads the events once."""
+    plan = _q(spark, name)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("event_type#") and plan.count("Relation [event_id") == 1, plan
+
+
+def test_new_trials_scan_subscriptions_once(spark):
+    plan = _q(spark, "new_trials_vs_previous")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_orderkey") == 1, plan
+
+
+def test_product_mix_is_a_plain_hash_aggregate(spark):
+    plan = _plan(_q(spark, "trial_product_mix"))
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "collect_set" not in plan
+
+
+@pytest.mark.parametrize("name", ["trial_activity_by_product", "trial_top_activities", "trial_product_mix"])
+def test_trial_organisations_restrict_a_stored_fact_at_the_scan(spark, name):
+    """On a stored fact, events of other organisations are dropped below the roll-up and its exchange."""
+    from pulseboard.plans.catalog import REPORTS_ON_DOMAIN, _domain
+
+    d = _domain(spark, SF01)
+    stored = d.replace(stored_fact=True)
+    build = REPORTS_ON_DOMAIN[name]
+    assert sorted(map(tuple, build(stored).collect()), key=repr) == sorted(map(tuple, build(d).collect()), key=repr)
+    text = build(stored)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    rolled = next(k for k, line in enumerate(text) if "Aggregate [user_id" in line)
+    held = next(k for k, line in enumerate(text) if "scalar-subquery" in line and "getbit" in line.lower())
+    scan = next(k for k, line in enumerate(text) if "Relation [event_id" in line)
+    assert rolled < held < scan, "\n".join(text)
+
+
+def test_membership_filter_keeps_members_and_few_others(spark):
+    from pulseboard.operators.membership import may_be_in
+
+    keys = spark.range(0, 1000, 7).withColumnRenamed("id", "k").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    rows = spark.range(1000).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    kept = {r.id for r in rows.filter(may_be_in("id", keys, "k", bits=1 << 14)).collect()}
+    assert set(range(0, 1000, 7)) <= kept and len(kept) < 200 and None not in kept
+    assert rows.filter(may_be_in("id", keys, "k", bits=64)).count() >= 143  # far too few bits: nothing is lost
+    assert rows.filter(may_be_in("id", keys.limit(0), "k")).count() == 0
+
+
 @pytest.mark.parametrize(
     "name, broadcasts",
     [("error_detail", 1), ("error_counts", 0), ("trial_activity_by_product", 0), ("daily_active_orgs", 1)],
