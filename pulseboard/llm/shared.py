@@ -7,6 +7,8 @@ never of per-character Python.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -85,6 +87,16 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
 
 
+def hand_back() -> None:
+    """Free what a reused Python worker still holds for operators that ran in it before."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU systems only
+    if trim is not None:
+        trim(0)
+
+
 # --- byte arrays of a string column -------------------------------------------------
 
 
