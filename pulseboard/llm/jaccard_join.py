@@ -1,24 +1,29 @@
-"""Operator 3: exact n-gram Jaccard join, with pivots, Voronoi regions and triangle windows.
+"""Operator 3: exact n-gram Jaccard join in regions of shingle and document pivots.
 
 Documents are sets of 64-bit hashes of five-word shingles; copies of one set are
 one *class* from the first task on. Two classes link at Jaccard similarity
 ``percent`` / 100 or more, that is at distance r = 1 - percent / 100 or less.
 
-*Regions.* Every shingle is a pivot (the set of that one shingle). A class is
-closest to the pivots it contains, all tied; one order of all shingles (rarest
-first by a sketch of document counts, then by hash) breaks the tie, and the
-first is the class's home region. A class within r of another one shares a
-pivot among its first ``n - ceil((1 - r) n) + 1``: that is the window within
-which it is replicated to the regions of further pivots. Regions with one
-member end there; members of very frequent pivots are dealt over sub-regions.
-
-*Recursion.* Inside a region the smallest member is the next pivot: members
-link to it when near. Whoever is then in one component needs no further test.
-What remains are pairs of a region in different components; windows of the
-triangle inequality (sizes, positions, and the distance of parity sketches,
-which never exceeds the distance of the sets) leave few, and each of those is
-verified on the whole sets. So no link between components is lost, and the
-links of a large group of copies are never listed pair by pair.
+*Regions.* Most distances are 1, so document pivots cannot divide all classes:
+the first pivots are the shingles themselves. A class belongs to the regions of
+its first ``n - ceil((1 - r) n) + 1`` shingles in one order of all of them
+(rarest first by a sketch of document counts, then by hash); a class within r
+of it shares one. Regions with one member end there; members of very frequent
+shingles are dealt over sub-regions.
+
+*Document pivots.* In every region one member is the pivot, and the distance of
+each member to it is kept: exactly where the parity sketches (their distance
+never exceeds that of the sets) allow a link, else as a lower bound. Members
+link to a near pivot. Regions with one pivot form one Voronoi *cell* of that
+document, so a class that meets another in many regions meets it in few cells.
+Cells whose members are in one component by then are settled. The others are
+entered again with another member as pivot while their pairs are many.
+
+*Windows.* What remains are pairs of a cell in different components. The triangle
+inequality on the kept distances to the pivot (|d(x, p) - d(y, p)| <= r), sizes
+and short parity sketches leave few, each pair is taken once, and the rest is
+verified on the whole sets. No link between components is lost, and the links of
+a large group of copies are never listed pair by pair.
 
 Words are runs of bytes other than white space, A-Z lower-cased. A text of one
 to four words has one shingle, the whole sequence. Null, empty and wordless
@@ -51,6 +56,8 @@ SUB_REGION = 1024
 TURNS = 3
 #: Pairs left for each member beyond which they are many.
 MANY = 64
+#: Distances to pivots are kept in these parts of 1.
+SCALE = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -174,24 +181,21 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pivot", "part", "class", "n", "at"])
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and parity sketches leave, with their sizes."""
+def _sketch_bounds(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, na, nb, apart) of the pairs (a, b): ``apart`` is at most the size of the symmetric difference."""
     with_a = pairs.join(sketches.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     with_b = with_a.join(sketches.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            na, nb = t.column(2).to_numpy(), t.column(3).to_numpy()
-            apart = np.array([parity_distance(x, y) for x, y in zip(t.column(4).to_pylist(), t.column(5).to_pylist())], np.int64)
-            # At similarity s the symmetric difference is at most (1 - s) / (1 + s) of both sizes.
-            keep = apart * (100 + percent) <= (na + nb) * (100 - percent)
-            yield t.select([0, 1, 2, 3]).filter(pa.array(keep))
+            apart = [parity_distance(x.as_py(), y.as_py()) for x, y in zip(t.column(4), t.column(5))]
+            yield pa.RecordBatch.from_arrays([*t.columns[:4], pa.array(apart, pa.int64())], names=["a", "b", "na", "nb", "apart"])
 
-    return with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long")
+    return with_b.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, apart long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, text: str, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets.
+def _shared(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
+    """(a, b, shared) of the pairs (a, b): shingles in both whole sets.
 
     Sets come from another pass over the texts; a bitmap of fixed size keeps
     the classes that no pair needs out of the shuffle (false hits only add rows).
@@ -200,15 +204,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, percent: int) -> Dat
         for column in batch.columns:
             total[column.to_numpy() & (BITMAP - 1)] = 1
 
-    bits = np.packbits(summed_array(pairs.select("a", "b"), BITMAP, mark) > 0)
+    bits = np.packbits(summed_array(pairs.select("a", "b"), BITMAP, mark) > 0, bitorder="little")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(shared.value)
+        marked = shared.value
         for b in batches:
             names, sets, held = [], [], 0
             for name, own in _distinct_sets(b):
-                if marked[name & (BITMAP - 1)]:
+                cell = name & (BITMAP - 1)
+                if marked[cell >> 3] >> (cell & 7) & 1:
                     names.append(name)
                     sets.append(own.view(np.int64))
                     held += len(own)
@@ -221,10 +226,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, percent: int) -> Dat
     sets = docs.select(text).mapInArrow(run, "class long, members array<long>").dropDuplicates(["class"])
     sets = stored(sets, "sets")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
-    shared_n = F.size(F.array_intersect("ma", "mb"))
-    links = stored(both.where(100 * shared_n >= percent * (F.col("na") + F.col("nb") - shared_n)).select("a", "b"), "links")
+    counted = stored(both.select("a", "b", F.size(F.array_intersect("ma", "mb")).cast("long").alias("shared")), "shared")
     dropped(sets)
-    return links
+    return counted
 
 
 def _set_rows(names: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -250,75 +254,123 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     region = Window.partitionBy("pivot", "part")
     rows = regions(docs, counts, text, percent).withColumn("hub", F.min(_draw(0)).over(region))
     alone = F.min("class").over(region) == F.max("class").over(region)
-    members = stored(rows.withColumn("alone", alone).where("not alone or part >= 0").drop("alone").distinct(), "regions")
+    # Only sub-regions need their shingle from here on: other regions with one document pivot are one cell.
+    shingle = F.when(F.col("part") >= 0, F.col("pivot")).alias("pivot")
+    members = rows.withColumn("alone", alone).where("not alone or part >= 0").select(shingle, "class", "n", "hub")
+    members = stored(members.distinct(), "members")
 
-    # The pivot of every region, and those of sub-regions against one of the whole region.
-    hubs = members.where("part >= 0").select("pivot", "hub").distinct()
+    # The pivots of sub-regions meet one of the whole region, whose cell it becomes.
+    hubs = members.where("pivot is not null").select("pivot", "hub").distinct()
     tops = hubs.groupBy("pivot").agg(F.min("hub").alias("top"))
     above = hubs.join(tops, "pivot").select(F.col("hub.class").alias("a"), F.col("hub.n").alias("an"), F.col("top.class").alias("b"), F.col("top.n").alias("bn"))
     to_hub = members.select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("hub.class").alias("b"), F.col("hub.n").alias("bn"))
-    parts = _joined(None, _linked(docs, to_hub.unionByName(above), sketches, text, percent))
-
-    # Regions that still hold several components; entered again with other pivots while their pairs are many.
-    members, old = _unsettled(members, parts, sketches), members
-    dropped(old)
+    known = _distances(docs, to_hub.unionByName(above), sketches, text, percent)
+    parts = components(known.where("linked"), "a", "b")
+
+    plain = members.where("pivot is null").select(F.col("hub.class").alias("cell"), "class", "n")
+    dealt = members.join(tops, "pivot").select(F.col("top.class").alias("cell"), "class", "n")
+    cells = _unsettled(plain.unionByName(dealt).distinct(), parts, sketches)
+    dropped(members)
+    cells, old = _measured(cells, known), cells
+    dropped(old, known)
     for turn in range(1, TURNS):
-        rest = members.groupBy("pivot", "root").agg(F.count("*").alias("k")).groupBy("pivot").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice"), F.sum("k").alias("k"))
+        rest = cells.groupBy("cell", "root").agg(F.count("*").alias("k")).groupBy("cell").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice"), F.sum("k").alias("k"))
         left = rest.agg(F.coalesce(F.sum(F.col("twice").cast("double")) / 2, F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
         if left.pairs <= MANY * left.k:
             break
-        hubs = members.groupBy("pivot").agg(F.min(_draw(turn)).alias("hub"))
-        to_hub = members.join(hubs, "pivot").where("root <> hub.root").select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("hub.class").alias("b"), F.col("hub.n").alias("bn"))
-        parts = _joined(parts, _linked(docs, to_hub, sketches, text, percent))
-        members, old = _unsettled(members, parts, sketches), members
+        hubs = cells.groupBy("cell").agg(F.min(_draw(turn)).alias("hub"))
+        cells, old = stored(cells.join(hubs, "cell"), "entered"), cells
+        dropped(old)
+        to_hub = cells.where("root <> hub.root").select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("hub.class").alias("b"), F.col("hub.n").alias("bn"))
+        known = _distances(docs, to_hub, sketches, text, percent)
+        parts = _joined(parts, known.where("linked"))
+        # The old pivot's cell keeps its members; their distances are to the new one now.
+        same = cells.select("cell", F.col("hub.class").alias("pivot"), "class", "n")
+        entered, old = _unsettled(same, parts, sketches, "pivot"), cells
         dropped(old)
+        cells = _measured(entered, known)
+        dropped(entered, known)
 
-    x, y = members.alias("x"), members.alias("y")
-    # What two classes share: before the pivot no more than the earlier place, from it on no more than what is left.
-    reach = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    x, y = cells.alias("x"), cells.alias("y")
+    r = SCALE * (100 - percent) // 100
     # The short sketches bound the symmetric difference from below, as the long ones do.
     apart = functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(SHORT)])
     near = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    window = (F.col("x.low") - F.col("y.high") <= r) & (F.col("y.low") - F.col("x.high") <= r)
     cross = x.join(
         y,
-        (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _sizes_allow("x.n", "y.n", percent) & ((100 + percent) * reach >= percent * (F.col("x.n") + F.col("y.n"))) & near,
+        (F.col("x.cell") == F.col("y.cell")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _sizes_allow("x.n", "y.n", percent) & window & near,
     ).select(F.col("x.class").alias("a"), F.col("x.n").alias("an"), F.col("y.class").alias("b"), F.col("y.n").alias("bn"))
-    parts = _joined(parts, _linked(docs, cross, sketches, text, percent))
-    dropped(members, sketches)
+    known = _distances(docs, cross, sketches, text, percent)
+    parts = _joined(parts, known.where("linked"))
+    dropped(cells, sketches)
     return documents, parts
 
 
-def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components (id, root) of the links together with those found before, which are stars."""
-    if parts is not None:
-        if links.isEmpty():
-            return parts
-        links = links.unionByName(parts.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    return components(links, "a", "b")
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, root) of the links together with those found before.
+
+    The links are between components, few of them: only their roots are searched.
+    """
+    if links.isEmpty():
+        return parts
+    rooted = links.select("a", "b")
+    for end in ("a", "b"):
+        root = parts.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+        rooted = rooted.join(root, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    merged = components(rooted, "a_root", "b_root").withColumnsRenamed({"id": "root", "root": "merged"})
+    moved = parts.join(merged, "root", "left").select("id", F.coalesce("merged", "root").alias("root"))
+    # Classes without a link before are roots of their own.
+    alone = merged.join(parts.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("merged").alias("root"))
+    return stored(moved.unionByName(alone), "parts")
 
 
 def _draw(turn: int) -> F.Column:
-    """A region's next pivot is its least member by this; near regions draw from four orders only."""
+    """A region's next pivot is its least member by this, so near regions often draw the same document."""
     fields = ["class", "n"] + (["root"] if turn else [])
-    return F.struct(F.xxhash64("class", F.lit(turn), F.col("pivot").bitwiseAND(F.lit(3))).alias("draw"), *fields)
+    return F.struct(F.xxhash64("class", F.lit(turn)).alias("draw"), *fields)
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, text: str, percent: int) -> DataFrame:
-    """The pairs (a, an, b, bn) of classes and sizes that link, as (a, b), stored."""
+def _distances(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, text: str, percent: int) -> DataFrame:
+    """(a, b, linked, low, high) of the pairs (a, an, b, bn) of classes and sizes: bounds of the distance in
+    parts of ``SCALE``, equal up to rounding where the sketches allow a link."""
     pairs = pairs.where((F.col("a") != F.col("b")) & _sizes_allow("an", "bn", percent))
-    near = stored(_near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sketches, percent), "near")
-    links = _verified(docs, near, text, percent)
-    dropped(near)
-    return links
-
-
-def _unsettled(members: DataFrame, parts: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Members, with their components and short sketches, of the regions that hold several components."""
+    bounds = stored(_sketch_bounds(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sketches), "bounds")
+    # At similarity s the symmetric difference is at most (1 - s) / (1 + s) of both sizes.
+    near = F.col("apart") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    counted = _shared(docs, bounds.where(near).select("a", "b"), text)
+    both = bounds.join(counted, ["a", "b"], "left")
+    sizes = F.col("na") + F.col("nb")
+    most = F.coalesce("shared", F.least("na", "nb", F.call_function("div", sizes - F.col("apart"), F.lit(2))))
+    # The distance is (sizes - 2 most) / (sizes - most), rounded down and up in whole numbers.
+    part, whole = SCALE * (sizes - 2 * most), sizes - most
+    low = F.call_function("div", part, whole)
+    high = F.when(F.col("shared").isNotNull(), F.call_function("div", part + whole - 1, whole)).otherwise(F.lit(SCALE))
+    linked = F.coalesce(100 * F.col("shared") >= percent * (sizes - F.col("shared")), F.lit(False))
+    out = stored(both.select("a", "b", linked.alias("linked"), low.alias("low"), high.alias("high")), "distances")
+    dropped(bounds, counted)
+    return out
+
+
+def _unsettled(cells: DataFrame, parts: DataFrame, sketches: DataFrame, *pivot: str) -> DataFrame:
+    """Members, with their components and short sketches, of the cells that hold several components."""
     short = [f"p{k}" for k in range(SHORT)]
-    known = sketches.select("class", *short).join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = members.select("pivot", "class", "n", "at").join(known, "class")
-    several = rooted.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot")
-    return stored(rooted.join(several, "pivot", "left_semi"), "members")
+    roots = parts.withColumnRenamed("id", "class")
+    rooted = cells.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    several = rooted.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
+    kept = rooted.join(several, "cell", "left_semi").select("cell", *pivot, "class", "n", "root")
+    return stored(kept.join(sketches.select("class", *short), "class"), "cells")
+
+
+def _measured(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """The cells with the bounds of each member's distance to the pivot; 0 and 1 where it was not compared."""
+    pivot = "pivot" if "pivot" in cells.columns else "cell"
+    ends = [F.least("class", pivot).alias("a"), F.greatest("class", pivot).alias("b")]
+    at_pivot = F.col("class") == F.col(pivot)
+    low = F.when(at_pivot, 0).otherwise(F.coalesce("low", F.lit(0)))
+    high = F.when(at_pivot, 0).otherwise(F.coalesce("high", F.lit(SCALE)))
+    bounded = cells.select("*", *ends).join(known.select("a", "b", "low", "high"), ["a", "b"], "left")
+    return stored(bounded.withColumn("low", low.cast("long")).withColumn("high", high.cast("long")).drop("a", "b", "pivot"), "measured")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

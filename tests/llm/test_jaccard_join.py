@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulseboard.llm import jaccard_join
 from tests.llm import cases
@@ -65,3 +66,32 @@ def test_parity_never_exceeds_the_symmetric_difference():
         assert jaccard_join.parity_distance(jaccard_join.parity(a), jaccard_join.parity(b)) <= apart
         assert np.bitwise_count((jaccard_join.short_parity(a) ^ jaccard_join.short_parity(b)).view(np.uint64)).sum() <= apart
         assert jaccard_join.parity_distance(jaccard_join.parity(a), jaccard_join.parity(a)) == 0
+
+
+def test_kept_distances_bound_the_true_ones(spark):
+    rng = random.Random(3)
+    base = cases.prose(95, 80).split()
+    texts = [" ".join(w if rng.random() > k / 200 else f"x{k}" for w in base) for k in range(30)] + [cases.prose(96 + k, 60) for k in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = jaccard_join.classes(docs).where("n > 0").dropDuplicates(["class"])
+    own = {r["class"]: cases.shingles(texts[r.doc_id]) for r in rows.collect()}
+    sketches = rows.select("class", "n", "sketch")
+    x, y = sketches.alias("x"), sketches.alias("y")
+    pairs = x.join(y, F.col("x.class") < F.col("y.class")).select(F.col("x.class").alias("a"), F.col("x.n").alias("an"), F.col("y.class").alias("b"), F.col("y.n").alias("bn"))
+    got = jaccard_join._distances(docs, pairs, sketches, "text", 75).collect()
+    exact = 0
+    for r in got:
+        a, b = own[r.a], own[r.b]
+        true = 1 - len(a & b) / len(a | b)
+        assert r.low <= true * jaccard_join.SCALE + 1e-6 and r.high >= true * jaccard_join.SCALE - 1e-6
+        assert r.linked == (100 * len(a & b) >= 75 * len(a | b))
+        exact += r.high - r.low <= 1
+    assert len(got) > 300 and exact > 30
+
+
+def test_later_links_join_components(spark):
+    parts = spark.createDataFrame([(2, 2), (5, 2), (7, 7), (9, 7)], "id long, root long")
+    links = spark.createDataFrame([(9, 5), (11, 20), (20, 30)], "a long, b long")
+    got = {r.id: r.root for r in jaccard_join._joined(parts, links).collect()}
+    assert got == {2: 2, 5: 2, 7: 2, 9: 2, 11: 11, 20: 11, 30: 11}
+    assert jaccard_join._joined(parts, links.limit(0)) is parts
