@@ -71,7 +71,7 @@ def test_parity_never_exceeds_the_symmetric_difference():
 def test_kept_distances_bound_the_true_ones(spark):
     rng = random.Random(3)
     base = cases.prose(95, 80).split()
-    texts = [" ".join(w if rng.random() > k / 200 else f"x{k}" for w in base) for k in range(30)] + [cases.prose(96 + k, 60) for k in range(5)]
+    texts = [" ".join(w if rng.random() > k / 1000 else f"x{k}" for w in base) for k in range(30)] + [cases.prose(96 + k, 60) for k in range(5)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = jaccard_join.classes(docs).where("n > 0").dropDuplicates(["class"])
     own = {r["class"]: cases.shingles(texts[r.doc_id]) for r in rows.collect()}
