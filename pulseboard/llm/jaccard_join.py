@@ -318,7 +318,7 @@ def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         root = parts.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
         rooted = rooted.join(root, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-    merged = components(rooted, "a_root", "b_root").withColumnsRenamed({"id": "root", "root": "merged"})
+    merged = components(rooted, "a_root", "b_root").select(F.col("id").alias("root"), F.col("root").alias("merged"))
     moved = parts.join(merged, "root", "left").select("id", F.coalesce("merged", "root").alias("root"))
     # Classes without a link before are roots of their own.
     alone = merged.join(parts.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("merged").alias("root"))

@@ -70,3 +70,18 @@ def test_documents_stay_when_none_has_a_language(spark, tmp_path):
     rows = [(k, t, None, "s", 1) for k, t in enumerate([cases.prose(720, 20), "One two", "123 !", "", None])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(map(tuple, corpus_pipeline.identify_language(spark, df, str(tmp_path)).collect())) == rows[:2]
+
+
+def test_columns_of_any_name_and_type_are_handed_through(spark, tmp_path, bench):
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    a = cases.prose(730, 60)
+    rows = [(1, a, "en", "s", 1, "x", "dot", {"k": 1}, 5, "row", b"z"), (1, a, "en", "s", 1, "y", "dot", {"k": 2}, 5, "row", b"z"), (2, a + " more", "en", "s", 1, None, None, None, None, None, None), (3, cases.prose(731, 60), None, "s", 1, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, `a.b` string, m map<string,int>, key long, `row` string, spans binary"
+    df = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        got = sorted(out.select("doc_id", "lang_pred", "`a.b`", "m", "key", "`row`", "spans").collect(), key=str)
+        assert len(got) == (2 if "Jaccard" in name else 4), name
+        assert got[0]["a.b"] == "dot" and got[0].m in ({"k": 1}, {"k": 2}) and got[0].lang_pred in ("x", "y")
+    assert corpus_pipeline.encode_tokens(spark, df, str(tmp_path)).count() == 4
