@@ -16,50 +16,53 @@ and repeated rows as the operators say; extra columns are handed through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, pii
 from pulseboard.llm.queries import vocabulary
-from pulseboard.llm.shared import read, stored, whole_rows
+from pulseboard.llm.shared import dropped, read, stored, whole_rows
+
+
+def _columns(docs: DataFrame, row: str, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of a struct of the whole row, some of them changed; by field, as names may hold dots."""
+    return [changed.get(c, F.col(row)[c]).alias(c) for c in docs.columns]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_id.fit(docs.where(~lang_id.held_out()))
     said = lang_id.identify(whole_rows(docs), model, lettered=True).where("lettered")
-    known = F.coalesce(F.col("lang"), F.nullif(F.col("lang_pred"), F.lit(lang_id.UND)))
-    return said.select("doc_id.*", "lang_pred").withColumn("lang", known).select(*docs.columns)
+    known = F.coalesce(F.col("doc_id")["lang"], F.nullif(F.col("lang_pred"), F.lit(lang_id.UND)))
+    return said.select(*_columns(docs, "doc_id", lang=known))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A row goes by its id and its text, as ids may repeat; one without an id by its text alone, behind all ids.
-    hashed = F.xxhash64("text")
-    first = F.coalesce(F.col("doc_id").cast("long"), hashed.bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
-    key = ["key of row", "hash of text"]
-    keyed = docs.withColumn(key[0], first).withColumn(key[1], hashed)
-    rows = keyed.select(F.struct(*key).alias("doc_id"), "text")
-    found = stored(jaccard_join.near_duplicates(rows), "groups")
+    key = ["key", "hashed"]
+    hashed = F.xxhash64(F.col("row")["text"])
+    first = F.coalesce(F.col("row")["doc_id"].cast("long"), hashed.bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
+    keyed = whole_rows(docs).select(F.col("doc_id").alias("row"), "text").select("row", "text", first.alias("key"), hashed.alias("hashed"))
+    found = stored(jaccard_join.near_duplicates(keyed.select(F.struct(*key).alias("doc_id"), "text")), "groups")
     # Few documents go and fewer repeat, so these lists are what joins the texts.
     gone = stored(found.where("doc_id <> component_id").select("doc_id.*").distinct(), "gone")
     # Wordless texts are in no group, so none of them goes.
     kept = found.where("doc_id = component_id and n_shingles > 0").select("doc_id.*").groupBy(*key).count()
     twice = stored(kept.where("count > 1").select(*key), "twice")
-    rest = keyed.join(gone, key, "left_anti")
-    one = Window.partitionBy(*key).orderBy(*[F.xxhash64(c) if c == "text" else c for c in docs.columns])
-    repeated = rest.join(twice, key, "left_semi").withColumn("nth row", F.row_number().over(one)).where("`nth row` = 1")
-    return rest.join(twice, key, "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    rest = keyed.drop("text").join(gone, key, "left_anti")
+    one = Window.partitionBy(*key).orderBy(F.to_json("row"))  # any column, also one without an order
+    repeated = rest.join(twice, key, "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    return rest.join(twice, key, "left_anti").unionByName(repeated.drop("nth")).select(*_columns(docs, "row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark(whole_rows(docs), read(spark, sf_dir, "benchmark"))
-    return decontaminate.judged(found).where("not contaminated").select("doc_id.*").select(*docs.columns)
+    return decontaminate.judged(found).where("not contaminated").select(*_columns(docs, "doc_id"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = pii.find_personal(whole_rows(docs), pii.fit(docs))
-    changed = F.size("spans") > 0
-    values = {"text": F.col("redacted"), "n_chars": F.when(changed, F.char_length("redacted")).otherwise(F.col("doc_id.n_chars"))}
-    return found.select(*[values.get(c, F.col("doc_id")[c]).alias(c) for c in docs.columns])
+    n_chars = F.when(F.size("spans") > 0, F.char_length("redacted")).otherwise(F.col("doc_id.n_chars"))
+    return found.select(*_columns(docs, "doc_id", text=F.col("redacted"), n_chars=n_chars))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,5 +84,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            dropped(before)  # each stage's table goes when the next one is written
     return docs
