@@ -4,7 +4,9 @@ Texts become token ids, cut into sequences of at most ``length``. Sequence k of
 the document with id d has the grid number ((d - least id) * spread + h) * most
 + k, where ``most`` bounds the sequences of a document (a token has a byte at
 least), ``spread`` is the rows of the id that most rows have (1 if ids are
-unique; less where the grid would pass 63 bits) and h < ``spread`` a hash of the text. A
+unique; less where the grid would pass 63 bits) and h < ``spread`` a hash of the text.
+Ids that are no integers, or so wide apart that the grid would pass 63 bits (as
+64-bit hashes are), are replaced by a hash of id and text on a grid of 2^62 numbers. A
 keyed Feistel network permutes the grid; cycle-walking (applying it again while
 the result lies outside) keeps it on the grid. Ranges of the permuted numbers
 are the shards: one task sorts one shard and writes its sequences as records of
@@ -14,7 +16,7 @@ lies at a known byte of a known file, and a reader can start anywhere.
 
 A number depends on the key and the row alone, never on partitions, so a task
 that runs again writes the same file. A null or empty text has no sequence. Null
-ids count as the id past the largest; equal numbers (copies of a row, rare
+integer ids count as the id past the largest; equal numbers (copies of a row, rare
 others) are ordered by their ids' bytes, each keeping a slot of its own, and
 stay side by side in one shard. Texts are
 encoded whole; memory follows the longest one and one shard. An empty table
@@ -33,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseboard.llm.shared import keyed_schema, mixed, stored, write_bytes
 
@@ -109,8 +112,9 @@ def _vocabulary_size(ranks: str) -> int:
         return 1 + max(int(line.split()[1]) for line in f)
 
 
-def sequences(docs: DataFrame, layout: Layout, low: int, high: int, most: int, spread: int, ranks: str, pattern: str, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, seq_no, n_tokens, shard, number, ids): unpadded records with their permuted numbers."""
+def sequences(docs: DataFrame, layout: Layout, base: Column, most: int, ranks: str, pattern: str, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, seq_no, n_tokens, shard, number, ids): unpadded records with their permuted numbers; ``base``
+    numbers the documents."""
     permute = Feistel(layout.grid, layout.key)
     kind = np.uint16 if layout.width == 2 else np.uint32
 
@@ -119,7 +123,7 @@ def sequences(docs: DataFrame, layout: Layout, low: int, high: int, most: int, s
         for b in batches:
             for i in range(0, b.num_rows, 128):
                 part = b.slice(i, 128)
-                keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                texts = part.column(1).to_pylist()
                 row, seq, parts = [], [], []
                 for r, t in enumerate(texts):
                     ids = np.array(encode(t), kind) if t else ()
@@ -129,14 +133,12 @@ def sequences(docs: DataFrame, layout: Layout, low: int, high: int, most: int, s
                         parts.append(ids[at : at + layout.length].tobytes())
                 if not row:
                     continue
-                base = np.array([(high + 1 if k is None else k) - low for k in keys], np.uint64)
-                base = base * np.uint64(spread) + part.column(2).to_numpy().astype(np.uint64)
-                number = permute(base[row] * np.uint64(most) + np.array(seq, np.uint64))
+                first = part.column(2).to_numpy().astype(np.uint64) * np.uint64(most)
+                number = permute(first[row] + np.array(seq, np.uint64))
                 columns = [part.column(0).take(pa.array(row)), pa.array(seq, pa.int64()), pa.array([len(p) // layout.width for p in parts], pa.int32()), pa.array(layout.shard(number)), pa.array(number.astype(np.int64)), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "seq_no", "n_tokens", "shard", "number", "ids"])
 
-    place = F.pmod(F.xxhash64(text), F.lit(spread).cast("long"))
-    return docs.select(doc_id, text, place).mapInArrow(run, keyed_schema(docs, doc_id, "seq_no long, n_tokens int, shard int, number long, ids binary"))
+    return docs.select(doc_id, text, base).mapInArrow(run, keyed_schema(docs, doc_id, "seq_no long, n_tokens int, shard int, number long, ids binary"))
 
 
 def _writer(layout: Layout, folder: str):
@@ -151,7 +153,10 @@ def _writer(layout: Layout, folder: str):
         with files.open_output_stream(made) as out:
             for k in order:
                 out.write(ids[k] + end * ((layout.stride - len(ids[k])) // layout.width))
-        files.move(made, f"{path}/{layout.file(shard)}")
+        place = f"{path}/{layout.file(shard)}"
+        if files.get_file_info(place).type != pafs.FileType.NotFound:
+            files.delete_file(place)  # the same bytes, by a task that ran before: not every store moves onto a file
+        files.move(made, place)
         t = table.select(["doc_id", "seq_no", "n_tokens", "shard"]).take(pa.array(order))
         return t.append_column("row", pa.array(range(len(order)), pa.int32()))
 
@@ -162,24 +167,33 @@ def materialise(docs: DataFrame, folder: str, ranks: str, pattern: str, key: int
     """Writes the shards and ``layout.json`` to the URI ``folder``; returns a row per sequence.
 
     (doc_id, seq_no, n_tokens, slot, shard, position): the record of ``slot``
-    begins at byte ``position`` of its shard's file. ``doc_id`` is an integer.
+    begins at byte ``position`` of its shard's file. ``doc_id`` has any type that Spark hashes.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen = own.agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("low"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("high"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(F.octet_length("text") > 0).alias("texts")).first()
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    size = F.octet_length("text")
+    seen = own.agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in (("longest", F.max(size)), ("bytes", F.sum(size)), ("texts", F.count_if(size > 0)))]).first()
     most = max(1, -(-seen.longest // length))
-    grid = (seen.high - seen.low + 2) * most
-    if grid >= 1 << 63:
-        raise ValueError("ids and lengths span more than 63 bits")
-    repeats = own.groupBy("doc_id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
-    spread = min(repeats, ((1 << 63) - 1) // grid)
-    grid *= spread
+    grid = 1 << 63
+    if isinstance(own.schema["doc_id"].dataType, T.IntegralType):
+        ends = own.agg(F.coalesce(F.min("doc_id"), F.lit(0)).cast("long").alias("low"), F.coalesce(F.max("doc_id"), F.lit(0)).cast("long").alias("high")).first()
+        grid = (ends.high - ends.low + 2) * most
+    if grid < 1 << 62 and ends.high + 1 < 1 << 63:
+        repeats = own.groupBy("doc_id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+        spread = min(repeats, ((1 << 63) - 1) // grid)
+        grid *= spread
+        number = F.coalesce(F.col("doc_id").cast("long"), F.lit(ends.high + 1).cast("long")) - F.lit(ends.low).cast("long")
+        base = number * F.lit(spread).cast("long") + F.pmod(F.xxhash64("text"), F.lit(spread).cast("long"))
+    else:
+        places = (1 << 62) // most
+        grid = places * most
+        base = F.pmod(F.xxhash64("doc_id", "text"), F.lit(places).cast("long"))
     vocabulary = _vocabulary_size(ranks)
     # About three bytes a token, and a last record half empty, give the number of shards; any number is right.
     expected = seen.bytes / (3 * length) + seen.texts / 2 + 1
     layout = Layout(grid, int(min(grid, max(1, -(-expected // shard_records)))), length, 2 if vocabulary < 1 << 16 else 4, vocabulary, key)
-    rows = sequences(own, layout, seen.low, seen.high, most, spread, ranks, pattern, "doc_id", "text")
-    schema = "doc_id long, seq_no long, n_tokens int, shard int, row int"
+    rows = sequences(own, layout, base, most, ranks, pattern, "doc_id", "text")
+    schema = keyed_schema(own, "doc_id", "seq_no long, n_tokens int, shard int, row int")
     index = stored(rows.groupBy("shard").applyInArrow(_writer(layout, folder), schema), "slots")
     sizes = index.groupBy("shard").agg(F.count("*").alias("n"))
     # A row a shard: small enough for one ordered sum.

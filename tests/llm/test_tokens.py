@@ -93,3 +93,28 @@ def test_shards_are_bounded_for_null_and_repeated_ids_and_short_texts(spark):
     assert sorted(r.slot for r in out) == list(range(1000))
     sizes = [sum(r.shard == s for r in out) for s in {r.shard for r in out}]
     assert max(sizes) <= 100
+
+
+@pytest.mark.parametrize(
+    "kind, ids",
+    [
+        ("long", [-(1 << 63), (1 << 63) - 1, 0, None, 5, 5, -77]), ("long", [(1 << 63) - 1, (1 << 63) - 2, None, None, (1 << 63) - 1, (1 << 63) - 3, (1 << 63) - 4]),
+        ("string", ["a", "b", "", None, "a", "é", "zz"]), ("int", [-5, 7, 8, None, 7, 9, 10]),
+    ],
+)
+def test_ids_of_any_width_and_type(spark, kind, ids):
+    texts = [cases.prose(850 + k, 90) for k in range(len(ids))]
+    texts[4] = texts[1]  # with ids that repeat, a copy of a row
+    df = spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string").repartition(3)
+    folder = "file://" + tempfile.mkdtemp(prefix="pulseboard-shards-")
+    out = training_order.materialise(df, folder, RANKS, public_tokenizers.PATTERN, length=64, shard_records=4)
+    assert out.schema["doc_id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+    rows = out.collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and {r.doc_id for r in rows} == set(ids)
+    ranks = training_order._Ids(RANKS, public_tokenizers.PATTERN)
+    expected = sorted(tuple(x[i : i + 64]) for x in map(ranks.encode, texts) for i in range(0, len(x), 64))
+    found = []
+    for s in {r.shard for r in rows}:
+        own = sorted((r for r in rows if r.shard == s), key=lambda r: r.slot)
+        found += [tuple(x[: r.n_tokens].tolist()) for r, x in zip(own, training_order.read_records(folder, s))]
+    assert sorted(found) == expected
