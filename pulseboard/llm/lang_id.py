@@ -7,6 +7,8 @@ elastic-net penalties on a bounded sample of ``per_language`` labelled training
 documents of each language, chosen by a hash of the id at a rate known from the
 language's count; a fifth of the sample is kept back to fit the temperature.
 
+At most ``LANGUAGES`` languages are learned, those of the most documents.
+
 A null text, and a text without a letter, is ``und`` with score 0, as is every
 text when there is no labelled training document. A null language is never
 learned. A null id belongs to the training side. Texts are read whole, a
@@ -31,10 +33,13 @@ FEATURES, PER_LANGUAGE, PIECE = 1 << 15, 600, 1 << 20
 #: Step size, its offset, elastic-net penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 3
 UND = "und"
+#: Languages learned at most: those of the most training documents (ties by name).
+LANGUAGES = 256
 
 
 def _letter_table() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(1 << 16)])
+    """Of every code point, whether it is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 _LETTERS: list[np.ndarray] = []
@@ -49,7 +54,7 @@ def gram_counts(text: str | None, size: int = FEATURES) -> tuple[np.ndarray, np.
     for at in range(0, len(text), PIECE):
         piece = text[max(0, at - 2) : at + PIECE].lower()
         cp = np.frombuffer((" " + piece + " ").encode("utf-32-le", "replace"), np.uint32)
-        letter = table[np.minimum(cp, 0xFFFF)] | ((cp > 0xFFFF) & (cp < 0x1F000)) | (cp >= 0x20000)
+        letter = table[cp]
         if not letter.any():
             continue
         seen = True
@@ -139,7 +144,8 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, features: int = FEATURES) -> Model:
     """Learns from ``train`` only; the sample's sparse vectors are what reaches the driver."""
     train = train.select(F.col(doc_id).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null")
-    sizes = {r.l: r["count"] for r in train.groupBy("l").count().collect()}
+    most_rows = train.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    sizes = {r.l: r["count"] for r in most_rows}
     languages = sorted(sizes)
 
     def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
@@ -155,9 +161,8 @@ def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         return none
 
     grid = 1 << 30
-    wanted: Column = F.lit(0)
-    for name, n in sizes.items():
-        wanted = F.when(F.col("l") == name, F.lit(min(grid, int(grid * per_language / n) + 1))).otherwise(wanted)
+    rates = [(name, min(grid, int(grid * per_language / n) + 1)) for name, n in sizes.items()]
+    wanted = train.sparkSession.createDataFrame(rates, "l string, wanted long")  # at most LANGUAGES rows
     draw = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(grid))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +173,7 @@ def fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                     yield pa.RecordBatch.from_pydict({"draw": b.column(0).slice(i, 1), "l": b.column(1).slice(i, 1), "x": pa.array([where.astype(np.int32).tobytes()], pa.binary()), "c": pa.array([counts.astype(np.int32).tobytes()], pa.binary())})
 
     most = 2 * per_language * len(languages)
-    sample = train.withColumn("draw", draw).where(F.col("draw") < wanted).select("draw", "l", "t").mapInArrow(vectors, "draw long, l string, x binary, c binary")
+    sample = train.join(F.broadcast(wanted), "l").withColumn("draw", draw).where(F.col("draw") < F.col("wanted")).select("draw", "l", "t").mapInArrow(vectors, "draw long, l string, x binary, c binary")
     got = sample.orderBy("draw", "l", F.xxhash64("x", "c")).limit(most).collect()
     rows = [(w := np.frombuffer(r.x, np.int32).astype(np.int64), none.vector(w, np.frombuffer(r.c, np.int32)), languages.index(r.l)) for r in got]
     kept, held = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if i % 5 == 0]

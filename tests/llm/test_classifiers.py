@@ -31,6 +31,22 @@ def test_language_edge_cases(docs, no_docs):
     assert lang_id.identify(no_docs, model).count() == 0
 
 
+def test_letters_of_every_plane():
+    """Only letters make a text more than ``und``; every code point counts as Python says."""
+    table = lang_id._letter_table()
+    assert len(table) == 0x110000 and all(table[c] == chr(c).isalpha() for c in range(0, 0x110000, 7))
+    for text, has in (("𝄞 𝟘𝟙", False), ("\U0010fffd \U000f0000", False), ("𝔄", True), ("\U00020000", True), ("😀 🏳", False), ("12 ½ _", False), ("ª", True)):
+        assert (len(lang_id.gram_counts(text)[0]) > 0) == has
+
+
+def test_only_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "LANGUAGES", 3)
+    rows = [(k, cases.prose(k, 8), f"l{min(k % 40, 4 + k % 2)}") for k in range(400)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["l0", "l4", "l5"]
+    assert len(model.languages) == model.weights.shape[1]
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
