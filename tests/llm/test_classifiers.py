@@ -83,6 +83,17 @@ def test_pieces_of_failed_matches_are_added(spark, no_docs):
     assert pii.fit(no_docs).trees is None and pii.find_personal(no_docs, model).count() == 0
 
 
+def test_phone_pieces_are_proposed_however_far_they_reach():
+    """The pieces of a failed match are its starts of 9 to 15 digits; separators between them do not count."""
+    text = "+1" + "." * 300 + "(499) 555-6503 10.1.2.3"
+    base, others = pii.proposals(text)
+    assert base == [(len(text) - 8, 1, len(text))]
+    end = text.index("6503") + 4
+    assert (0, 3, end) in others and pii.valid(3, text[:end])
+    digits = lambda s: sum(c.isdigit() for c in text[s[0] : s[2]])
+    assert sorted(digits(s) for s in others if s[:2] == (0, 3)) == [11, 13, 14, 15, 16]
+
+
 def test_rows_and_nulls_of_personal_data(docs):
     got = pii.find_personal(docs, pii.fit(docs)).collect()
     assert len(got) == len(cases.documents())
