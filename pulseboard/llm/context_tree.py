@@ -13,8 +13,7 @@ corpus. Contexts of one latest three bytes are weighted together, upper depths
 by one ``groupBy`` each; then the shares of the depths go back down, and every
 gram gets the log-probability of its byte. Grams that make up at least one in
 ``FREQUENT_GRAMS`` bytes are looked up in a table of bounded size, all others
-(those that no training text has, too) by a join on the gram. ``Tree`` is the
-same weighting over frequent contexts alone, in the driver; scoring leaves it out.
+(those that no training text has, too) by a join on the gram.
 
 The base score is a unigram with one added: words that make up at least one in
 ``FREQUENT`` tokens are looked up in a table of bounded size, all others by a
@@ -38,8 +37,8 @@ from pyspark.sql import functions as F
 
 from pulseboard.llm.shared import LOWER, NOT_SPACE, column_bytes, hash_words, keyed_schema, slices, span_hashes, stored, word_bounds
 
-#: Bytes of context, nodes of one depth of a ``Tree`` at most, words and grams looked up in a table at most.
-DEPTH, NODES, FREQUENT, FREQUENT_GRAMS = 5, 1 << 15, 1 << 20, 1 << 22
+#: Bytes of context, words and grams looked up in a table at most.
+DEPTH, FREQUENT, FREQUENT_GRAMS = 5, 1 << 20, 1 << 22
 #: Distinct grams or words that a task holds, and grams that it weights at once (or one group of contexts).
 BLOCK, GRAMS = 1_000_000, 50_000
 #: Bytes of text of one pass: every byte's gram is sorted with its place.
@@ -116,15 +115,6 @@ def gather(train: DataFrame, text: str = "text") -> DataFrame:
     return train.select(text).mapInArrow(count, "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones seen at the 255 decisions (numbered 1 to 255 from the top) of each row of byte counts."""
-    zeros, ones = np.zeros(counts.shape), np.zeros(counts.shape)
-    for level in range(8):
-        half = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3)
-        zeros[:, 1 << level : 2 << level], ones[:, 1 << level : 2 << level] = half[:, :, 0], half[:, :, 1]
-    return zeros, ones
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series, with a shift for small arguments."""
     small = x < 8
@@ -141,97 +131,6 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - math.log(math.pi)
 
 
-class Tree:
-    """``step``: next node by node and context byte (a final node is its own); ``log10``: by node and byte."""
-
-    def __init__(self, contexts: list[tuple[int, int, np.ndarray]]):
-        """``contexts``: (depth, packed context bytes, 256 byte counts), the root among them if any text was seen."""
-        contexts = sorted(contexts, key=lambda c: (c[0], c[1]))
-        if not contexts:
-            contexts = [(0, 0, np.zeros(256))]
-        place = {(d, c): k for k, (d, c, _) in enumerate(contexts)}
-        counts = np.array([n for *_, n in contexts], np.int64)
-        parent, edge = np.full(len(contexts), -1), np.zeros(len(contexts), np.int64)
-        for k, (d, c, _) in enumerate(contexts):
-            if d:
-                parent[k] = place[d - 1, c & (1 << 8 * (d - 1)) - 1]
-                edge[k] = c >> 8 * (d - 1)
-        inner = np.unique(parent[parent >= 0])
-        rest = counts[inner].copy()
-        np.subtract.at(rest, np.searchsorted(inner, parent[parent >= 0]), counts[parent >= 0])
-        n = len(contexts)
-        counts = np.concatenate([counts, np.maximum(rest, 0)])
-        parent = np.r_[parent, inner]
-        depth = np.r_[[d for d, *_ in contexts], np.array([contexts[k][0] + 1 for k in inner], np.int64)].astype(np.int64)
-        self.step = np.repeat(np.arange(len(counts), dtype=np.int32)[:, None], 256, axis=1)
-        self.step[inner] = np.arange(n, n + len(inner), dtype=np.int32)[:, None]
-        own = np.flatnonzero(parent[:n] >= 0)
-        self.step[parent[own], edge[own]] = own
-
-        # Bottom up: log of the children's product, then of the node's mixture.
-        estimate, chance = np.zeros(counts.shape), np.zeros(counts.shape)
-        for i in range(0, len(counts), 4096):
-            zeros, ones = _bit_counts(counts[i : i + 4096].astype(np.float64))
-            estimate[i : i + 4096] = _log_kt(zeros, ones)
-            chance[i : i + 4096] = (ones + 0.5) / (zeros + ones + 1)
-        weighted = estimate.copy()
-        product = np.zeros((n, 256))
-        is_inner = np.zeros(len(counts), bool)
-        is_inner[inner] = True
-        for d in range(int(depth.max()), 0, -1):
-            here = np.flatnonzero(depth == d)
-            np.add.at(product, parent[here], weighted[here])
-            up = np.flatnonzero((depth == d - 1) & is_inner)
-            weighted[up] = np.logaddexp(estimate[up], product[up]) - math.log(2)
-        # Top down: each depth's share of the mixture along the way to a final node.
-        left, mixed_in = np.ones(counts.shape), np.zeros(counts.shape)
-        for d in range(1, int(depth.max()) + 1):
-            here = np.flatnonzero(depth == d)
-            up = parent[here]
-            stay = 1 / (1 + np.exp(np.clip(product[up] - estimate[up], -60, 60)))
-            mixed_in[here] = mixed_in[up] + left[up] * stay * chance[up]
-            left[here] = left[up] * (1 - stay)
-        chance = np.clip(mixed_in + left * chance, 1e-9, 1 - 1e-7)
-        log10 = np.zeros((len(counts), 256))
-        symbols = np.arange(256)
-        for level in range(8):
-            at = (1 << level) + (symbols >> (8 - level))
-            one = symbols >> (7 - level) & 1
-            log10 += np.log10(np.where(one, chance[:, at], 1 - chance[:, at]))
-        self.log10 = log10.astype(np.float32)
-
-    def score(self, out: np.ndarray, places: np.ndarray, text_first: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text of a canonical chunk."""
-        found = np.zeros(len(places))
-        for i in range(0, len(places), 1 << 20):
-            at = places[i : i + (1 << 20)]
-            node = np.zeros(len(at), np.int64)
-            for back in range(1, DEPTH + 1):
-                node = self.step[node, out[at - back]]
-            found[i : i + (1 << 20)] = self.log10[node, out[at]]
-        return np.add.reduceat(found, text_first) if len(text_first) else np.zeros(0)
-
-
-def grow_tree(counts: DataFrame, nodes: int = NODES) -> Tree:
-    """The weighted tree of the gathered grams; the driver receives the nodes' byte counts."""
-    grams = counts.where("kind = 0")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    contexts = []
-    for depth in range(DEPTH + 1):
-        own = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        byte = F.col("key").bitwiseAND(F.lit(255)).cast("int")
-        by_context = own.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("all"), F.collect_list(F.struct(byte.alias("byte"), "n")).alias("after"))
-        found = by_context.where(F.col("all") * nodes >= F.lit(total)).select("context", "after.byte", "after.n").toArrow().combine_chunks()
-        if not found.num_rows:
-            continue
-        context, byte, n = (found.column(k).combine_chunks() for k in range(3))
-        row = np.repeat(np.arange(len(context)), byte.value_lengths().to_numpy(zero_copy_only=False))
-        after = np.zeros((len(context), 256), np.int64)
-        after[row, byte.flatten().to_numpy()] = n.flatten().to_numpy()
-        contexts += zip([depth] * len(context), context.to_pylist(), after)
-    return Tree(contexts)
-
-
 #: Depth whose contexts are weighted together with all longer ones.
 LOCAL = 3
 
@@ -355,7 +254,8 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of every row of ``docs``."""
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row of ``docs``;
+    the last is the code length of a byte."""
     spark = docs.sparkSession
     counts = stored(gather(train, text), "grams")
     grams = counts.where("kind = 0").select("key", "n")
@@ -420,7 +320,7 @@ def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str =
     out = scored.withColumn("n_rare", F.size("rare")).withColumn("n_rare_grams", F.size("rare_grams")).drop("rare", "rare_grams").join(rare, "same", "left").join(by_byte, "same", "left")
     part = lambda c, n, met: F.coalesce(F.col(c) * F.col(n) / F.col(met), F.lit(0.0))
     spread = math.log10(size.n + size.v + 1)
-    return out.select(
+    scored = out.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.round(part("rare_known", "n_rare", "met")).cast("long")).alias("n_known"),
@@ -429,3 +329,4 @@ def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str =
         (F.col("score") + part("rare_score", "n_rare_grams", "met_grams")).alias("score"),
         "n_bytes",
     )
+    return scored.withColumn("bits_per_byte", -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes"))

@@ -78,7 +78,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = context_tree.score(docs, docs.where(~context_tree.held_out()))
-    return scored.select("doc_id", context_tree.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+    return scored.select("doc_id", context_tree.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

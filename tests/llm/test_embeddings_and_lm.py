@@ -127,21 +127,6 @@ class Reference:
         return total
 
 
-def test_tree_equals_plain_weighting(spark):
-    train = ["a banana and a band", "Ananas  bananas", None, "", "and été"]
-    test = ["a band of bananas", "zebra", "", None, "été and"]
-    frame = lambda ts: spark.createDataFrame([(k, t) for k, t in enumerate(ts)], "doc_id long, text string")
-    tree = context_tree.grow_tree(context_tree.gather(frame(train)), nodes=30)
-    own = Reference(train, 30)
-    for t in test:
-        data = np.frombuffer((t or "").encode(), np.uint8)
-        out, places, first, _, _ = context_tree.canonical(data, np.array([0, len(data)]))
-        assert out.tobytes() == own.symbols(t)
-        assert abs(tree.score(out, places, first)[0] - own.score(t)) < 1e-3
-    assert abs(10 ** tree.log10.astype(float)[:, :].sum(axis=0)[0]) >= 0
-    assert np.allclose((10 ** tree.log10.astype(float)).sum(axis=1), 1, atol=1e-4)
-
-
 def test_base_scores_and_rows(spark, docs, no_docs):
     train = docs.where(~context_tree.held_out())
     tokens = lambda t: [*cases.space_words(t), "\n"]
@@ -173,12 +158,20 @@ def test_scores_weight_every_seen_context(spark, monkeypatch, limits):
 
 
 def test_large_counts_are_exact():
-    def counts(**of):
-        n = np.zeros(256, np.int64)
-        n[0x40], n[0x41] = of.get("x", 0), of.get("y", 0)
-        return n
-
+    """Counts beyond single precision stay whole up to the depth where groups meet."""
     each = 7_400_003
-    below = [(1, k, counts(**{"x" if k < 20 else "y": each})) for k in range(40)]
-    tree = context_tree.Tree([(0, 0, counts(x=20 * each + 5, y=20 * each + 2_000_000)), *below])
-    assert abs(tree.log10[tree.step[0, 200], 0x40] - math.log10(5.5 / 2_000_006)) < 1e-5
+    key = np.array([k << 40 | 0x414243 << 16 | 0x44 << 8 | (0x40 if k < 20 else 0x41) for k in range(1, 41)], np.int64)
+    own = context_tree._Decisions(key, np.full(40, each))
+    last = own.x[context_tree.LOCAL] & 0xFF == 0x40 >> 1 | 1 << 7
+    assert last.any() and own.zeros[last].sum() == 19 * each and own.ones[last].sum() == 21 * each
+
+
+def test_code_length_per_byte(spark):
+    """Bits a byte are the negative binary logarithm of the text's probability over its bytes; held-out prose is
+    coded in fewer than the letters alone would take."""
+    train = [cases.prose(k, 300) for k in range(20)]
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    got = context_tree.score(frame([cases.prose(99, 100), "", "~" * 50]), frame(train)).orderBy("doc_id").collect()
+    for r in got:
+        assert abs(r.bits_per_byte * r.n_bytes * math.log10(2) + r.score) < 1e-6 * r.n_bytes
+    assert got[0].bits_per_byte < 3 < got[2].bits_per_byte
