@@ -9,6 +9,12 @@
 result is written with Spark's DataFrame writer (``--out``); with ``--show N``
 instead, the first N rows are printed, and the output says so.
 
+``--counts`` names the fact's stored daily roll-up: reports merge its days and
+read the fact only for part days. ``write_counts`` writes it, or with ``--start``
+and ``--end`` writes those days again:
+
+    python -m pulseboard write_counts --warehouse /data/usage --counts /data/usage_counts --start 2024-01-30 --end 2024-01-31
+
 Activity lists are given as codes (``--activities A,B``) or as named groups
 (``--group cards=A+B --group visits=C --use-groups cards,visits``).
 """
@@ -17,6 +23,8 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import timedelta
+from functools import partial
 
 from pulseboard.params import (
     CAPPED_TYPE_ID,
@@ -30,6 +38,7 @@ from pulseboard.params import (
     ProductSpec,
     Targets,
     TrialSpec,
+    as_datetime,
 )
 from pulseboard.plans.errors import META_KEY
 from pulseboard.plans import errors, licences, risk, trials, usage
@@ -58,6 +67,7 @@ NEED_ACTIVITIES = AS_OF | {
     "trial_product_by_day", "trial_activity_by_day",
 }
 REPORT_NAMES = sorted([*PERIOD, *AS_OF])
+WRITE_COUNTS = "write_counts"
 
 
 def _csv(text: str | None) -> list[str]:
@@ -66,10 +76,11 @@ def _csv(text: str | None) -> list[str]:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pulseboard", description="Run one product-usage report.")
-    p.add_argument("report", choices=REPORT_NAMES)
+    p.add_argument("report", choices=[*REPORT_NAMES, WRITE_COUNTS])
     src = p.add_mutually_exclusive_group(required=True)
     src.add_argument("--warehouse", help="root of the domain tables (write_domain layout)")
     src.add_argument("--testdata", help="folder of the driver's test tables")
+    p.add_argument("--counts", help="folder of the fact's daily roll-up")
     p.add_argument("--start")
     p.add_argument("--end")
     p.add_argument("--as-of")
@@ -158,13 +169,40 @@ def build_report(args, domain):
     return fn(domain, *period, excluded, internal=rule, targets=targets)
 
 
+def source(args, spark):
+    """The domain that the arguments name, with its stored roll-up if there is one."""
+    from pulseboard.sources.bindings import domain_from_parquet, domain_from_testdata
+    from pulseboard.sources.daily import read_activity_counts
+
+    domain = domain_from_parquet(spark, args.warehouse) if args.warehouse else domain_from_testdata(spark, args.testdata)
+    if args.counts and args.report != WRITE_COUNTS:
+        return domain.replace(activity_counts=partial(read_activity_counts, spark, args.counts))
+    return domain
+
+
+def write_counts(args, domain) -> None:
+    from pulseboard.sources.daily import write_activity_counts
+
+    if not args.counts:
+        raise ValueError(f"{WRITE_COUNTS} needs --counts")
+    if bool(args.start) != bool(args.end):
+        raise ValueError("give both --start and --end, or neither")
+    days = None
+    if args.start:
+        first, last = as_datetime(args.start).date(), as_datetime(args.end).date()
+        days = [first + timedelta(days=k) for k in range((last - first).days + 1)]
+    write_activity_counts(domain, args.counts, days)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     from pulseboard.session import build_session
-    from pulseboard.sources.bindings import domain_from_parquet, domain_from_testdata
 
     spark = build_session()
-    domain = domain_from_parquet(spark, args.warehouse) if args.warehouse else domain_from_testdata(spark, args.testdata)
+    domain = source(args, spark)
+    if args.report == WRITE_COUNTS:
+        write_counts(args, domain)
+        return 0
     df = build_report(args, domain)
     if args.out:
         df.write.mode("overwrite").format(args.format).option("header", "true").save(args.out)

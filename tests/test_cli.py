@@ -7,7 +7,7 @@ import tempfile
 
 import pytest
 
-from pulseboard.cli import build_report, parser
+from pulseboard.cli import build_report, parser, source, write_counts
 from pulseboard.params import as_datetime
 from pulseboard.plans.catalog import REPORTS, _domain
 from tests.conftest import SF001, rows
@@ -34,6 +34,26 @@ def test_cli_writes_output(spark):
     assert sorted(rows(spark.read.parquet(out))) == sorted(rows(REPORTS["error_counts"](spark, SF001)))
 
 
+def test_reports_from_counts_that_the_command_wrote(spark):
+    counts = os.path.join(tempfile.mkdtemp(prefix="pulseboard-cli-"), "counts")
+    here = ["--testdata", SF001, "--counts", counts]
+    whole = parser().parse_args(["write_counts", *here])
+    write_counts(whole, source(whole, spark))
+    days = parser().parse_args(["write_counts", *here, "--start", "2024-01-10", "--end", "2024-01-11"])
+    write_counts(days, source(days, spark))
+    args = parser().parse_args(
+        ["daily_active_orgs", *here, "--start", "2024-01-20", "--end", "2024-02-03", "--internal-pattern", "%7",
+         "--exempt-org", "1", "--targets", "cs=BCS_CLICK,vr=VR_VIEW,dq=GRABBER_PURCHASE"]
+    )
+    domain = source(args, spark)
+    assert rows(build_report(args, domain)) == rows(REPORTS["daily_active_orgs"](spark, SF001))
+    assert "activity_counts" in domain.made
+    with pytest.raises(ValueError, match="--counts"):
+        write_counts(parser().parse_args(["write_counts", "--testdata", SF001]), domain)
+    with pytest.raises(ValueError, match="both"):
+        write_counts(parser().parse_args(["write_counts", *here, "--start", "2024-01-10"]), domain)
+
+
 def test_a_report_without_its_activities_is_refused(spark):
     args = parser().parse_args(["error_counts", "--testdata", SF001, "--start", "2024-01-20", "--end", "2024-02-03"])
     with pytest.raises(ValueError, match="--activities"):
