@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseboard.llm.graph import components
-from pulseboard.llm.shared import LOWER, NOT_SPACE, column_bytes, dropped, keyed_schema, mixed, slices, span_hashes, stored, summed_array, word_bounds
+from pulseboard.llm.shared import LOWER, NOT_SPACE, column_bytes, dropped, keyed_schema, mixed, slices, small, span_hashes, stored, summed_array, word_bounds
 
 SHINGLE, PERCENT = 5, 75
 #: Counters of the sketch that orders pivots, and of the bitmap of classes to verify.
@@ -195,7 +195,7 @@ def _sketch_bounds(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _shared(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """(a, b, shared) of the pairs (a, b): shingles in both whole sets.
+    """The pairs (a, b, ...) with ``shared``, the shingles in both whole sets.
 
     Sets come from another pass over the texts; a bitmap of fixed size keeps
     the classes that no pair needs out of the shuffle (false hits only add rows).
@@ -226,7 +226,7 @@ def _shared(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     sets = docs.select(text).mapInArrow(run, "class long, members array<long>").dropDuplicates(["class"])
     sets = stored(sets, "sets")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
-    counted = stored(both.select("a", "b", F.size(F.array_intersect("ma", "mb")).cast("long").alias("shared")), "shared")
+    counted = stored(both.select(*pairs.columns, F.size(F.array_intersect("ma", "mb")).cast("long").alias("shared")), "shared")
     dropped(sets)
     return counted
 
@@ -265,14 +265,12 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     above = hubs.join(tops, "pivot").select(F.col("hub.class").alias("a"), F.col("hub.n").alias("an"), F.col("top.class").alias("b"), F.col("top.n").alias("bn"))
     to_hub = members.select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("hub.class").alias("b"), F.col("hub.n").alias("bn"))
     known = _distances(docs, to_hub.unionByName(above), sketches, text, percent)
-    parts = components(known.where("linked"), "a", "b")
+    parts = stored(components(known.where("linked"), "a", "b"), "parts")
 
     plain = members.where("pivot is null").select(F.col("hub.class").alias("cell"), "class", "n")
     dealt = members.join(tops, "pivot").select(F.col("top.class").alias("cell"), "class", "n")
-    cells = _unsettled(plain.unionByName(dealt).distinct(), parts, sketches)
-    dropped(members)
-    cells, old = _measured(cells, known), cells
-    dropped(old, known)
+    cells = _unsettled(plain.unionByName(dealt).distinct(), parts, sketches, known)
+    dropped(members, known)
     for turn in range(1, TURNS):
         rest = cells.groupBy("cell", "root").agg(F.count("*").alias("k")).groupBy("cell").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice"), F.sum("k").alias("k"))
         left = rest.agg(F.coalesce(F.sum(F.col("twice").cast("double")) / 2, F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
@@ -286,10 +284,8 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
         parts = _joined(parts, known.where("linked"))
         # The old pivot's cell keeps its members; their distances are to the new one now.
         same = cells.select("cell", F.col("hub.class").alias("pivot"), "class", "n")
-        entered, old = _unsettled(same, parts, sketches, "pivot"), cells
-        dropped(old)
-        cells = _measured(entered, known)
-        dropped(entered, known)
+        cells, old = _unsettled(same, parts, sketches, known, "pivot"), cells
+        dropped(old, known)
 
     x, y = cells.alias("x"), cells.alias("y")
     r = SCALE * (100 - percent) // 100
@@ -314,9 +310,9 @@ def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     """
     if links.isEmpty():
         return parts
-    rooted = links.select("a", "b")
+    rooted, near = links.select("a", "b"), small(parts)
     for end in ("a", "b"):
-        root = parts.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+        root = near.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
         rooted = rooted.join(root, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
     merged = components(rooted, "a_root", "b_root").select(F.col("id").alias("root"), F.col("root").alias("merged"))
     moved = parts.join(merged, "root", "left").select("id", F.coalesce("merged", "root").alias("root"))
@@ -338,8 +334,8 @@ def _distances(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, text: str
     bounds = stored(_sketch_bounds(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sketches), "bounds")
     # At similarity s the symmetric difference is at most (1 - s) / (1 + s) of both sizes.
     near = F.col("apart") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-    counted = _shared(docs, bounds.where(near).select("a", "b"), text)
-    both = bounds.join(counted, ["a", "b"], "left")
+    counted = _shared(docs, bounds.where(near), text)
+    both = counted.unionByName(bounds.where(~near).withColumn("shared", F.lit(None).cast("long")))
     sizes = F.col("na") + F.col("nb")
     most = F.coalesce("shared", F.least("na", "nb", F.call_function("div", sizes - F.col("apart"), F.lit(2))))
     # The distance is (sizes - 2 most) / (sizes - most), rounded down and up in whole numbers.
@@ -352,32 +348,29 @@ def _distances(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, text: str
     return out
 
 
-def _unsettled(cells: DataFrame, parts: DataFrame, sketches: DataFrame, *pivot: str) -> DataFrame:
-    """Members, with their components and short sketches, of the cells that hold several components."""
-    short = [f"p{k}" for k in range(SHORT)]
-    roots = parts.withColumnRenamed("id", "class")
+def _unsettled(cells: DataFrame, parts: DataFrame, sketches: DataFrame, known: DataFrame, pivot: str = "cell") -> DataFrame:
+    """Members of the cells that hold several components: with their components, their short sketches, and the
+    bounds of their distance to the pivot (0 and 1 where it was not compared)."""
+    roots = small(parts).withColumnRenamed("id", "class")
     rooted = cells.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    several = rooted.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
-    kept = rooted.join(several, "cell", "left_semi").select("cell", *pivot, "class", "n", "root")
-    return stored(kept.join(sketches.select("class", *short), "class"), "cells")
-
-
-def _measured(cells: DataFrame, known: DataFrame) -> DataFrame:
-    """The cells with the bounds of each member's distance to the pivot; 0 and 1 where it was not compared."""
-    pivot = "pivot" if "pivot" in cells.columns else "cell"
-    ends = [F.least("class", pivot).alias("a"), F.greatest("class", pivot).alias("b")]
+    whole = Window.partitionBy("cell")
+    several = rooted.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).where("lo <> hi")
+    short = [f"p{k}" for k in range(SHORT)]
+    kept = several.join(sketches.select("class", *short), "class")
     at_pivot = F.col("class") == F.col(pivot)
-    low = F.when(at_pivot, 0).otherwise(F.coalesce("low", F.lit(0)))
-    high = F.when(at_pivot, 0).otherwise(F.coalesce("high", F.lit(SCALE)))
-    bounded = cells.select("*", *ends).join(known.select("a", "b", "low", "high"), ["a", "b"], "left")
-    return stored(bounded.withColumn("low", low.cast("long")).withColumn("high", high.cast("long")).drop("a", "b", "pivot"), "measured")
+    ends = {"a": F.least("class", pivot), "b": F.greatest("class", pivot), "at pivot": at_pivot}
+    bounded = kept.withColumns(ends).join(small(known).select("a", "b", "low", "high"), ["a", "b"], "left")
+    low = F.when(F.col("at pivot"), 0).otherwise(F.coalesce("low", F.lit(0))).cast("long")
+    high = F.when(F.col("at pivot"), 0).otherwise(F.coalesce("high", F.lit(SCALE))).cast("long")
+    return stored(bounded.select("cell", "class", "n", "root", *short, low.alias("low"), high.alias("high")), "cells")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     documents, parts = near_duplicate_classes(docs, doc_id, text, percent)
+    roots = small(parts).withColumnRenamed("id", "class")
     named = documents.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    rooted = named.join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = named.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_class = rooted.join(smallest, "root").select("class", "component")
     out = documents.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(by_class, "class", "left")

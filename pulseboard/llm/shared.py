@@ -57,6 +57,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """A stored table, to be broadcast if it holds at most ``rows`` rows of a few numbers; else joined as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by ``stored`` that nothing reads any more."""
     for df in frames:
