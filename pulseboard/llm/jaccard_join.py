@@ -353,10 +353,10 @@ def _unsettled(cells: DataFrame, parts: DataFrame, sketches: DataFrame, known: D
     bounds of their distance to the pivot (0 and 1 where it was not compared)."""
     roots = small(parts).withColumnRenamed("id", "class")
     rooted = cells.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    whole = Window.partitionBy("cell")
-    several = rooted.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).where("lo <> hi")
+    # An aggregate and a join: both may split a cell that holds many classes.
+    several = rooted.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
     short = [f"p{k}" for k in range(SHORT)]
-    kept = several.join(sketches.select("class", *short), "class")
+    kept = rooted.join(several, "cell", "left_semi").join(sketches.select("class", *short), "class")
     at_pivot = F.col("class") == F.col(pivot)
     ends = {"a": F.least("class", pivot), "b": F.greatest("class", pivot), "at pivot": at_pivot}
     bounded = kept.withColumns(ends).join(small(known).select("a", "b", "low", "high"), ["a", "b"], "left")
