@@ -209,7 +209,7 @@ def search(buckets: Iterator[Bucket], block: Block) -> Iterator[tuple[int, int,
 
 
 def _merge(ids: np.ndarray, labels: np.ndarray, scores: np.ndarray, block: Block, a: int, held: list, least: np.ndarray) -> None:
-    fits = (labels == block.labels[a]) & (ids != block.ids[a]) if block.same else labels != block.labels[a]
+    fits = ((labels == block.labels[a]) == block.same) & (ids != block.ids[a])
     fits &= (scores >= least.min()) & (scores <= block.high[a].max())
     at = np.flatnonzero(fits)
     if not len(at):
