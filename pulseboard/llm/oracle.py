@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries that SQL can express: operators 1, 3 and 9 by brute force."""
+"""DuckDB SQL of the queries that SQL can express: operators 1, 3, 7, 9, 11 and 12 by brute force."""
 
 from __future__ import annotations
 
@@ -104,4 +104,48 @@ FROM positives JOIN scores USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 10"""
 
-ORACLE_SQL = {"op11_hard_negatives": HARD_NEGATIVES, "op12_collocations": COLLOCATIONS, "op1_decontaminate": DECONTAMINATE, "op3_jaccard_join": JACCARD_JOIN, "op9_embedding_dedup": EMBEDDING_DEDUP}
+_URL_RULES = [("allow", "www.example.com/en/"), ("block", "example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"), ("allow", "com/")]  # longest first
+
+
+def _fits(where: str) -> str:
+    site, _, start = where.partition("/")
+    return f"((host = '{site}' OR ends_with(host, '.{site}')) AND starts_with(path, '/{start}'))"
+
+
+def url_rules(bad: str) -> str:
+    """``bad`` is a SELECT of (id, bad). Mined rules by counting every subset of every labelled URL's tokens."""
+    rule = " ".join(f"WHEN {_fits(where)} THEN '{where}'" for _, where in _URL_RULES)
+    given = " ".join(f"WHEN {_fits(where)} THEN '{verdict}'" for verdict, where in _URL_RULES)
+    return rf"""
+WITH split AS (
+    SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
+           list_sort(list_distinct(list_transform(regexp_extract_all(lower(coalesce(url, '')), '[a-z0-9-]+'),
+                                                  lambda w: CASE WHEN regexp_full_match(w, '[0-9]+') THEN '0' ELSE w END))) AS own
+    FROM pages),
+parts AS (
+    SELECT page_id, url, own, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+    FROM split),
+ruled AS (SELECT *, CASE {rule} END AS rule, CASE {given} END AS given FROM parts),
+known AS ({bad}),
+baskets AS (SELECT own, bad FROM parts JOIN known ON id = page_id WHERE bad IS NOT NULL AND len(own) + bad > 0),
+size AS (SELECT count(*) AS n FROM baskets),
+subsets AS (
+    SELECT list_filter(own, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS items, bad
+    FROM (SELECT own, bad, unnest(range(1, 1 << len(own))) AS mask FROM baskets)),
+mined AS (
+    SELECT items FROM subsets, size GROUP BY items, n
+    HAVING n >= 20 AND sum(bad) >= ceil(greatest(0.002::DOUBLE, 20::DOUBLE / n) * n) AND sum(bad)::DOUBLE / count(*) >= 0.6),
+hit AS (SELECT DISTINCT url FROM ruled JOIN mined ON list_has_all(own, items) WHERE given IS NULL AND url IS NOT NULL)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN h.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled AS r LEFT JOIN hit AS h ON h.url = r.url"""
+
+
+URL_RULES = url_rules("""
+    SELECT doc_id AS id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad
+    FROM labels GROUP BY doc_id""")
+#: Labels that follow from the URL: pages of plain http under net are bad.
+URL_RULES_DERIVED = url_rules("""
+    SELECT page_id AS id, CASE WHEN list_has_all(own, ['http', 'net']) THEN 1 ELSE 0 END AS bad FROM split""")
+
+ORACLE_SQL = {"op7_url_rules": URL_RULES, "url_rules_on_derived_labels": URL_RULES_DERIVED, "op11_hard_negatives": HARD_NEGATIVES, "op12_collocations": COLLOCATIONS, "op1_decontaminate": DECONTAMINATE, "op3_jaccard_join": JACCARD_JOIN, "op9_embedding_dedup": EMBEDDING_DEDUP}

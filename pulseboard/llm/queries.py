@@ -67,6 +67,14 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_rules_on_derived_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 where labels follow from the URL (pages of plain http under net are bad), so that mined rules decide."""
+    pages = read(spark, sf_dir, "pages")
+    bad = F.size(F.array_except(F.array(F.lit("http"), F.lit("net")), url_rules.tokens("url"))) == 0
+    labels = pages.select(F.col("page_id").alias("doc_id"), F.when(bad, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    return url_rules.judge(pages, labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), outputs="n_tokens ids_sha256 decoded_sha256")
 
@@ -102,4 +110,4 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted, "toxic_sentences")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_training_order, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op7_url_rules, op8_bpe, op9_embedding_dedup, op10_context_tree, op11_hard_negatives, op12_collocations, op13_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_training_order, op3_jaccard_join, op4_lang_id, op5_pii, op6_token_counts, op7_url_rules, op8_bpe, op9_embedding_dedup, op10_context_tree, op11_hard_negatives, op12_collocations, op13_toxicity, url_rules_on_derived_labels)}
