@@ -123,7 +123,7 @@ class Domain:
         last = None if hi is None else hi.date() - one  # an inclusive bound never covers its own day
         if first is not None and last is not None and first > last:
             return self._as_counts(self.activity(lo, hi, lo_strict))
-        whole = F.col("day").isNotNull()
+        whole = F.lit(True)
         parts = []
         if first is not None:
             whole = whole & (F.col("day") >= date_lit(first))
