@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulseboard.sources.bindings import DOMAIN_TABLES, Domain
 from pulseboard.sources.tables import warehouse_table
-from pulseboard.sources.versions import Version, activity_rows, current_version, days_of_run, new_run, publish
+from pulseboard.sources.versions import Version, activity_rows, current_version, days_of_run, listed, new_run, publish
 
 DAY_COL = "event_date"
 #: Parquet's own Bloom filter of the activity codes of a row group, for codes between its least and greatest one.
@@ -35,12 +35,14 @@ def write_domain(
     written by up to ``day_splits`` tasks and a day has at most that many files
     (more only where a file reaches ``rows_per_file``). Other tables keep their
     partitioning. With ``mode="overwrite"`` the fact replaces only the days
-    that are written. Readers see the version before until the last table is
+    that are written (all of a domain that was written without versions). Readers see the version before until the last table is
     written, and keep it if the write is killed.
     """
     spark = domain.spark
     before = current_version(spark, root)
-    if before is not None and mode != "overwrite":
+    # What a killed write left is no domain; files beside the runs are one that was written without versions.
+    plain = [n for n in listed(spark, warehouse_table(root, "user_activity")) if not n.startswith("run=")]
+    if (before is not None or plain) and mode != "overwrite":
         raise FileExistsError(f"a domain already exists under {root}; write with mode='overwrite'")
     run = new_run()
     for name in DOMAIN_TABLES:

@@ -81,6 +81,15 @@ def test_a_killed_write_leaves_the_version_before(spark, monkeypatch):
     assert versions.drop_old_runs(spark, folder()) == []
 
 
+def test_a_domain_without_versions_is_not_written_over(spark):
+    base, root = _domain(spark, SF001), folder()
+    for name in ("user_activity", "user"):
+        getattr(base, name).write.parquet(f"{root}/{name}")
+    with pytest.raises(FileExistsError, match="already exists"):
+        warehouse.write_domain(base, root)
+    assert domain_from_parquet(spark, root, activity_day_col=None).user_activity.count() == base.user_activity.count()
+
+
 def test_days_of_earlier_runs_stay(spark):
     base, root = _domain(spark, SF001), folder()
     first = warehouse.write_domain(base, root)
