@@ -15,6 +15,10 @@ and ``--end`` writes those days again:
 
     python -m pulseboard write_counts --warehouse /data/usage --counts /data/usage_counts --start 2024-01-30 --end 2024-01-31
 
+``--sets`` names the daily bitmaps of organisations that ``write_sets`` writes (for
+the target activities and the internal rule given then); ``active_orgs_of_days``
+and ``active_orgs_of_window`` read nothing else.
+
 Activity lists are given as codes (``--activities A,B``) or as named groups
 (``--group cards=A+B --group visits=C --use-groups cards,visits``).
 """
@@ -42,6 +46,8 @@ from pulseboard.params import (
 )
 from pulseboard.plans.errors import META_KEY
 from pulseboard.plans import errors, licences, risk, trials, usage
+from pulseboard.sources.bindings import domain_from_parquet, domain_from_testdata
+from pulseboard.sources.daily import read_activity_counts, read_daily_distinct, write_activity_counts, write_daily_distinct
 
 PERIOD = {
     "daily_active_orgs": usage.daily_active_orgs,
@@ -67,7 +73,8 @@ NEED_ACTIVITIES = AS_OF | {
     "trial_product_by_day", "trial_activity_by_day",
 }
 REPORT_NAMES = sorted([*PERIOD, *AS_OF])
-WRITE_COUNTS = "write_counts"
+WRITE_COUNTS, WRITE_SETS = "write_counts", "write_sets"
+OF_SETS = {"active_orgs_of_days": usage.active_orgs_of_days, "active_orgs_of_window": usage.active_orgs_of_window}
 
 
 def _csv(text: str | None) -> list[str]:
@@ -76,11 +83,12 @@ def _csv(text: str | None) -> list[str]:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pulseboard", description="Run one product-usage report.")
-    p.add_argument("report", choices=[*REPORT_NAMES, WRITE_COUNTS])
+    p.add_argument("report", choices=[*REPORT_NAMES, *OF_SETS, WRITE_COUNTS, WRITE_SETS])
     src = p.add_mutually_exclusive_group(required=True)
     src.add_argument("--warehouse", help="root of the domain tables (write_domain layout)")
     src.add_argument("--testdata", help="folder of the driver's test tables")
     p.add_argument("--counts", help="folder of the fact's daily roll-up")
+    p.add_argument("--sets", help="folder of the daily bitmaps of organisations")
     p.add_argument("--start")
     p.add_argument("--end")
     p.add_argument("--as-of")
@@ -129,15 +137,26 @@ def _families(items: list[str]) -> dict[str, Family]:
     return out or dict(LICENCE_FAMILIES)
 
 
+def _rule(args) -> InternalRule | None:
+    return InternalRule(pattern=args.internal_pattern, exempt_org=args.exempt_org) if args.internal_pattern else None
+
+
+def _targets(args) -> Targets:
+    return Targets(dict(t.split("=", 1) for t in _csv(args.targets))) if args.targets else Targets()
+
+
 def build_report(args, domain):
-    rule = InternalRule(pattern=args.internal_pattern, exempt_org=args.exempt_org) if args.internal_pattern else None
+    rule = _rule(args)
     excluded = [int(x) for x in _csv(args.exclude)]
     acts = _activities(args, args.activities, args.use_groups)
     left_out = _activities(args, args.excluded_activities, args.exclude_groups)
     trial = TrialSpec(type_id=args.trial_type_id, type_name=args.trial_type_name)
     products = {"products": ProductSpec(products=tuple(_csv(args.products)))}
-    targets = Targets(dict(t.split("=", 1) for t in _csv(args.targets))) if args.targets else Targets()
+    targets = _targets(args)
     name = args.report
+    if name in OF_SETS:
+        first, last = (as_datetime(x).date() for x in (args.start, args.end))
+        return OF_SETS[name](read_daily_distinct(domain.spark, _needed(args, "sets")), first, last, targets=targets)
     if name in NEED_ACTIVITIES and not acts:
         raise ValueError(f"{name} needs --activities or --use-groups")
     if name in AS_OF:
@@ -171,27 +190,30 @@ def build_report(args, domain):
 
 def source(args, spark):
     """The domain that the arguments name, with its stored roll-up if there is one."""
-    from pulseboard.sources.bindings import domain_from_parquet, domain_from_testdata
-    from pulseboard.sources.daily import read_activity_counts
-
     domain = domain_from_parquet(spark, args.warehouse) if args.warehouse else domain_from_testdata(spark, args.testdata)
-    if args.counts and args.report != WRITE_COUNTS:
+    if args.counts and args.report in REPORT_NAMES:
         return domain.replace(activity_counts=partial(read_activity_counts, spark, args.counts))
     return domain
 
 
-def write_counts(args, domain) -> None:
-    from pulseboard.sources.daily import write_activity_counts
+def _needed(args, folder: str) -> str:
+    if not getattr(args, folder):
+        raise ValueError(f"{args.report} needs --{folder}")
+    return getattr(args, folder)
+
 
-    if not args.counts:
-        raise ValueError(f"{WRITE_COUNTS} needs --counts")
+def write_stored(args, domain) -> None:
+    """The roll-up or the bitmaps, of all days or of those from ``--start`` to ``--end``."""
     if bool(args.start) != bool(args.end):
         raise ValueError("give both --start and --end, or neither")
     days = None
     if args.start:
         first, last = as_datetime(args.start).date(), as_datetime(args.end).date()
         days = [first + timedelta(days=k) for k in range((last - first).days + 1)]
-    write_activity_counts(domain, args.counts, days)
+    if args.report == WRITE_COUNTS:
+        write_activity_counts(domain, _needed(args, "counts"), days)
+    else:
+        write_daily_distinct(domain, _needed(args, "sets"), days, activities=_targets(args).codes.values(), internal=_rule(args))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -200,8 +222,8 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = build_session()
     domain = source(args, spark)
-    if args.report == WRITE_COUNTS:
-        write_counts(args, domain)
+    if args.report in (WRITE_COUNTS, WRITE_SETS):
+        write_stored(args, domain)
         return 0
     df = build_report(args, domain)
     if args.out:
