@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseboard.llm.fm_index import FMIndex
-from pulseboard.llm.shared import ALNUM, LOWER, column_bytes, hash_words, keyed_schema, slices, span_hashes, word_bounds
+from pulseboard.llm.shared import ALNUM, LOWER, column_bytes, hash_words, keyed_schema, returning, slices, span_hashes, word_bounds
 
 WIDTH = 13
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
@@ -152,7 +152,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
                         items = pa.array(items, part.schema.field(3).type)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words, pa.int64()), items, spans], schema=part.schema)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(returning(run), schema)
     return out
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseboard.llm.graph import components
-from pulseboard.llm.shared import LOWER, NOT_SPACE, column_bytes, dropped, keyed_schema, mixed, slices, small, span_hashes, stored, summed_array, word_bounds
+from pulseboard.llm.shared import LOWER, NOT_SPACE, column_bytes, dropped, keyed_schema, mixed, returning, slices, small, span_hashes, stored, summed_array, word_bounds
 
 SHINGLE, PERCENT = 5, 75
 #: Counters of the sketch that orders pivots, and of the bitmap of classes to verify.
@@ -134,7 +134,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 seen.add(name)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary()), pa.array(short, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "sketch", "short"])
 
-    return docs.select(doc_id, text).mapInArrow(run, keyed_schema(docs, doc_id, "n long, class long, sketch binary, short array<long>"))
+    return docs.select(doc_id, text).mapInArrow(returning(run), keyed_schema(docs, doc_id, "n long, class long, sketch binary, short array<long>"))
 
 
 def _distinct_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -173,7 +173,7 @@ def regions(docs: DataFrame, counts: np.ndarray, text: str = "text", percent: in
             if found:
                 yield _rows(found)
 
-    return docs.select(text).mapInArrow(run, "pivot long, part int, class long, n int, at int")
+    return docs.select(text).mapInArrow(returning(run), "pivot long, part int, class long, n int, at int")
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
@@ -223,7 +223,7 @@ def _shared(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
             if names:
                 yield _set_rows(names, sets)
 
-    sets = docs.select(text).mapInArrow(run, "class long, members array<long>").dropDuplicates(["class"])
+    sets = docs.select(text).mapInArrow(returning(run), "class long, members array<long>").dropDuplicates(["class"])
     sets = stored(sets, "sets")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
     counted = stored(both.select(*pairs.columns, F.size(F.array_intersect("ma", "mb")).cast("long").alias("shared")), "shared")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseboard.llm.shared import keyed_schema, summed_array
+from pulseboard.llm.shared import keyed_schema, returning, summed_array
 
 #: Hashed features; labelled documents sampled per language; characters per pass.
 FEATURES, PER_LANGUAGE, PIECE = 1 << 15, 600, 1 << 20
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 columns, names = [*columns, pa.array(has, pa.bool_())], [*names, "lettered"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(doc_id, text).mapInArrow(run, keyed_schema(docs, doc_id, "lang_pred string, score double" + ", lettered boolean" * lettered))
+    return docs.select(doc_id, text).mapInArrow(returning(run), keyed_schema(docs, doc_id, "lang_pred string, score double" + ", lettered boolean" * lettered))
 
 
 def held_out(column: str = "doc_id") -> Column:

@@ -23,9 +23,12 @@ from pyspark.sql import types as T
 
 #: Bytes of text handled by one numpy pass; a longer single text is its own pass.
 CHUNK_BYTES = 1 << 21
+#: Bytes of a batch between Spark and Python; a longer single row is its own batch.
+BATCH_BYTES = 1 << 22
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -102,6 +105,28 @@ def hand_back() -> None:
         trim(0)
 
 
+def returning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; what the worker holds besides its models is freed when the task ends."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        hand_back()
+
+    return task
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python of at most ``BATCH_BYTES`` from now on in this session.
+
+    Texts of a few kilobytes make Spark's default of 64 MB a batch several hundred megabytes an executor:
+    the rows stand there as Arrow vectors that grow by doubling, on both sides, in and out, for every core.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 # --- byte arrays of a string column -------------------------------------------------
 
 
