@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, pii
 from pulseboard.llm.queries import vocabulary
-from pulseboard.llm.shared import dropped, read, stored, whole_rows
+from pulseboard.llm.shared import bounded_batches, dropped, read, stored, whole_rows
 
 
 def _columns(docs: DataFrame, row: str, **changed: Column) -> list[Column]:
@@ -30,6 +30,7 @@ def _columns(docs: DataFrame, row: str, **changed: Column) -> list[Column]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     model = lang_id.fit(docs.where(~lang_id.held_out()))
     said = lang_id.identify(whole_rows(docs), model, lettered=True).where("lettered")
     known = F.coalesce(F.col("doc_id")["lang"], F.nullif(F.col("lang_pred"), F.lit(lang_id.UND)))
@@ -37,6 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     # A row goes by its id and its text, as ids may repeat; one without an id by its text alone, behind all ids.
     key = ["key", "hashed"]
     hashed = F.xxhash64(F.col("row")["text"])
@@ -55,17 +57,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     found = decontaminate.find_benchmark(whole_rows(docs), read(spark, sf_dir, "benchmark"))
     return decontaminate.judged(found).where("not contaminated").select(*_columns(docs, "doc_id"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     found = pii.find_personal(whole_rows(docs), pii.fit(docs))
     n_chars = F.when(F.size("spans") > 0, F.char_length("redacted")).otherwise(F.col("doc_id.n_chars"))
     return found.select(*_columns(docs, "doc_id", text=F.col("redacted"), n_chars=n_chars))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return encode.encode_documents(docs, vocabulary("byte_bpe_50k.json"), outputs="n_tokens ids ids_sha256 decoded_sha256")
 
 
