@@ -28,7 +28,6 @@ BATCH_BYTES = 1 << 22
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
