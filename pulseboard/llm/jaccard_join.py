@@ -147,7 +147,7 @@ def _distinct_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def regions(docs: DataFrame, counts: np.ndarray, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(pivot, part, class, n, at): the regions of every class; ``at`` is the pivot's place in its order."""
+    """(pivot, part, class, n): the regions of every class."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counts.astype(np.int64))
     usual = float(counts.mean())
@@ -165,7 +165,7 @@ def regions(docs: DataFrame, counts: np.ndarray, text: str = "text", percent: in
                 extra = seen[order] - usual
                 parts = np.where(extra > SUB_REGION + usual, extra // SUB_REGION + 1, 1).astype(np.int64)
                 part = np.where(parts > 1, abs(name) % parts, -1)
-                found.append((own[order].view(np.int64), part.astype(np.int32), np.full(window, name), np.full(window, n, np.int32), np.arange(window, dtype=np.int32)))
+                found.append((own[order].view(np.int64), part.astype(np.int32), np.full(window, name), np.full(window, n, np.int32)))
                 held += window
                 if held > 1 << 18:
                     yield _rows(found)
@@ -173,12 +173,12 @@ def regions(docs: DataFrame, counts: np.ndarray, text: str = "text", percent: in
             if found:
                 yield _rows(found)
 
-    return docs.select(text).mapInArrow(returning(run), "pivot long, part int, class long, n int, at int")
+    return docs.select(text).mapInArrow(returning(run), "pivot long, part int, class long, n int")
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
     columns = [np.concatenate(c) for c in zip(*found)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pivot", "part", "class", "n", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pivot", "part", "class", "n"])
 
 
 def _sketch_bounds(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
