@@ -22,6 +22,11 @@ from pyspark.sql import functions as F
 from pulseboard.llm import decontaminate, encode, jaccard_join, lang_id, pii
 from pulseboard.llm.queries import vocabulary
 from pulseboard.llm.shared import bounded_batches, dropped, read, stored, whole_rows
+from pulseboard.operators.membership import may_be_in
+
+
+#: Bits of the set of keys of rows that go or repeat.
+KEY_BITS = 1 << 22
 
 
 def _columns(docs: DataFrame, row: str, **changed: Column) -> list[Column]:
@@ -50,10 +55,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Wordless texts are in no group, so none of them goes.
     kept = found.where("doc_id = component_id and n_shingles > 0").select("doc_id.*").groupBy(*key).count()
     twice = stored(kept.where("count > 1").select(*key), "twice")
-    rest = keyed.drop("text").join(gone, key, "left_anti")
+    # A bounded set of those keys keeps the texts of all other rows out of the joins' shuffles.
+    rows = keyed.drop("text")
+    maybe = may_be_in("hashed", gone.unionByName(twice), "hashed", bits=KEY_BITS)
+    rest = rows.where(maybe).join(gone, key, "left_anti")
     one = Window.partitionBy(*key).orderBy(F.to_json("row"))  # any column, also one without an order
     repeated = rest.join(twice, key, "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
-    return rest.join(twice, key, "left_anti").unionByName(repeated.drop("nth")).select(*_columns(docs, "row"))
+    kept = rows.where(~maybe).unionByName(rest.join(twice, key, "left_anti")).unionByName(repeated.drop("nth"))
+    return kept.select(*_columns(docs, "row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
