@@ -25,8 +25,8 @@ from pulseboard.llm.shared import bounded_batches, dropped, read, stored, whole_
 from pulseboard.operators.membership import may_be_in
 
 
-#: Bits of the set of keys of rows that go or repeat.
-KEY_BITS = 1 << 22
+#: Rows that go or repeat whose keys are broadcast at most; bits of the set of their keys beyond that.
+FEW_KEYS, KEY_BITS = 1 << 16, 1 << 22
 
 
 def _columns(docs: DataFrame, row: str, **changed: Column) -> list[Column]:
@@ -55,13 +55,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Wordless texts are in no group, so none of them goes.
     kept = found.where("doc_id = component_id and n_shingles > 0").select("doc_id.*").groupBy(*key).count()
     twice = stored(kept.where("count > 1").select(*key), "twice")
-    # A bounded set of those keys keeps the texts of all other rows out of the joins' shuffles.
-    rows = keyed.drop("text")
-    maybe = may_be_in("hashed", gone.unionByName(twice), "hashed", bits=KEY_BITS)
-    rest = rows.where(maybe).join(gone, key, "left_anti")
+    rows, clear = keyed.drop("text"), None
+    if gone.count() + twice.count() <= FEW_KEYS:
+        gone, twice = F.broadcast(gone), F.broadcast(twice)  # counted: two numbers a row
+    else:
+        # A bounded set of those keys keeps the texts of all other rows out of the joins' shuffles.
+        maybe = may_be_in("hashed", gone.unionByName(twice), "hashed", bits=KEY_BITS)
+        rows, clear = rows.where(maybe), rows.where(~maybe)
+    rest = rows.join(gone, key, "left_anti")
     one = Window.partitionBy(*key).orderBy(F.to_json("row"))  # any column, also one without an order
     repeated = rest.join(twice, key, "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
-    kept = rows.where(~maybe).unionByName(rest.join(twice, key, "left_anti")).unionByName(repeated.drop("nth"))
+    kept = rest.join(twice, key, "left_anti").unionByName(repeated.drop("nth"))
+    kept = kept if clear is None else kept.unionByName(clear)
     return kept.select(*_columns(docs, "row"))
 
 
