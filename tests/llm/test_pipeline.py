@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -57,7 +58,9 @@ def test_clean_documents_are_left_alone(spark, tmp_path, bench):
     assert lang_id.UND not in {r.lang for r in df.collect()}
 
 
-def test_near_duplicates_go_by_row_where_ids_repeat(spark, tmp_path):
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_near_duplicates_go_by_row_where_ids_repeat(spark, tmp_path, few, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "FEW_KEYS", few)
     a, b, c = (cases.prose(700 + k, 80) for k in range(3))
     near = a + " altered"
     rows = [(3, a), (7, near), (7, b), (8, c), (8, cases.prose(710, 80)), (9, c), (9, b), (None, a), (None, cases.prose(711, 80)), (7, b)]
