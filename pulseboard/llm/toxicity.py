@@ -10,7 +10,8 @@ the log loss, p * (P - y) / P for a sentence, credits the sentences that
 explain a toxic document. Follow-the-regularised-leader with elastic-net
 penalties runs it over a bounded sample: about ``PER_CLASS`` (at most twice as
 many) labelled documents of each class, of at most ``SAMPLED_BYTES`` bytes each,
-weighted so that the classes count as often as among all labels. Scores read
+weighted so that the classes count as often as among all labels, in an order in
+which both classes are mixed evenly, as the steps follow the rows. Scores read
 whole texts, and the sentences that reach ``least`` are located.
 
 Null and empty texts, and those without words, have no sentence: their score is
@@ -170,8 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     grid, most = 1 << 30, 4 * per_class
     wanted = {y: min(grid, int(grid * per_class / n) + 1) for y, n in sizes.items()}
     draw = F.pmod(F.xxhash64("k", F.lit(13)), F.lit(grid))
-    drawn = known.withColumn("draw", draw).where(F.col("draw") < F.when(F.col("y") == 1, wanted[1]).otherwise(wanted[0]))
-    drawn = drawn.orderBy("draw", "k").limit(most)
+    drawn = known.where(draw < F.when(F.col("y") == 1, wanted[1]).otherwise(wanted[0]))
+    # The draws of the rarer class reach further, so they are no order to learn in: it would end with that class alone.
+    drawn = drawn.withColumn("nth", F.xxhash64("k", F.lit(29))).orderBy("nth", "k").limit(most)
 
     def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,12 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 pairs = [np.unique(s * features + f) for s, f in found.features(features)]
                 both = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
                 parts = [(both % features).astype(np.int32).tobytes(), (both // features).astype(np.int32).tobytes()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *[pa.array([x], pa.binary()) for x in parts]], names=["draw", "y", "f", "s"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *[pa.array([x], pa.binary()) for x in parts]], names=["nth", "y", "f", "s"])
 
     # The sampled ids are few by their limit, so they go to the texts.
     texts = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= SAMPLED_BYTES)
-    sample = texts.join(F.broadcast(drawn), "k").select("draw", "y", "t").mapInArrow(of_text, "draw long, y int, f binary, s binary")
-    got = sample.orderBy("draw", "y", F.xxhash64("f", "s")).limit(most).collect()
+    sample = texts.join(F.broadcast(drawn), "k").select("nth", "y", "t").mapInArrow(of_text, "nth long, y int, f binary, s binary")
+    got = sample.orderBy("nth", "y", F.xxhash64("f", "s")).limit(most).collect()
     sampled = {y: sum(r.y == y for r in got) for y in sizes}
     if not all(sampled.values()):
         return none
