@@ -17,7 +17,9 @@ never exceeds that of the sets) allow a link, else as a lower bound. Members
 link to a near pivot. Regions with one pivot form one Voronoi *cell* of that
 document, so a class that meets another in many regions meets it in few cells.
 Cells whose members are in one component by then are settled. The others are
-entered again with another member as pivot while their pairs are many.
+entered again with another member as pivot while their pairs are many; each time,
+members also link to those of ``HUBS`` members of the cell that the bounds below
+leave, so that a group of near copies meets a few of its members and not itself.
 
 *Windows.* What remains are pairs of a cell in different components. The triangle
 inequality on the kept distances to the pivot (|d(x, p) - d(y, p)| <= r), sizes
@@ -49,13 +51,15 @@ SHINGLE, PERCENT = 5, 75
 #: Counters of the sketch that orders pivots, and of the bitmap of classes to verify.
 SKETCH, BITMAP = 1 << 20, 1 << 20
 #: 64-bit words of the short sketch that every member of an unsettled region carries.
-SHORT = 8
+SHORT = 16
 #: Estimated members of a sub-region of a frequent pivot.
 SUB_REGION = 1024
 #: Times a region is entered with a new pivot at most before its last pairs are compared.
 TURNS = 3
 #: Pairs left for each member beyond which they are many.
 MANY = 64
+#: Members that a cell's others are held against, besides its pivot, whenever it is entered again.
+HUBS = 64
 #: Distances to pivots are kept in these parts of 1.
 SCALE = 1_000_000
 
@@ -280,27 +284,35 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
         cells, old = stored(cells.join(hubs, "cell"), "entered"), cells
         dropped(old)
         to_hub = cells.where("root <> hub.root").select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("hub.class").alias("b"), F.col("hub.n").alias("bn"))
-        known = _distances(docs, to_hub, sketches, text, percent)
+        # A draw by hash deals the members into slots; the least of a slot is held against the cell.
+        slot = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(HUBS))
+        some = cells.groupBy("cell", slot).agg(F.min(F.struct("class", *[c for c in cells.columns if c not in ("cell", "class", "hub")])).alias("y"))
+        to_some = _near_pairs(cells.alias("x"), some.select("cell", "y.*").alias("y"), percent)
+        known = _distances(docs, to_hub.unionByName(to_some), sketches, text, percent)
         parts = _joined(parts, known.where("linked"))
         # The old pivot's cell keeps its members; their distances are to the new one now.
         same = cells.select("cell", F.col("hub.class").alias("pivot"), "class", "n")
         cells, old = _unsettled(same, parts, sketches, known, "pivot"), cells
         dropped(old, known)
 
-    x, y = cells.alias("x"), cells.alias("y")
+    cross = _near_pairs(cells.alias("x"), cells.alias("y"), percent, ordered=True)
+    known = _distances(docs, cross, sketches, text, percent)
+    parts = _joined(parts, known.where("linked"))
+    dropped(cells, sketches)
+    return documents, parts
+
+
+def _near_pairs(x: DataFrame, y: DataFrame, percent: int, ordered: bool = False) -> DataFrame:
+    """(a, an, b, bn): members of one cell, but of two components, that no bound keeps from a link;
+    with ``ordered`` only those where a < b."""
     r = SCALE * (100 - percent) // 100
     # The short sketches bound the symmetric difference from below, as the long ones do.
     apart = functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(SHORT)])
     near = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
     window = (F.col("x.low") - F.col("y.high") <= r) & (F.col("y.low") - F.col("x.high") <= r)
-    cross = x.join(
-        y,
-        (F.col("x.cell") == F.col("y.cell")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _sizes_allow("x.n", "y.n", percent) & window & near,
-    ).select(F.col("x.class").alias("a"), F.col("x.n").alias("an"), F.col("y.class").alias("b"), F.col("y.n").alias("bn"))
-    known = _distances(docs, cross, sketches, text, percent)
-    parts = _joined(parts, known.where("linked"))
-    dropped(cells, sketches)
-    return documents, parts
+    once = F.col("x.class") < F.col("y.class") if ordered else F.lit(True)
+    found = x.join(y, (F.col("x.cell") == F.col("y.cell")) & once & (F.col("x.root") != F.col("y.root")) & _sizes_allow("x.n", "y.n", percent) & window & near)
+    return found.select(F.col("x.class").alias("a"), F.col("x.n").alias("an"), F.col("y.class").alias("b"), F.col("y.n").alias("bn"))
 
 
 def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:

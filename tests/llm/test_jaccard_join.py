@@ -57,6 +57,27 @@ def test_groups_chains_and_shared_passages(spark, many, monkeypatch):
     assert got == brute(rows)
 
 
+def test_a_group_of_near_copies_is_not_held_against_itself(spark, monkeypatch):
+    """Where most members link to a few others each, the pairs compared follow the members, not their square."""
+    monkeypatch.setattr(jaccard_join, "MANY", 0)
+    compared, distances = [], jaccard_join._distances
+
+    def counted(docs, pairs, *rest):
+        compared.append(pairs.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count())
+        return distances(docs, pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_distances", counted)
+    rng, base, rows = random.Random(8), cases.prose(53, 150).split(), []
+    for k in range(500):
+        copy = list(base)
+        for at in rng.sample(range(10), 4):
+            copy[15 * at + rng.randrange(3)] = f"new{k}at{at}"
+        rows.append((k, " ".join(copy)))
+    got = run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got == brute(rows)
+    assert compared[-1] < 2 * len(rows), compared
+
+
 def test_parity_never_exceeds_the_symmetric_difference():
     rng = np.random.default_rng(1)
     for n, m in ((5, 9), (100, 180), (700, 500)):
