@@ -1,11 +1,9 @@
 """Operator 8: exact byte-level BPE encoding and decoding with a transducer lexicon.
 
-1. Pre-tokens are counted over a bounded sample of the texts: about
-   ``SAMPLE_BYTES``, chosen by a hash of the text, of texts of at most
-   ``SAMPLED_TEXT`` bytes. Those that occur there at least once in every
-   ``bytes / lexicon_size`` bytes (there can be no more than ``lexicon_size``)
-   are merged once, on the driver, and compiled into a shared-suffix
-   transducer. The sample only decides which words are looked up.
+1. Pre-tokens are counted over all texts. Those that occur at least once in
+   every ``bytes / lexicon_size`` bytes (there can be no more than
+   ``lexicon_size``) are merged once, on the driver, and compiled into a
+   shared-suffix transducer.
 2. Workers map the transducer's file. A pre-token found there takes its ids
    from it; every other one is merged exactly. Both give the same ids.
 3. Decoding concatenates the bytes of the ids.
@@ -40,26 +38,27 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LEXICON_SIZE = 1 << 19
 #: A worker forgets the words it keeps, and their ids, beyond so many.
 KEPT_WORDS, KEPT_IDS = 300_000, 1 << 21
-#: Bytes of text that the lexicon is fitted on, and of a sampled text, at most; bytes of text encoded at once.
-SAMPLE_BYTES, SAMPLED_TEXT, RUN_BYTES = 1 << 25, 1 << 20, 1 << 20
-
-
-def sampled(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
-    """About ``SAMPLE_BYTES`` of the texts, and how many bytes are expected."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    grid = 1 << 30
-    share = min(grid, grid * SAMPLE_BYTES // max(1, total))
-    drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(grid)) < share).where(F.octet_length(text) <= SAMPLED_TEXT)
-    return drawn, min(total, SAMPLE_BYTES)
+#: Bytes of text encoded at once.
+RUN_BYTES = 1 << 20
 
 
 def count_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): all pre-tokens of all texts; counted in the tasks before the shuffle."""
+    """(word, n): all pre-tokens of all texts; counted in the tasks before the shuffle.
+
+    A space between two other characters than white space always begins a pre-token, so texts in which
+    none follows white space are counted by what stands between their spaces, and each such piece is
+    split once a task.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(PRE_TOKEN).findall, collections.Counter()
+        find, seen, pieces = regex.compile(PRE_TOKEN).findall, collections.Counter(), collections.Counter()
+        spaces = regex.compile(r"\s ").search
 
         def rows() -> pa.RecordBatch:
+            for piece, n in pieces.items():
+                for word in find(piece[1:] if piece[:1] == " " else " " + piece):
+                    seen[word] += n
+            pieces.clear()
             out = pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
             seen.clear()
             return out
@@ -67,20 +66,25 @@ def count_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 if t.is_valid:
-                    seen.update(find(t.as_py()))
-                    if len(seen) > KEPT_WORDS // 2:
+                    body = t.as_py()
+                    if spaces(body):
+                        seen.update(find(body))
+                    else:
+                        parts = body.split(" ")
+                        parts[0] = " " + parts[0]  # the one piece without a space before it
+                        pieces.update(parts)
+                    if len(seen) + len(pieces) > KEPT_WORDS:
                         yield rows()
-        if seen:
+        if seen or pieces:
             yield rows()
 
     return docs.select(text).mapInArrow(returning(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, pairs: BytePairs, size: int, text: str = "text") -> Transducer:
-    drawn, expected = sampled(docs, text)
-    frequent = count_pre_tokens(drawn, text).where(F.col("n") * size >= F.lit(expected)).select("word")
-    # The sample's size varies by chance, so the bound on the words is enforced as well.
-    words = sorted(r.word.encode() for r in frequent.limit(2 * size).collect())
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    frequent = count_pre_tokens(docs, text).where(F.col("n") * size >= F.lit(total)).select("word")
+    words = sorted(r.word.encode() for r in frequent.collect())
     return Transducer.compile(words, *pairs.encode(words))
 
 
