@@ -1,4 +1,8 @@
-"""Gradient-boosted trees for a few thousand rows of small feature vectors, in numpy."""
+"""Gradient-boosted trees for weighted rows of small feature vectors, in numpy.
+
+Trees see the features by the bins between their cuts alone, so rows of equal bins may come as one, with their
+number as weight.
+"""
 
 from __future__ import annotations
 
@@ -34,14 +38,15 @@ class Boosted:
         return 1 / (1 + np.exp(np.clip(-(a * self.raw(x) + b), -60, 60)))
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> Boosted:
-        own = cls(prior=float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+    def fit(cls, x: np.ndarray, y: np.ndarray, n: np.ndarray, cuts: list[np.ndarray]) -> Boosted:
+        """Rows ``x`` with labels ``y``, each ``n`` times; ``cuts`` of every feature, sorted."""
+        mean = (y * n).sum() / n.sum()
+        own = cls(prior=float(np.log((mean + 1e-3) / (1 - mean + 1e-3))))
         binned = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T)], 1)
         score = np.full(len(x), own.prior)
         for _ in range(ROUNDS):
             p = 1 / (1 + np.exp(-score))
-            tree = grow(binned, cuts, y - p, p * (1 - p))
+            tree = grow(binned, cuts, n * (y - p), n * p * (1 - p), n)
             own.trees.append(tree)
             score = own.raw_more(score, x, tree)
         return own
@@ -50,15 +55,16 @@ class Boosted:
     def raw_more(score: np.ndarray, x: np.ndarray, tree: list[tuple]) -> np.ndarray:
         return score + Boosted([tree]).raw(x)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+    def calibrate(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
         """Platt scaling on rows kept out of the fit (targets pulled in, so it stays finite)."""
         raw = self.raw(x)
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        some = (n * y).sum()
+        target = np.where(y > 0, (some + 1) / (some + 2), 1 / ((n * (1 - y)).sum() + 2))
         a, b = 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(np.clip(-(a * raw + b), -60, 60)))
-            g = np.array([((target - p) * raw).sum(), (target - p).sum()])
-            w = p * (1 - p) + 1e-9
+            g = np.array([(n * (target - p) * raw).sum(), (n * (target - p)).sum()])
+            w = n * (p * (1 - p) + 1e-9)
             h = np.array([[(w * raw * raw).sum() + 1e-3, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-3]])
             step = np.linalg.solve(h, g)
             a, b = a + step[0], b + step[1]
@@ -67,24 +73,24 @@ class Boosted:
         self.scale = (float(a), float(b))
 
 
-def grow(binned: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> list[tuple]:
+def grow(binned: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[tuple]:
     """One tree by histogram gains, nodes in order of creation."""
     nodes: list = [None]
     todo = [(0, np.arange(len(g)), DEPTH)]
     while todo:
         k, rows, depth = todo.pop()
-        total_g, total_h = g[rows].sum(), h[rows].sum()
+        total_g, total_h, total_n = g[rows].sum(), h[rows].sum(), n[rows].sum()
         best = (1e-6, None, None)
-        if depth and len(rows) >= 2 * LEAST:
+        if depth and total_n >= 2 * LEAST:
             for f, cut in enumerate(cuts):
                 if not len(cut):
                     continue
                 size = len(cut) + 1
                 left_g = np.cumsum(np.bincount(binned[rows, f], g[rows], size))[:-1]
                 left_h = np.cumsum(np.bincount(binned[rows, f], h[rows], size))[:-1]
-                left_n = np.cumsum(np.bincount(binned[rows, f], minlength=size))[:-1]
+                left_n = np.cumsum(np.bincount(binned[rows, f], n[rows], size))[:-1]
                 gain = left_g**2 / (left_h + RIDGE) + (total_g - left_g) ** 2 / (total_h - left_h + RIDGE) - total_g**2 / (total_h + RIDGE)
-                gain[(left_n < LEAST) | (len(rows) - left_n < LEAST)] = 0
+                gain[(left_n < LEAST) | (total_n - left_n < LEAST)] = 0
                 at = int(gain.argmax())
                 if gain[at] > best[0]:
                     best = (gain[at], f, at)

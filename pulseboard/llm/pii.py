@@ -6,12 +6,14 @@ to 255, Luhn sum, digit counts); a match that fails its check is dropped whole.
 pieces of matches that failed as a whole (a phone number that ran into an
 address, two card numbers side by side) and spellings that no pattern takes.
 *Boosted trees* score each candidate by its format and its surroundings. They
-learn from a bounded sample of documents without labels from outside: spans of
-the base are positive; candidates that fail a check of their kind, or cross a
+learn from the candidates of all documents, without labels from outside: spans
+of the base are positive; candidates that fail a check of their kind, or cross a
 base span, are negative; the rest is left unlabelled and is what they decide.
-*Thresholds*: probabilities are calibrated on kept-out rows, and each kind's
-threshold is the least that reaches ``PRECISION`` there. Spans above it that
-cross no chosen one are added; base spans always stay.
+Trees see each feature by its bin between quantiles of all of them, so Spark
+counts the candidates of equal bins, and those counts are what they are fitted on.
+*Thresholds*: probabilities are calibrated on the texts kept out, a quarter by a
+hash, and each kind's threshold is the least that reaches ``PRECISION`` there.
+Spans above it that cross no chosen one are added; base spans always stay.
 
 Offsets are code points, the end exclusive. Null text has no spans. Texts are
 read whole, in time linear in their length. Repeated rows give repeated rows;
@@ -21,6 +23,7 @@ alone is returned.
 
 from __future__ import annotations
 
+import collections
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -31,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseboard.llm.boosted_trees import Boosted
-from pulseboard.llm.shared import keyed_schema, returning
+from pulseboard.llm.boosted_trees import BINS, Boosted
+from pulseboard.llm.shared import dropped, keyed_schema, returning, stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents with candidates that the trees learn from; candidates taken of one document; precision asked for.
-SAMPLE, PER_DOCUMENT, PRECISION = 3000, 64, 0.98
+#: Features of a candidate; precision asked for; distinct candidates that a task counts at once.
+FEATURES, PRECISION, COUNTED = 22, 0.98, 1 << 14
 
 _LOCAL = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -198,7 +201,6 @@ def labelled(text: str) -> tuple[list[list[float]], list[int], list[int]]:
     """Features, labels and kinds of the candidates whose label is certain."""
     base, others = proposals(text)
     rows = [(s, 1) for s in base] + [(s, 0) for s in others if not valid(s[1], text[s[0] : s[2]]) or _crosses(s, base)]
-    rows = rows[:PER_DOCUMENT]
     return [features(text, s) for s, _ in rows], [y for _, y in rows], [s[1] for s, _ in rows]
 
 
@@ -225,38 +227,71 @@ class Model:
         return base, sorted(chosen)
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` documents with a digit or an at sign, by a hash of id and text."""
-    has = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9]{3}|@|\\+[0-9]"))
-    total = has.count()
-    grid = 1 << 30
-    drawn = has.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(grid)) < int(min(1.0, sample / max(1, total)) * grid))
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kept_out, kind, y, x, n): the labelled candidates of all texts, counted in the tasks as far as they are equal."""
+    has = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9]{3}|@|\\+[0-9]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                x, y, kinds = labelled(t.as_py())
-                if y:
-                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.string()), "x": pa.array([[v for row in x for v in row]], pa.list_(pa.float64())), "y": pa.array([y], pa.list_(pa.int32())), "kind": pa.array([kinds], pa.list_(pa.int32()))})
+        seen: collections.Counter = collections.Counter()
+
+        def rows() -> pa.RecordBatch:
+            out, kind, y, x = zip(*seen)
+            columns = [pa.array(out), pa.array(kind, pa.int32()), pa.array(y, pa.int32()), pa.array([list(v) for v in x], pa.list_(pa.float64())), pa.array(list(seen.values()), pa.int64())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["kept_out", "kind", "y", "x", "n"])
 
-    got = drawn.select(F.xxhash64("k", "t").cast("string").alias("k"), "t").mapInArrow(run, "k string, x array<double>, y array<int>, kind array<int>").orderBy("k").limit(2 * sample).collect()
-    if not got:
+        for b in batches:
+            for out, t in zip(b.column(0).to_pylist(), b.column(1)):
+                for x, y, kind in zip(*labelled(t.as_py())):
+                    seen[out, kind, y, tuple(x)] += 1
+                if len(seen) > COUNTED:
+                    yield rows()
+        if seen:
+            yield rows()
+
+    # By the text alone, so copies of one text are on one side.
+    kept_out = (F.pmod(F.xxhash64("t", F.lit(5)), F.lit(4)) == 0).alias("kept_out")
+    return has.select(kept_out, "t").mapInArrow(returning(run), "kept_out boolean, kind int, y int, x array<double>, n long")
+
+
+def fit(docs: DataFrame, text: str = "text") -> Model:
+    """Learns from all texts; what reaches the driver is a count for each combination of bins that occurs."""
+    rows = stored(counted(docs, text), "candidates")
+    points = F.lit([float(q) for q in np.linspace(0, 1, BINS + 1)[1:-1]])
+    cuts = rows.where("not kept_out").agg(*[F.percentile(F.col("x")[k], points, F.col("n")).alias(f"c{k}") for k in range(FEATURES)]).first()
+    if cuts is None or cuts.c0 is None:
+        dropped(rows)
         return Model(None, {})
-    y = np.array([v for r in got for v in r.y])
-    x = np.array([v for r in got for v in r.x]).reshape(len(y), -1)
-    kinds = np.array([v for r in got for v in r.kind])
-    fold = np.repeat(np.arange(len(got)) % 4 == 0, [len(r.y) for r in got])
-    if min((y[~fold] == 1).sum(), (y[~fold] == 0).sum()) < 10 or min((y[fold] == 1).sum(), (y[fold] == 0).sum()) < 3:
+    cuts = [np.unique(c) for c in cuts]
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column(3).flatten().to_numpy().reshape(-1, FEATURES)
+                bins = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T)], 1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([v.tobytes() for v in bins], pa.binary()), b.column(4)], names=["kept_out", "kind", "y", "bins", "n"])
+
+    keys = ["kept_out", "kind", "y", "bins"]
+    groups = rows.mapInArrow(binned, "kept_out boolean, kind int, y int, bins binary, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
+    got = sorted(groups.collect(), key=lambda r: tuple(r[k] for k in keys))
+    dropped(rows)
+    bins = np.frombuffer(b"".join(bytes(r.bins) for r in got), np.uint8).reshape(-1, FEATURES)
+    # A bin stands for the cut that ends it, which is on the same side of every cut as the bin's values.
+    x = np.stack([np.append(c, c[-1] + 1)[v] for c, v in zip(cuts, bins.T)], 1)
+    y, kinds, fold = (np.array([r[k] for r in got]) for k in ("y", "kind", "kept_out"))
+    n = np.array([r.n for r in got], float)
+    many = lambda rows: n[rows].sum()
+    if min(many(~fold & (y == 1)), many(~fold & (y == 0))) < 10 or min(many(fold & (y == 1)), many(fold & (y == 0))) < 3:
         return Model(None, {})
-    trees = Boosted.fit(x[~fold], y[~fold].astype(float))
-    trees.calibrate(x[fold], y[fold].astype(float))
-    p = trees.probability(x[fold])
+    trees = Boosted.fit(x[~fold], y[~fold].astype(float), n[~fold], cuts)
+    trees.calibrate(x[fold], y[fold].astype(float), n[fold])
+    p = trees.probability(x)
     thresholds = {}
     for kind in range(len(KINDS)):
-        own = kinds[fold] == kind
+        own = fold & (kinds == kind)
         for t in np.round(np.linspace(0.5, 0.99, 50), 2):
             picked = own & (p >= t)
-            if picked.any() and y[fold][picked].mean() >= PRECISION:
+            if picked.any() and many(picked & (y == 1)) >= PRECISION * many(picked):
                 thresholds[kind] = float(t)
                 break
     return Model(trees, thresholds)
